@@ -31,4 +31,91 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * 8 // n)::
 FROM p
 """
 
-ORACLES = {"op2_interleaved_shards": _OP2, "op6_heavy_hitter_dedup": _OP6}
+_OP1 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang,
+         CASE WHEN contains(t, '!!') THEN 'shouted' WHEN regexp_matches(t, '[*$&#%]{3}') THEN 'marked' WHEN contains(t, ' | ') THEN 'tabular'
+              WHEN regexp_matches(t, '(?i)licen[cs]e') THEN 'licence' ELSE 'prose' END AS topic,
+         len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
+  FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)),
+cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+found AS (SELECT *, tokens / sum(tokens) OVER () AS share FROM cells),
+margin AS (
+  SELECT 'source' AS kind, source AS v, pow(sum(share), 0.5::DOUBLE) AS r FROM found GROUP BY ALL
+  UNION ALL SELECT 'lang', lang, pow(sum(share), 0.7::DOUBLE) FROM found GROUP BY ALL
+  UNION ALL SELECT 'topic', topic, pow(sum(share), 0.8::DOUBLE) FROM found GROUP BY ALL),
+target AS (SELECT kind, v, r / sum(r) OVER (PARTITION BY kind) AS goal FROM margin),
+start AS (
+  SELECT f.*, s.goal AS gs, l.goal AS gl, t.goal AS gt FROM found f
+  JOIN target s ON s.kind = 'source' AND s.v IS NOT DISTINCT FROM f.source
+  JOIN target l ON l.kind = 'lang' AND l.v IS NOT DISTINCT FROM f.lang
+  JOIN target t ON t.kind = 'topic' AND t.v IS NOT DISTINCT FROM f.topic),
+fit AS (
+  SELECT source, lang, topic, tokens, gs, gl, gt, share, 0 AS k FROM start
+  UNION ALL
+  SELECT source, lang, topic, tokens, gs, gl, gt, c * (gt / sum(c) OVER (PARTITION BY topic)), k + 1 FROM (
+    SELECT *, b * (gl / sum(b) OVER (PARTITION BY lang)) AS c FROM (
+      SELECT *, share * (gs / sum(share) OVER (PARTITION BY source)) AS b FROM fit WHERE k < 30))),
+raked AS (SELECT source, lang, topic, tokens, share, share / tokens AS asked FROM fit WHERE k = 30),
+ranked AS (SELECT *, row_number() OVER (ORDER BY asked DESC, source, lang, topic) AS rk FROM raked),
+scaled AS (
+  SELECT *, (0.5::DOUBLE * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(share) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM ranked),
+chosen AS (SELECT scale AS by_all FROM scaled WHERE scale * asked <= 1 ORDER BY rk LIMIT 1),
+chances AS (SELECT source, lang, topic, share, least(1.0::DOUBLE, by_all * asked) AS chance FROM scaled, chosen)
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(c.share, 9) AS cell_share, round(c.chance, 9) AS chance,
+       ('0x' || substr(md5('42:' || d.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE < c.chance AS kept
+FROM d JOIN chances c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic = c.topic
+"""
+
+_OP7 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns,
+         string_agg(sha256(role || chr(10) || text), ',') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(10) || text) ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(10) || text))),
+whole AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, turns, prefix FROM o WHERE place = turns GROUP BY turns, prefix),
+kept AS (SELECT conv_id, copies FROM whole w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.place < o.turns AND o.place = w.turns AND o.prefix = w.prefix))
+SELECT conv_id, count(*) AS n_turns, min(copies) AS n_copies, count(*) FILTER (role = 'assistant') AS n_assistant,
+       string_agg('<|im_start|>' || role || chr(10) || replace(replace(text, '<|im_', '< |im_'), '|>', '| >') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered
+FROM t JOIN kept USING (conv_id) GROUP BY conv_id
+"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _op10() -> str:
+    keys = "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = rf"""({keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+    allow = r"^[A-Za-z]+([-_+/=]+[A-Za-z]*)*$|^[0-9]+([-_+/=]+[0-9]*)*$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i)(example|sample|placeholder|dummy|0123456789)"
+    return rf"""
+WITH pat(kind, name, re, least) AS (VALUES (0, 'assign', '{assign}', 12), (1, 'access', 'AKIA[A-Z0-9]+', 18), (2, 'hex', '[0-9a-f]+', 16), (3, 'entropy', '[A-Za-z0-9+/_=-]{{20,}}', 20)),
+m AS MATERIALIZED (SELECT doc_id, kind, re, least, regexp_extract_all(t, re) AS f, regexp_split_to_array(t, re) AS g FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), pat),
+u AS (SELECT doc_id, kind, re, least, i, f[i] AS found, length(g[i]) + length(f[i]) AS step FROM m, unnest(range(1, len(f) + 1)) AS r(i)),
+s AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
+k AS (SELECT doc_id, kind, (stop - length(found))::BIGINT AS start, stop::BIGINT AS stop, found FROM s
+      WHERE length(CASE WHEN kind = 0 THEN regexp_extract(found, re, 2) ELSE found END) >= least),
+cand AS (SELECT *, row_number() OVER () AS c, CASE WHEN regexp_matches(found, '^[0-9A-Fa-f]+$') THEN 3.0::DOUBLE ELSE 3.6::DOUBLE END AS bits
+         FROM k WHERE kind = 3 AND NOT regexp_matches(found, '{allow}')),
+win AS (SELECT c, doc_id, start, bits, i, substr(found, i + 1, 20) AS w FROM cand, unnest(range(0, length(found) - 19)) AS r(i)),
+cnt AS (SELECT c, doc_id, start, bits, i, ch, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS ch FROM win) GROUP BY ALL),
+ent AS (SELECT c, doc_id, start, bits, i, sum(round(n * log2(n) * 1e6)) AS h FROM cnt GROUP BY ALL),
+hot AS (SELECT doc_id, 3 AS kind, min(start + i) AS start, max(start + i + 20) AS stop FROM ent WHERE h <= floor(20 * (log2(20) - bits) * 1e6) GROUP BY c, doc_id),
+spans AS (SELECT doc_id, kind, start, stop FROM k WHERE kind < 3 UNION ALL SELECT doc_id, kind, start, stop FROM hot),
+named AS (SELECT spans.*, name || ':' || start || ':' || stop AS said FROM spans JOIN pat USING (kind))
+SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+       sha256(coalesce(string_agg(said, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+       count(*) FILTER (kind = 3) AS n_entropy, coalesce(string_agg(said, ',' ORDER BY start, kind), '') AS spans
+FROM documents d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+ORACLES = {
+    "op1_raked_mixture": _OP1,
+    "op2_interleaved_shards": _OP2,
+    "op6_heavy_hitter_dedup": _OP6,
+    "op7_maximal_chats": _OP7,
+    "op10_entropy_secrets": _op10(),
+}
