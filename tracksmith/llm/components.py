@@ -1,0 +1,39 @@
+"""Connected components of a table of links, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import saved
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """(u, m): the smallest of u and its partners. Kept as a table, so that Spark can split a hot u in the join that follows."""
+    return saved(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+
+
+def large_star(links: DataFrame) -> DataFrame:
+    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def small_star(links: DataFrame) -> DataFrame:
+    low = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = _least(low)
+    moved = low.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.where("u <> m").select("u", F.col("m").alias("v"))).distinct()
+
+
+def components(links: DataFrame, most: int = 60) -> DataFrame:
+    """(node, root) of every node in links (u, v), both long; root: the smallest node of its component, itself included."""
+    now = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = None
+    for _ in range(most):
+        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if seen == mark or not seen[0]:
+            break
+        mark, now = seen, saved(small_star(saved(large_star(now))))
+    else:
+        raise RuntimeError(f"links still change after {most} rounds")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
