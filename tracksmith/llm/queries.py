@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, secrets, sharding, simhash
+from . import bpe, chat, exact_dedup, mixing, quality, secrets, sharding, simhash
 from .common import table
 from .oracles import ORACLES
 
@@ -23,6 +24,18 @@ def op3_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), digests=True)
 
 
+def crc_mod(key: str, n: int) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels, usable=crc_mod("doc_id", 3) != 1)
+    held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    scored = quality.scores(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
