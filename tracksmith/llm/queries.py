@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, lm, mixing, quality, secrets, sharding, simhash
+from . import bpe, chat, exact_dedup, lm, mixing, quality, secrets, sharding, simhash, topk
 from .common import table
 from .oracles import ORACLES
 
@@ -48,6 +48,10 @@ def op7_maximal_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op8_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False))
     rows = lm.held_out_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
