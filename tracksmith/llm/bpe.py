@@ -18,6 +18,7 @@ rows are encoded each; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -103,6 +104,7 @@ class Encoder:
     @property
     def tokenizer(self) -> Any:
         if self._made is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores
             from tokenizers import Tokenizer
 
             self._made = Tokenizer.from_file(self.path)
@@ -114,7 +116,7 @@ class Encoder:
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of a text: those of its words, one after the other."""
         words = text.split()
-        missing = list(set(words) - self.memo.keys())
+        missing = [w for w in set(words) if w not in self.memo]
         if missing:
             if len(self.memo) + len(missing) > MEMO:
                 self.memo.clear()
