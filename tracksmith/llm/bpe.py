@@ -168,12 +168,21 @@ class Encoder:
             return " ".join(map(self.names.__getitem__, ids.tolist()))
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
-    def finished(self, ids: np.ndarray, digests: bool) -> tuple:
-        text = self.decoded(ids)
-        if not digests:
-            return len(ids), ids.astype(np.int32), text
-        said = " ".join(map(self.numbers.__getitem__, ids.tolist()))
-        return len(ids), hashlib.sha256(said.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    def said(self, ids: np.ndarray) -> str:
+        """Decimal ids, with spaces between."""
+        self.tokenizer  # noqa: B018  its names and numbers
+        return " ".join(map(self.numbers.__getitem__, ids.tolist()))
+
+    def finished(self, ids: np.ndarray, outputs: tuple[str, ...]) -> tuple:
+        """The number of ids, and the outputs asked for."""
+        text = self.decoded(ids) if {"decoded", "decoded_sha256"} & set(outputs) else ""
+        made = {
+            "ids": lambda: ids.astype(np.int32),
+            "decoded": lambda: text,
+            "ids_sha256": lambda: hashlib.sha256(self.said(ids).encode()).hexdigest(),
+            "decoded_sha256": lambda: hashlib.sha256(text.encode()).hexdigest(),
+        }
+        return len(ids), *(made[o]() for o in outputs)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -205,16 +214,16 @@ def shared_filter(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", digests: bool = False) -> DataFrame:
-    """key, n_tokens, ids array<int>, decoded string of each row; with digests, ids_sha256 and decoded_sha256 instead."""
+def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """key, n_tokens and the outputs of each row; outputs: some of ids, decoded, ids_sha256, decoded_sha256."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     spark = df.sparkSession
     kind = dict(df.dtypes)[key]
-    result = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids array<int>, decoded string"
-    names = [x.split()[0] for x in result.split(", ")]
+    result = ", ".join(["n_tokens long", *(f"{o} {'array<int>' if o == 'ids' else 'string'}" for o in outputs)])
+    names = ["n_tokens", *outputs]
     bitmap, bits = shared_filter(df, text)
     known = spark.sparkContext.broadcast(bitmap)  # FILTER_BITS / 8 bytes at most
 
@@ -227,7 +236,7 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
         for batch in batches:
             for start, run in slices(batch.text):
                 whole = [i for i, chunks in enumerate(chunked(run)) if not any(suspected(digest(c)) for c in chunks)]
-                done = [e.finished(e.ids(run[i]), digests) for i in whole]
+                done = [e.finished(e.ids(run[i]), outputs) for i in whole]
                 yield pd.DataFrame(done, columns=names).assign(key=batch.key.iloc[[start + i for i in whole]].to_numpy(dtype=object))[["key", *names]]
 
     def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,13 +266,13 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
             out = []
             for key_, row_, *p in zip(*(batch[c] for c in ("key", "row", "ids", "head", "tail", "n_head", "n_tail", "solid")), strict=True):
                 if row_ != row and pieces:
-                    out.append((own, *e.finished(e.join(iter(pieces)), digests)))
+                    out.append((own, *e.finished(e.join(iter(pieces)), outputs)))
                     pieces = []
                 row, own = row_, key_
                 pieces.append(Piece(np.frombuffer(p[0], "<u4"), bytes(p[1]), bytes(p[2]), int(p[3]), int(p[4]), bool(p[5])))
             yield pd.DataFrame(out, columns=["key", *names], dtype=object)
         if pieces:
-            yield pd.DataFrame([(own, *e.finished(e.join(iter(pieces)), digests))], columns=["key", *names], dtype=object)
+            yield pd.DataFrame([(own, *e.finished(e.join(iter(pieces)), outputs))], columns=["key", *names], dtype=object)
 
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())

@@ -21,7 +21,7 @@ def op2_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), digests=True)
+    return bpe.encode(table(spark, sf_dir, "documents"), outputs=("ids_sha256", "decoded_sha256"))
 
 
 def crc_mod(key: str, n: int) -> Column:
