@@ -60,7 +60,7 @@ def iso(ts: Column | str) -> Column:
 
 
 #: Spellings tried in turn after ISO.
-SPELLINGS = ("yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyyMMddHHmmss", "MMM d yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss", "EEE, d MMM yyyy HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy")
+SPELLINGS = ("yyyy/MM/dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss", "yyyyMMddHHmmss", "MMM d yyyy HH:mm:ss", "d MMM yyyy HH:mm:ss", "yyyy/MM/dd", "dd/MM/yyyy")
 
 
 def repaired(value: Column | str) -> Column:

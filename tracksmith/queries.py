@@ -1,16 +1,431 @@
-"""The registered queries of the trajectory engine, and SQL for each."""
+"""The registered queries of the trajectory engine. Each reads the given tables whole; SQL for them stands in oracles.py."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .functions import clock, units
+from .functions.geo import euclidean, geojson, inside, kilometres, metres, miles, near, point, to_metres, within_box
+from .operators import dwell, export, fleet, graph, lookups, metrics, stops, store
+from .oracles import ORACLES
+from .plans import ingest
+from .sources.mapping import MappingPlan
+from .sources.projection import gps, raw_records
 
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+#: A day and a truck that every scale factor has; the moment against which times are checked; the fence of the fence queries.
+DAY, TRUCK, AS_OF = 1 * 31 + 15, "DEV-3", datetime(2024, 6, 1)
+FENCE = (-33.43, -70.62)
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# Distances, times and counts.
+
+
+@query
+def f01_truck_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.truck_counts(gps(spark, sf_dir))
+
+
+@query
+def f02_total_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.total_distance(gps(spark, sf_dir)), "distance_km")
+
+
+@query
+def f03_time_on_road(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.time_on_road(gps(spark, sf_dir)), "road_hours")
+
+
+@query
+def f04_avg_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.average_speed(gps(spark, sf_dir)), "avg_kmh", digits=5)
+
+
+@query
+def f05_gps_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.gps_frequency(gps(spark, sf_dir)), "frequency_s")
+
+
+@query
+def f06_segment_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.segment_speed(gps(spark, sf_dir)), "mph", digits=4)
+
+
+@query
+def f08_route_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.route_statistics(gps(spark, sf_dir)), "distance_km", "avg_kmh", digits=5)
+
+
+@query
+def f13_zero_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.zero_velocity(gps(spark, sf_dir).withColumn("velocity", F.floor("velocity")))
+
+
+@query
+def f16_date_by_datenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.date_of(gps(spark, sf_dir))
+
+
+@query
+def d01_distinct_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.distinct_values(gps(spark, sf_dir), "truckId", "dateNum")
+
+
+@query
+def d02_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lookups.extents(gps(spark, sf_dir)), "min_lat", "max_lat", "min_lon", "max_lon")
+
+
+# Lookups.
+
+
+@query
+def c03_truck_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lookups.truck_points(gps(spark, sf_dir), TRUCK).select("truckId", "dateNum", "seq", "time", "lat", "lon"), "lat", "lon", digits=9)
+
+
+@query
+def c04_points_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.points_of_day(gps(spark, sf_dir), DAY).select("truckId", F.size("points").cast("long").alias("n"), F.col("points")[0]["seq"].alias("first_seq"), F.element_at("points", -1)["seq"].alias("last_seq"))
+
+
+@query
+def c09_device_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookups.device_range(gps(spark, sf_dir), TRUCK, "2024-01-05 06:00:00", "2024-01-08 18:00:00", "truckId", "ts")
+    return found.select("truckId", "seq", "time", "dateNum")
+
+
+@query
+def c10_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = gps(spark, sf_dir)
+    return lookups.existing(points.select("truckId", "dateNum").distinct(), points.where("velocity > 95"), "truckId")
+
+
+@query
+def c11_sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.sampled(gps(spark, sf_dir), by=("truckId",)).select("truckId", "seq", F.round(point().lat, 9).alias("lat"), F.round(point().lon, 9).alias("lon"))
+
+
+@query
+def d05_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.numbered(gps(spark, sf_dir).select("seq", "truckId"), ["seq"], name="idx")
+
+
+# The fleet.
+
+
+@query
+def e04_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.availability(gps(spark, sf_dir).where("velocity > 90")).select("dateNum", "truckId", "available")
+
+
+@query
+def e05_route_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fleet.route_centers(gps(spark, sf_dir)), "lat", "lon", digits=9)
+
+
+# Stops.
+
+
+def _stop_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return stops.stop_tables(stops.merge_stops(stops.find_stops(gps(spark, sf_dir))))
+
+
+@query
+def l01_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stops.assign_clusters(gps(spark, sf_dir)).select("truckId", "dateNum", "seq", "cluster")
+
+
+@query
+def l01_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stops.find_stops(gps(spark, sf_dir)).drop("radius"), "lat", "lon", digits=9)
+
+
+@query
+def f10_stop_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stops.find_stops(gps(spark, sf_dir)).select("truckId", "dateNum", "cluster", "radius"), "radius", digits=5)
+
+
+@query
+def l02_stop_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stops.merge_stops(stops.find_stops(gps(spark, sf_dir))).select("stop_id", "truckId", "dateNum", "cluster")
+
+
+@query
+def l03_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_stop_tables(spark, sf_dir)[0], "lat", "lon", digits=9)
+
+
+@query
+def l03_stop_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_stop_tables(spark, sf_dir)[1].drop("radius"), "lat", "lon", digits=9)
+
+
+@query
+def l04_simple_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = stops.find_stops_simple(gps(spark, sf_dir), least_minutes=2.0)
+    return rounded(rounded(found.select("truckId", "dateNum", "cluster", "points", "minutes", "radius", "lat", "lon"), "radius", digits=3), "lat", "lon", digits=9)
+
+
+@query
+def e01_stops_for_truck_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, props = _stop_tables(spark, sf_dir)
+    return dwell.stops_of(props, made).select("truckId", "dateNum", "stop_id", "id")
+
+
+@query
+def e02_parent_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, props = _stop_tables(spark, sf_dir)
+    return rounded(dwell.parent_stop(props, made), "stop_lat", "stop_lon", digits=9)
+
+
+@query
+def e03_popular_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, props = _stop_tables(spark, sf_dir)
+    return dwell.popular_stops(props, made, 10).select("stop_id", "n", F.array_min("props").alias("first_prop"))
+
+
+@query
+def e07_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the merged stops, which are few for each truck: the stops that a truck visits."""
+    made, props = _stop_tables(spark, sf_dir)
+    visited = props.select("truckId", F.col("stopPropId").alias("stop")).distinct().join(made, F.col("stop") == made["id"])
+    return rounded(dwell.pair_distances(visited, "truckId", "stop"), "km", digits=5)
+
+
+@query
+def f07_stop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, props = _stop_tables(spark, sf_dir)
+    after = Window.partitionBy("truckId").orderBy("id")
+    pairs = props.select(F.col("id").alias("a"), F.lead("id").over(after).alias("b")).where("b is not null")
+    return rounded(metrics.stop_distance(props, pairs), "km", digits=1)
+
+
+@query
+def f14_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dwell.time_windows(_stop_tables(spark, sf_dir)[1])
+    return found.select(F.round("hours", 6).alias("hours"), "n", F.col("props")[0]["id"].alias("first_prop"))
+
+
+@query
+def f14_time_windows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dwell.time_windows(_stop_tables(spark, sf_dir)[1], whole_hours=True).select("hours", "n")
+
+
+@query
+def f15_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, props = _stop_tables(spark, sf_dir)
+    return rounded(dwell.schedule(props, made), "lat", "lon", digits=9)
+
+
+def _fence() -> Column:
+    return inside("lat", "lon", FENCE, 3.0)
+
+
+@query
+def g01_long_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dwell.long_dwells(_stop_tables(spark, sf_dir)[1], 2.0, _fence()).select("id", "stopPropId", "duration_min")
+
+
+@query
+def g01_long_dwell_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dwell.long_dwells(_stop_tables(spark, sf_dir)[1], 2.0, _fence(), strict=True).select("id", "stopPropId", "duration_min")
+
+
+@query
+def g02_depots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dwell.depots(_stop_tables(spark, sf_dir)[1]).select("id", "stopPropId", "truckId", "dateNum", "duration_min")
+
+
+@query
+def g04_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's nearest customer-like place: the merged stops, as a table of places."""
+    made, props = _stop_tables(spark, sf_dir)
+    places = made.select("lat", "lon", F.concat(F.lit("stop "), F.col("id").cast("string")).alias("address"))
+    return dwell.nearest_address(props.withColumn("address", F.lit("")), places, 0.3).select("id", "address")
+
+
+# Places.
+
+
+@query
+def g03_geofence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gps(spark, sf_dir).where(_fence()).groupBy("truckId").agg(F.count("*").alias("inside"))
+
+
+@query
+def e08_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near(gps(spark, sf_dir), *FENCE, 1500.0).select("seq", "truckId", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query
+def e09_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gps(spark, sf_dir).where(within_box(-33.445, -33.415, -70.645, -70.60)).select("seq", "truckId")
+
+
+@query
+def h01_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = ("lat", "lon", *FENCE)
+    c = gps(spark, sf_dir).select("seq", kilometres(*at).alias("km"), miles(*at).alias("mi"), metres(*at).alias("m"), to_metres("lat").alias("m_lat"), euclidean(F.col("lat"), F.col("lon"), F.lit(FENCE[0]), F.lit(FENCE[1])).alias("squared"))
+    return c.select("seq", F.round("km", 5).alias("km"), F.round("mi", 5).alias("mi"), F.round("m", 2).alias("m"), F.round("m_lat", 2).alias("m_lat"), F.round("squared", 8).alias("squared"))
+
+
+@query
+def h05_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("time")
+    return gps(spark, sf_dir).select("seq", clock.clock(t).alias("clock"), clock.seconds(t).alias("seconds"), clock.minutes(t).alias("minutes"), F.round(clock.hours(t), 6).alias("hours"))
+
+
+@query
+def h14_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = gps(spark, sf_dir).select("seq", geojson().alias("loc"))
+    return c.select("seq", F.col("loc.type").alias("type"), F.round(F.col("loc.coordinates")[0], 9).alias("lon"), F.round(F.col("loc.coordinates")[1], 9).alias("lat"))
+
+
+@query
+def l06_grid_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = gps(spark, sf_dir).select("seq", (F.col("lat") + 0.0000137).alias("lat"), (F.col("lon") + 0.0000137).alias("lon"))
+    corner = shifted.withColumn("lat", F.round("lat", 7)).withColumn("lon", F.round("lon", 7))
+    return graph.grid_index(corner, "seq", 500.0).select("cell_y", "cell_x", F.size("keys").cast("long").alias("n"), F.col("keys")[0].alias("first_seq"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("edge"), F.col("o_custkey").alias("start"), (F.col("o_custkey") + F.col("o_orderkey") % 7).alias("end"))
+
+
+@query
+def l07_max_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.max_out_degree(_edges(spark, sf_dir))
+
+
+@query
+def e10_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.adjacency(_edges(spark, sf_dir)).select("node", F.size("edges").cast("long").alias("n"), F.col("edges")[0].alias("first_edge"))
+
+
+# Ingest.
+
+PLAN = MappingPlan({"device_id": "device_id", "timestamp": "ts_utc", "lat": "lat", "lon": "lon", "speed_kph": "speed_mps", "heading": "heading_deg", "hdop": "hdop"}, {"speed_mps": "kph"})
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = raw_records(spark, sf_dir)
+    return ingest.normalized(raw, PLAN, "job-1", "seq", AS_OF).withColumn("ingest_id", F.concat(F.lit("job-"), (F.col("seq_no") % 3).cast("string")))
+
+
+@query
+def h11_timestamp_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_records(spark, sf_dir).select("seq", F.unix_seconds(clock.repaired("timestamp")).alias("epoch"))
+
+
+@query
+def h12_unit_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "events").select("event_id", *[F.round(units.speed_mps("value", u), 6).alias(u) for u in units.SPEED], *[F.round(units.altitude_m("value", u), 6).alias(u) for u in units.ALTITUDE])
+    return c
+
+
+@query
+def h13_point_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).where("error is null").select("seq_no", "_hash")
+
+
+@query
+def h15_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _normalized(spark, sf_dir).select("seq_no", "error")
+
+
+@query
+def h21_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _normalized(spark, sf_dir).where("error is null")
+    flag = lambda n: F.coalesce(F.try_element_at("quality_flags", F.lit(n)), F.lit(False)).alias(n)
+    return rows.select("seq_no", F.round("speed_mps", 6).alias("speed_mps"), "heading_deg", "hdop", flag("flag_speed_spike"), flag("flag_bad_heading"), flag("flag_bad_hdop"))
+
+
+@query
+def b11_dedup_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the points come again in a later job, which then owns them."""
+    points, _ = ingest.split(_normalized(spark, sf_dir))
+    again = points.where("seq_no % 2 = 0").withColumn("ingest_id", F.lit("job-9"))
+    return store.upserted(points, again).select("_hash", "ingest_id", "seq_no")
+
+
+@query
+def f17_count_by_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.count_by_ingest(ingest.split(_normalized(spark, sf_dir))[0])
+
+
+@query
+def f18_ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.ingest_statistics(_normalized(spark, sf_dir))
+
+
+@query
+def f19_job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _normalized(spark, sf_dir)
+    return metrics.job_status(metrics.ingest_statistics(rows), rows.where("error is null and hdop > 2"))
+
+
+@query
+def d04_error_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lookups.error_sample(_normalized(spark, sf_dir), "error", "seq_no")
+    return found.select(F.explode("errors").alias("idx", "message"))
+
+
+@query
+def i02_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
+    return c.groupBy("event_type").agg(F.sum("p.k").alias("sum_k"), F.count("p.k").alias("n"))
+
+
+@query
+def b06_stop_props_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = gps(spark, sf_dir)
+    made, props = _stop_tables(spark, sf_dir)
+    out = export.stop_props_export(props, metrics.date_of(points), DAY)
+    return rounded(out.select("id", "lat", "lng", "time", "truckid"), "lat", "lng", digits=9)
+
+
+@query
+def b08_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gps(spark, sf_dir).select("seq", export.line("truckId", F.col("dateNum").cast("string"), "time").alias("line"))
+
+
+# Labelled extensions: not among the reference's operators.
+
+
+@query
+def x01_distance_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rolled = metrics.segments(gps(spark, sf_dir)).rollup("truckId", "dateNum").agg(metrics.total_km().alias("distance_km"))
+    return rounded(rolled, "distance_km", digits=4)
+
+
+@query
+def x02_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trips: runs of points with gaps under an hour."""
+    windows = gps(spark, sf_dir).groupBy("truckId", F.session_window("ts", "1 hour").alias("w")).agg(F.count("*").alias("points"))
+    return windows.select("truckId", F.unix_seconds("w.start").alias("start"), "points")
+
+
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
