@@ -3,35 +3,60 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CELL_METRES
 from ..functions.geo import cell
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else (on a local master only) a new one."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    known = known or f"file://{tempfile.mkdtemp(prefix='tracksmith-')}"
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(known)
+    return known
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder that all executors share (spark.checkpoint.dir)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tracksmith-')}")
+    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """Tables of a loop's rounds in the shared folder. Unlike a checkpoint, a table that is read again has its real size, so estimates do not multiply from round to round."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.root}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{self.n}")
+
+    def close(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of links (u, v), both long; the root is the component's smallest node.
 
     Nodes point at the smallest node they know of: in turn, larger neighbours and then smaller ones are moved to it.
+    A join's sides are tables of their own, so that Spark can split a node with many neighbours.
     """
+    rounds = Rounds(links.sparkSession)
 
     def least(pairs: DataFrame) -> DataFrame:
-        return saved(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        return rounds.keep(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
-    now = saved(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = rounds.keep(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(most):
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
@@ -39,13 +64,15 @@ def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
             break
         mark = seen
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = saved(both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = rounds.keep(both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = least(large)
         moved = large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(moved.unionByName(small.where("u <> m").select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        now = rounds.keep(moved.unionByName(small.where("u <> m").select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     else:
         raise RuntimeError(f"links still change after {most} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    found = saved(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    rounds.close()
+    return found
 
 
 def adjacency(edges: DataFrame, edge: str = "edge", start: str = "start", end: str = "end") -> DataFrame:

@@ -41,7 +41,7 @@ class Store:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
     def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/_current"
+        return f"{self.root}/{name}/current"
 
     def _version(self, name: str) -> str | None:
         fs, path = self._fs()

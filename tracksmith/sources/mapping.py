@@ -38,12 +38,11 @@ class MappingPlan:
 
 
 def field_names(schema: T.StructType, prefix: str = "") -> list[str]:
-    """Names of all fields; those inside structs with dots."""
+    """Names of all fields that are no structs; those inside structs with dots."""
     out = []
     for f in schema.fields:
-        out.append(prefix + f.name)
-        if isinstance(f.dataType, T.StructType):
-            out += field_names(f.dataType, f"{prefix}{f.name}.")
+        nested = isinstance(f.dataType, T.StructType)
+        out += field_names(f.dataType, f"{prefix}{f.name}.") if nested else [prefix + f.name]  # type: ignore[arg-type]
     return out
 
 

@@ -14,9 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clock import day_of_serial, time_of_serial
-from ..functions.clock import date_num, iso
-from ..schema import TRUCK_POINTS
+from ..functions.clock import date_num, day_of_serial, iso, time_of_serial
+from ..schema import TRUCK_POINTS, columns as schema_columns
 
 # Endings and the kind of file they tell; columns of a truck sheet, in order.
 KINDS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json", ".xlsx": "excel", ".xls": "excel", ".parquet": "parquet"}
@@ -104,7 +103,7 @@ def read_truck_sheets(spark: SparkSession, path: str, sheet: str = "Hoja1", drop
         F.col("code").alias("truckId"), F.date_format("ts", "HH:mm:ss").alias("time"), number("velocity"), number("lat"), number("lon"), date_num("ts").alias("dateNum"),
         "patent", "direction", number("temperature"), "commune", iso("ts").alias("timestamp"), "ts", F.col("_row").alias("seq"),
     )
-    return rows.select(TRUCK_POINTS.names)
+    return rows.select(schema_columns(TRUCK_POINTS))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
