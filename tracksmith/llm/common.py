@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import Rounds, saved, shared_dir
+
+__all__ = ["Rounds", "fresh", "power_of_two", "saved", "shared_dir", "slices", "table", "unit", "whole"]
+
 #: ASCII white space, as a class for Java and RE2 expressions.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -17,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (on a local master only) a new one."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(known)
-        return known
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="tracksmith-")
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names near those given that clash with none of df's, whatever their case."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -16,10 +16,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh, saved, unit, whole
+from .common import Rounds, fresh, saved, unit, whole
 
 #: Margins, with the exponent by which each flattens the shares found (1: as found, 0: all equal).
 SMOOTHING = {"source": 0.5, "lang": 0.7, "topic": 0.8}
@@ -36,7 +36,7 @@ def topic(text: Column | str) -> Column:
 
 def words(text: Column | str) -> Column:
     """Words of the text: the first characters of runs without white space."""
-    return F.regexp_count(whole(text), F.lit(rf"[^\x20\x09-\x0D]+")).cast("long")
+    return F.regexp_count(whole(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def rake(cells: pd.DataFrame, margins: Sequence[str], smoothing: dict[str, float], rounds: int = ROUNDS) -> np.ndarray:
@@ -76,23 +76,27 @@ def cell_chances(cells: DataFrame, margins: Sequence[str], smoothing: dict[str,
         found = found.assign(share=share, chance=probabilities(coded.tokens.to_numpy(float), share, keep))
         schema = ", ".join(f"{m} string" for m in margins) + ", tokens long, share double, chance double"
         return F.broadcast(spark.createDataFrame(found, schema)) if len(found) else spark.createDataFrame([], schema)
+    steps = Rounds(spark)
     total = cells.agg(F.sum("tokens")).first()[0] or 1
-    now = saved(cells.withColumn("share", F.col("tokens") / float(total)))
+    now = steps.keep(cells.withColumn("share", F.col("tokens") / float(total)))
     targets = {}
     for m in margins:
         raised = now.groupBy(m).agg(F.sum("share").alias("found")).withColumn("raised", F.when(F.col("found") > 0, F.pow("found", F.lit(smoothing[m]))).otherwise(0.0))
-        targets[m] = saved(raised.select(m, (F.col("raised") / raised.agg(F.sum("raised")).first()[0]).alias("target")))
+        targets[m] = steps.keep(raised.select(m, (F.col("raised") / (raised.agg(F.sum("raised")).first()[0] or 1.0)).alias("target")))
     for _ in range(rounds):
         for m in margins:
             scale = now.groupBy(m).agg(F.sum("share").alias("found")).join(targets[m], m).select(m, F.when(F.col("found") > 0, F.col("target") / F.col("found")).otherwise(0.0).alias("scale"))
-            now = now.join(scale, m).withColumn("share", F.col("share") * F.col("scale")).drop("scale")
-        now = saved(now)
+            now = steps.keep(now.join(scale, m).withColumn("share", F.col("share") * F.col("scale")).drop("scale"))
     low, high, asked = 0.0, float(total) * 1e6, F.col("share") / F.greatest("tokens", F.lit(1))
-    for _ in range(80):  # the scale at which the expected tokens come to what is wanted
-        mid = (low + high) / 2
+    for _ in range(100):  # the scale at which the expected tokens come to what is wanted
+        mid = (low * high) ** 0.5 if low else high / 1e6
         got = now.agg(F.sum(F.least(F.lit(1.0), asked * mid) * F.col("tokens"))).first()[0] or 0
         low, high = (mid, high) if got < keep * total else (low, mid)
-    return now.withColumn("chance", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), asked * high)).otherwise(1.0))
+        if high - low <= 1e-9 * high or high < 1e-300:
+            break
+    found = saved(now.withColumn("chance", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), asked * high)).otherwise(1.0)))
+    steps.close()
+    return found
 
 
 def calibrated(df: DataFrame, margins: dict[str, Column] | None = None, smoothing: dict[str, float] | None = None, keep: float = KEEP, rounds: int = ROUNDS, text: str = "text", most: int = CELLS) -> tuple[DataFrame, dict[str, str]]:

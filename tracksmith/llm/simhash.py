@@ -21,8 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
-from .components import components
+from ..operators.graph import connected_components
+from .common import fresh, saved, slices
 
 #: Fingerprints of this distance or less are linked; the covering below is built for it.
 DISTANCE = 3
@@ -140,7 +140,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
     """key, fingerprint (16 hex digits), component_id (the smallest id that links reach) of every row."""
     rows = saved(fingerprints(df, text, key, shingle))
     nodes = saved(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = saved(components(links_of(nodes)))
+    roots = connected_components(links_of(nodes))
     names = nodes.join(roots, nodes.fp == roots.node).groupBy("root").agg(F.min("least").alias("component"))
     named = roots.join(names, "root").select(F.col("node").alias("fp"), "component")
     lookup = saved(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")))
@@ -149,5 +149,6 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shin
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5) -> DataFrame:
     """The rows of df whose id is the smallest of its component; rows with a null id stay."""
-    gone = near_duplicates(df, text, key, shingle).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone__")).distinct()
-    return df.join(gone, df[key] == F.col("gone__"), "left_anti")
+    (name,) = fresh(df, "gone__")
+    gone = near_duplicates(df.select(key, text), text, key, shingle).where(F.col(key) != F.col("component_id")).select(F.col(key).alias(name)).distinct()
+    return df.join(gone, df[key] == gone[name], "left_anti")
