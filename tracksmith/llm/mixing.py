@@ -51,7 +51,7 @@ def rake(cells: pd.DataFrame, margins: Sequence[str], smoothing: dict[str, float
     for _ in range(rounds):
         for code, target in zip(codes, targets, strict=True):
             now = np.bincount(code, share)
-            share = share * np.divide(target, now, out=np.zeros_like(now), where=now > 0)[code]
+            share = share * np.divide(target, now, out=np.zeros(len(now)), where=now > 0)[code]
     return share
 
 
