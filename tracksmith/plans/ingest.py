@@ -42,13 +42,18 @@ def normalized(df: DataFrame, plan: MappingPlan, ingest_id: str = "", seq: str |
         F.coalesce(*broken, F.lit(None).cast("string")).alias("_broken"),
     )
     col = F.col
-    error = F.coalesce(
-        col("_broken"),
-        checks.required(device_id=col("device_id"), ts_utc=col("_ts"), lat=col("lat"), lon=col("lon")),
-        F.when(col("ts_utc").isNull(), F.concat(F.lit("Cannot parse timestamp: "), col("_ts"))),
-        checks.time(col("ts_utc"), as_of),
-        checks.coordinates(col("lat"), col("lon")),
-    )
+
+    def rule(r: Column) -> Column:
+        return F.coalesce(
+            r["_broken"],
+            checks.required(device_id=r["device_id"], ts_utc=r["_ts"], lat=r["lat"], lon=r["lon"]),
+            F.when(r["ts_utc"].isNull(), F.concat(F.lit("Cannot parse timestamp: "), r["_ts"])),
+            checks.time(r["ts_utc"], as_of),
+            checks.coordinates(r["lat"], r["lon"]),
+        )
+
+    # Through one array element: a filter on the error then goes down to the scan with each input written once, not once for every use.
+    error = F.get(F.transform(F.array(F.struct("_broken", "device_id", "_ts", "ts_utc", "lat", "lon")), rule), 0)
     (speed, spike), (heading, turned), (hdop, vague) = checks.speed(col("speed_mps")), checks.heading(col("heading_deg")), checks.hdop(col("hdop"))
     raised = checks.flags(flag_speed_spike=spike, flag_bad_heading=turned, flag_bad_hdop=vague)
     raw = F.when(raised.isNull(), F.concat(F.lit('{"original":'), col(_RAW), F.lit("}"))).otherwise(F.concat(F.lit('{"original":'), col(_RAW), F.lit(',"meta":{"quality_flags":'), F.to_json(raised), F.lit("}}")))
