@@ -61,6 +61,14 @@ def test_shards(nasty, rows):
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
 
 
+def test_shards_are_written(spark, nasty, rows, tmp_path):
+    sharding.write_shards(nasty, f"{tmp_path}/out", 4)
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert Counter((r.doc_id, r.text, r.rank__) for r in got) == Counter((r.doc_id, r.text, r.rank__) for r in rows)
+    want = {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.shard(nasty, 4).collect()}
+    assert {(r.doc_id, zlib.crc32((r.text or "").encode()), r["shard"], r.slot) for r in got} == want
+
+
 def test_shards_hold_each_source_in_proportion(spark):
     frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"))
     made = sharding.shard(frame, 8).join(frame, "doc_id").groupBy("source", "shard").count().collect()

@@ -17,14 +17,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import power_of_two, whole
+from .common import fresh, power_of_two, whole
 
 #: Most buckets of a source, and rows that a bucket should hold while there are fewer.
 BUCKETS, BUCKET_ROWS = 1 << 16, 256
 
 
-def interleave(df: DataFrame, stratum: str = "source", key: str = "doc_id", text: str = "text", seed: int = 42) -> tuple[DataFrame, int]:
-    """(id, size, crc, pos) of every row, pos 0.. in the interleaved order, and the number of rows."""
+def interleave(df: DataFrame, stratum: str = "source", key: str = "doc_id", text: str = "text", seed: int = 42, carry: bool = False) -> tuple[DataFrame, int]:
+    """(id, size, crc, pos) of every row, pos 0.. in the interleaved order, and the number of rows; with carry, the row itself goes along as a struct."""
     n = df.count()
     buckets = min(BUCKETS, power_of_two(n / BUCKET_ROWS))
     rows = df.select(
@@ -33,30 +33,45 @@ def interleave(df: DataFrame, stratum: str = "source", key: str = "doc_id", text
         F.crc32(F.encode(whole(text), "UTF-8")).alias("crc"),
         F.when(F.col(stratum).isNull(), "0").otherwise(F.concat(F.lit("1"), F.col(stratum).cast("string"))).alias("stratum"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))).alias("h"),
+        *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []),
     ).withColumn("bucket", F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
     counts = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("stratum", "bucket", F.coalesce(before, F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("stratum")).alias("of"))
     within = Window.partitionBy("stratum", "bucket").orderBy("h", "id", "crc", "size")
     ranked = rows.withColumn("rank", F.row_number().over(within)).join(starts, ["stratum", "bucket"])
-    placed = ranked.select("id", "size", "crc", "stratum", "h", ((F.col("start") + F.col("rank") - 0.5) / F.col("of")).alias("part")).withColumn("bucket", F.floor(F.col("part") * buckets).cast("int"))
+    more = ["row"] if carry else []
+    placed = ranked.select("id", "size", "crc", "stratum", "h", *more, ((F.col("start") + F.col("rank") - 0.5) / F.col("of")).alias("part")).withColumn("bucket", F.floor(F.col("part") * buckets).cast("int"))
     totals = placed.groupBy("bucket").agg(F.count("*").alias("n"))
     begins = totals.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))  # BUCKETS rows at most
     order = Window.partitionBy("bucket").orderBy("part", "stratum", "h", "id", "crc", "size")
-    return placed.withColumn("rank", F.row_number().over(order)).join(begins, "bucket").select("id", "size", "crc", (F.col("begin") + F.col("rank") - 1).alias("pos")), n
+    return placed.withColumn("rank", F.row_number().over(order)).join(begins, "bucket").select("id", "size", "crc", *more, (F.col("begin") + F.col("rank") - 1).alias("pos")), n
+
+
+def cut(placed: DataFrame, n: int, shards: int) -> DataFrame:
+    """Equal cuts of the order: shard, and slot within it."""
+    found = placed.withColumn("shard", F.expr(f"CAST(pos * {shards} div {max(n, 1)} AS INT)"))
+    return found.withColumn("slot", F.col("pos") - F.expr(f"(CAST(shard AS BIGINT) * {n} + {shards - 1}) div {shards}"))
+
+
+def write_shards(df: DataFrame, path: str, shards: int = 8, files: int = 1, stratum: str = "source", key: str = "doc_id", text: str = "text", seed: int = 42) -> None:
+    """The rows of df as Parquet below path/shard=K/, in about `files` files for each shard, in the order of their slots (column slot)."""
+    placed, n = interleave(df, stratum, key, text, seed, carry=True)
+    shard_, slot = fresh(df, "shard", "slot")
+    rows = cut(placed, n, shards).select("row.*", F.col("shard").alias(shard_), F.col("slot").alias(slot))
+    rows.repartitionByRange(shards * files, shard_, slot).sortWithinPartitions(shard_, slot).write.partitionBy(shard_).parquet(path)
 
 
 def shard(df: DataFrame, shards: int = 8, stratum: str = "source", key: str = "doc_id", text: str = "text", seed: int = 42) -> DataFrame:
     """key, size, text_crc32, law ('rows'), shard 0 to shards - 1, slot (gapless in a shard), grown_shard (null: the law gives none)."""
     placed, n = interleave(df, stratum, key, text, seed)
-    which = F.expr(f"pos * {shards} div {max(n, 1)}")
-    return placed.withColumn("shard", which).select(
+    return cut(placed, n, shards).select(
         F.col("id").alias(key),
         "size",
         F.col("crc").alias("text_crc32"),
         F.lit("rows").alias("law"),
-        F.col("shard").cast("int").alias("shard"),
-        (F.col("pos") - F.expr(f"(shard * {n} + {shards - 1}) div {shards}")).alias("slot"),
+        "shard",
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
