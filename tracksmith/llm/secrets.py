@@ -75,26 +75,27 @@ def hot_stretch(candidate: Column, rule: Entropy) -> Column:
     """struct<first, last>: from the first window that reaches the class's entropy to the end of the last; null if none does."""
     w, weight = rule.window, F.array(*[F.lit(x).cast("long") for x in rule.weights])
     limit = F.when(F.rlike(candidate, F.lit("^[0-9A-Fa-f]+$")), rule.most(rule.hex_bits)).otherwise(rule.most(rule.other_bits)).cast("long")
-    codes = F.transform(F.split(candidate, ""), lambda ch: F.ascii(ch))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-
-    def step(a: Column, i: Column) -> Column:
-        came, went = F.get(codes, i), F.when(i >= w, F.get(codes, i - w)).otherwise(-1)
-        counts, same = a["counts"], came == went
-        more, less = F.get(counts, came), F.coalesce(F.get(counts, F.greatest(went, F.lit(0))), F.lit(0))
-        grown = F.get(weight, F.least(more + 1, F.lit(w))) - F.get(weight, more)
-        shrunk = F.when(went >= 0, F.get(weight, less) - F.get(weight, F.greatest(less - 1, F.lit(0)))).otherwise(0)
-        total = F.when(same, a["sum"]).otherwise(a["sum"] + grown - shrunk).cast("long")
+    # Each step sees its character only: what a fold's body computes from the whole string would be computed at every step.
+    steps = F.transform(F.split(candidate, ""), lambda ch, i: F.struct(ch.alias("ch"), i.alias("i")))
+    start = F.struct(F.lit("").alias("window"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    held = lambda text, ch: F.char_length(text) - F.char_length(F.replace(text, ch, F.lit("")))
+
+    def step(a: Column, x: Column) -> Column:
+        window, ch, i = a["window"], x["ch"], x["i"]
+        full = F.char_length(window) == w
+        gone, rest = F.substring(window, 1, 1), F.when(full, F.substring(window, 2, w)).otherwise(window)
+        out, more = held(window, gone), held(rest, ch)
+        lost = F.when(full, F.get(weight, out) - F.get(weight, out - 1)).otherwise(0)
+        total = (a["sum"] - lost + F.get(weight, more + 1) - F.get(weight, more)).cast("long")
         hot = (i >= w - 1) & (total <= limit)
         return F.struct(
-            F.when(same, counts).otherwise(F.transform(counts, lambda c, j: c + F.when(j == came, 1).otherwise(0) - F.when(j == went, 1).otherwise(0))).alias("counts"),
+            F.concat(rest, ch).alias("window"),
             total.alias("sum"),
             F.when(hot & a["first"].isNull(), i - (w - 1)).otherwise(a["first"]).cast("int").alias("first"),
             F.when(hot, i + 1).otherwise(a["last"]).cast("int").alias("last"),
         )
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.char_length(candidate) - 1), start, step)
-    return F.struct(folded["first"].alias("first"), folded["last"].alias("last"))
+    return F.aggregate(steps, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def entropy_spans(text: Column, rule: Entropy) -> Column:
