@@ -16,7 +16,7 @@ def nasty(spark):
     long = " ".join(word() for _ in range(60_000))
     texts = [None, "", " ", "\n\t ", "x", "<|endoftext|>", "á é'll 中文 \x1c 　z", long, long, "Ö" * 20_000, *prose, *prose[:10], prose[0] + " ", prose[1].replace(" ", "\n"), 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"']
     rows = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["s0", "s0", "s0", "s1", None]), len(t or "")) for i, t in enumerate(texts)]
-    rows += [rows[12], rows[12], (None, prose[2], None, None, None), (None, None, None, None, None)]
+    rows += [((1 << 62) + 1, prose[3] + " tail", "en", "s1", 9), rows[12], rows[12], (None, prose[2], None, None, None), (None, None, None, None, None)]
     frame = spark.createDataFrame([(*r, *("c" for _ in CLASHING)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING))
     return frame.repartition(3)
 

@@ -274,12 +274,13 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
         if pieces:
             yield pd.DataFrame([(own, *e.finished(e.join(iter(pieces)), outputs))], columns=["key", *names], dtype=object)
 
-    docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    # Ids travel as text: pandas makes floats of long columns with nulls, which do not hold every id.
+    docs = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = saved(numbered.mapInPandas(apart, f"key {kind}, row long, n int, digest binary, chunk binary, {_PIECE}"))
+    parts = saved(numbered.mapInPandas(apart, f"key string, row long, n int, digest binary, chunk binary, {_PIECE}"))
     codes = parts.where("chunk is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")).mapInPandas(once, f"digest binary, {_PIECE}")
     columns = ["key", "row", "n", "ids", "head", "tail", "n_head", "n_tail", "solid"]
     placed = parts.where("chunk is not null").select("key", "row", "n", "digest").join(codes, "digest").select(columns)
     ordered = placed.unionByName(parts.where("chunk is null").select(columns)).repartition("row").sortWithinPartitions("row", "n")
-    joined = ordered.select("key", "row", "ids", "head", "tail", "n_head", "n_tail", "solid").mapInPandas(assemble, f"key {kind}, {result}")
-    return docs.mapInPandas(alone, f"key {kind}, {result}").unionByName(joined).withColumnRenamed("key", key)
+    joined = ordered.select("key", "row", "ids", "head", "tail", "n_head", "n_tail", "solid").mapInPandas(assemble, f"key string, {result}")
+    return docs.mapInPandas(alone, f"key string, {result}").unionByName(joined).select(F.col("key").cast(kind).alias(key), *names)

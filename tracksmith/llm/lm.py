@@ -339,8 +339,9 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
         mapped.cache_clear()  # a mapped file keeps its disk when it is removed
 
     kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(run, f"key {kind}, n_tokens long, n_known long, base_score double, score double")
-    return rows.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    # Ids travel as text: pandas makes floats of long columns with nulls, which do not hold every id.
+    rows = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(run, "key string, n_tokens long, n_known long, base_score double, score double")
+    return rows.select(F.col("key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def forget(model: Model) -> None:

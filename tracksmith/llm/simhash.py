@@ -59,7 +59,9 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", shingle
             yield pd.DataFrame({"id": batch.id, "fp": found})
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).mapInPandas(run, f"id {kind}, fp long")
+    # Ids travel as text: pandas makes floats of long columns with nulls, which do not hold every id.
+    found = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).mapInPandas(run, "id string, fp long")
+    return found.select(F.col("id").cast(kind).alias("id"), "fp")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
