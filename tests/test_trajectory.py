@@ -89,7 +89,9 @@ def test_a_stop_may_join_two_anchors(spark):
     assert got == {(1, 1), (2, 2), (1, 3), (2, 3)}
 
 
-def test_merge_matches_a_plain_model(spark):
+@pytest.mark.parametrize("local", [0, 50_000])
+def test_merge_matches_a_plain_model(spark, local, monkeypatch):
+    monkeypatch.setattr(stops, "LOCAL_LINKS", local)
     from tests.helpers import km
 
     rng = random.Random(5)

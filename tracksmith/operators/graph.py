@@ -45,12 +45,35 @@ class Rounds:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
+def _joined(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, root) of few links."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in links:
+        low, high = sorted((find(u), find(v)))
+        root[high] = low
+    return [(x, find(x)) for x in root]
+
+
+def connected_components(links: DataFrame, most: int = 60, local: int = 0) -> DataFrame:
     """(node, root) for every node of links (u, v), both long; the root is the component's smallest node.
 
     Nodes point at the smallest node they know of: in turn, larger neighbours and then smaller ones are moved to it.
-    A join's sides are tables of their own, so that Spark can split a node with many neighbours.
+    A join's sides are tables of their own, so that Spark can split a node with many neighbours. Where a caller's
+    links may be few, up to `local` of them are joined on the driver at once instead of in rounds.
     """
+    if local:
+        links = saved(links.where("u <> v").select("u", "v").distinct())
+        few = links.limit(local + 1).collect()
+        if len(few) <= local:
+            return links.sparkSession.createDataFrame(_joined([(r.u, r.v) for r in few]), "node long, root long")
     rounds = Rounds(links.sparkSession)
 
     def least(pairs: DataFrame) -> DataFrame:

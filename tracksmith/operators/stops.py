@@ -139,13 +139,17 @@ def find_stops_simple(points: DataFrame, reach_km: float = STOP_RADIUS_KM, least
     return find_stops(points, reach_km, least_minutes, sample_minutes)
 
 
+#: Links of grid cells, about 1 MB, up to which regions are joined on the driver.
+LOCAL_LINKS = 50_000
+
+
 def regions(stops: DataFrame, reach_km: float = STOP_RADIUS_KM) -> DataFrame:
     """stops with `region`: rows within reach of each other, by any chain, share it. Only occupied cells are linked, not rows."""
     node = F.xxhash64("x", "y", "z")
     placed = stops.select("*", *sphere_cell(reach_km))
     used = placed.select("x", "y", "z").distinct()
     near = around(used.withColumn("u", node)).where("i > 0 or i = 0 and (j > 0 or j = 0 and k > 0)")
-    roots = connected_components(near.join(used, ["x", "y", "z"]).select("u", node.alias("v")))
+    roots = connected_components(near.join(used, ["x", "y", "z"]).select("u", node.alias("v")), local=LOCAL_LINKS)
     return placed.withColumn("node", node).join(roots, "node", "left").withColumn("region", F.coalesce("root", "node")).drop("node", "root", "x", "y", "z")
 
 
