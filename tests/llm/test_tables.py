@@ -13,7 +13,7 @@ def model_chats(rows):
     for c, turn, role, text in {tuple(r) for r in rows}:
         if c is not None:
             found.setdefault(c, set()).add((turn, role or "unknown", text or ""))
-    order = lambda t: (t[0] is not None, t[0] or 0, t[1])
+    order = lambda t: (t[0] is not None, t[0] or 0, t[1], t[2].encode())
     whole = {c: tuple(x[1:] for x in sorted(t, key=order)) for c, t in found.items()}
     kept = {}
     for c, t in sorted(whole.items()):
@@ -45,6 +45,17 @@ def test_chats_of_equal_content_leave_the_smallest(spark):
     assert (row.conv_id, row.n_turns, row.n_copies) == (0, 2, 300)
 
 
+def test_chats_with_two_texts_in_one_turn(spark):
+    """[b] is no prefix of [a, b, z], whatever the letters: turns are told apart by their texts, not by hashes of these."""
+    for a, b in (("a", "b"), ("c", "d"), ("e", "f"), ("x", "y")):
+        rows = [(1, 0, "user", b), (2, 0, "user", a), (2, 0, "user", b), (2, 1, "user", "z"), (3, 0, "user", a)]
+        frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        got = {r.conv_id: r for r in chat.format_chats(frame).collect()}
+        assert set(got) == {1, 2}
+        assert got[2].rendered == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in (a, b, "z"))
+        assert model_chats(rows) == {c: (r.n_turns, r.n_copies) for c, r in got.items()}
+
+
 def brute(vectors, every, k):
     out = {}
     for q, a in vectors.items():

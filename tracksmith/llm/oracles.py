@@ -72,8 +72,8 @@ _OP7 = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 o AS (
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS turns,
-         string_agg(sha256(role || chr(10) || text), ',') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(10) || text) ROWS UNBOUNDED PRECEDING) AS prefix
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(role || chr(10) || text))),
+         string_agg(sha256(role || chr(10) || text), ',') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS prefix
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 whole AS (SELECT min(conv_id) AS conv_id, count(*) AS copies, turns, prefix FROM o WHERE place = turns GROUP BY turns, prefix),
 kept AS (SELECT conv_id, copies FROM whole w WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.place < o.turns AND o.place = w.turns AND o.prefix = w.prefix))
 SELECT conv_id, count(*) AS n_turns, min(copies) AS n_copies, count(*) FILTER (role = 'assistant') AS n_assistant,
@@ -98,7 +98,7 @@ def _either(word: str) -> str:
 def _op10() -> str:
     keys = "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key")))
     assign = rf"""({keys})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
-    allow = r"^[A-Za-z]+([-_+/=]+[A-Za-z]*)*$|^[0-9]+([-_+/=]+[0-9]*)*$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i)(example|sample|placeholder|dummy|0123456789)"
+    allow = r"^[A-Za-z][A-Za-z_+/=-]*$|^[0-9][0-9_+/=-]*$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i)(example|sample|placeholder|dummy|0123456789)"
     return rf"""
 WITH pat(kind, name, re, least) AS (VALUES (0, 'assign', '{assign}', 12), (1, 'access', 'AKIA[A-Z0-9]+', 18), (2, 'hex', '[0-9a-f]+', 16), (3, 'entropy', '[A-Za-z0-9+/_=-]{{20,}}', 20)),
 m AS MATERIALIZED (SELECT doc_id, kind, re, least, regexp_extract_all(t, re) AS f, regexp_split_to_array(t, re) AS g FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents), pat),
@@ -106,7 +106,7 @@ u AS (SELECT doc_id, kind, re, least, i, f[i] AS found, length(g[i]) + length(f[
 s AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM u),
 k AS (SELECT doc_id, kind, (stop - length(found))::BIGINT AS start, stop::BIGINT AS stop, found FROM s
       WHERE length(CASE WHEN kind = 0 THEN regexp_extract(found, re, 2) ELSE found END) >= least),
-cand AS (SELECT *, row_number() OVER () AS c, CASE WHEN regexp_matches(found, '^[0-9A-Fa-f]+$') THEN 3.0::DOUBLE ELSE 3.6::DOUBLE END AS bits
+cand AS (SELECT *, row_number() OVER () AS c, CASE WHEN regexp_matches(found, '^[0-9A-Fa-f]+$') THEN 3.0::DOUBLE WHEN regexp_matches(found, '^[0-9A-Z]+$') THEN 3.3::DOUBLE ELSE 3.6::DOUBLE END AS bits
          FROM k WHERE kind = 3 AND NOT regexp_matches(found, '{allow}')),
 win AS (SELECT c, doc_id, start, bits, i, substr(found, i + 1, 20) AS w FROM cand, unnest(range(0, length(found) - 19)) AS r(i)),
 cnt AS (SELECT c, doc_id, start, bits, i, ch, count(*) AS n FROM (SELECT *, unnest(string_split(w, '')) AS ch FROM win) GROUP BY ALL),

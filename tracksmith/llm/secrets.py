@@ -2,13 +2,14 @@
 
 Base kinds are regular expressions; beside them, long strings of one character class are scanned with a sliding
 window whose Shannon entropy comes from counts that change by one character in and one out. A string is reported
-where windows reach the class's entropy, unless the allow-list names it.
+where windows reach the entropy of its class (hex digits, capitals and digits, others), unless the allow-list names it.
 
 Offsets are in code points, ends exclusive. Positions come from what lies between the matches: the lengths of
 gaps and matches, summed up. All of a text is scanned.
 
 Defined cases: a null text counts as empty; a text without matches has no spans (and the digest of an empty
-string); texts of any length are scanned whole; an empty table gives no rows; repeated rows are scanned each.
+string); texts of any length are scanned whole; an empty table gives no rows; repeated rows are scanned each;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +30,19 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"  # runs are taken whole, so 18 characters at least
 HEX = r"[0-9a-f]{16,}"
 
 
+#: The characters of a candidate string.
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+
+
 @dataclass(frozen=True)
 class Entropy:
-    """Windows of `window` characters; strings of hex digits need `hex_bits` a character, others `other_bits`."""
+    """Windows of `window` characters. classes: expressions that a whole string may match, the first counts, and the bits a character that its windows need."""
 
     window: int = 20
-    hex_bits: float = 3.0
-    other_bits: float = 3.6
+    classes: tuple[tuple[str, float], ...] = (("^[0-9A-Fa-f]+$", 3.0), ("^[0-9A-Z]+$", 3.3), ("^[0-9A-Za-z+/_=-]+$", 3.6))
     #: Strings that are no secrets: words, words joined by marks, numbers, UUIDs, paths of words, stated placeholders.
-    allow: str = r"^[A-Za-z]+([-_+/=]+[A-Za-z]*)*$|^[0-9]+([-_+/=]+[0-9]*)*$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i)(example|sample|placeholder|dummy|0123456789)"
+    #: No group repeats without bound in it: Java's matcher would recurse for each repetition of a long string.
+    allow: str = r"^[A-Za-z][A-Za-z_+/=-]*$|^[0-9][0-9_+/=-]*$|^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|(?i)(example|sample|placeholder|dummy|0123456789)"
 
     @property
     def weights(self) -> list[int]:
@@ -72,34 +77,42 @@ def spans(text: Column, kind: int, pattern: str, least: int = 0, group: int = 0)
 
 
 def hot_stretch(candidate: Column, rule: Entropy) -> Column:
-    """struct<first, last>: from the first window that reaches the class's entropy to the end of the last; null if none does."""
-    w, weight = rule.window, F.array(*[F.lit(x).cast("long") for x in rule.weights])
-    limit = F.when(F.rlike(candidate, F.lit("^[0-9A-Fa-f]+$")), rule.most(rule.hex_bits)).otherwise(rule.most(rule.other_bits)).cast("long")
-    # Each step sees its character only: what a fold's body computes from the whole string would be computed at every step.
-    steps = F.transform(F.split(candidate, ""), lambda ch, i: F.struct(ch.alias("ch"), i.alias("i")))
-    start = F.struct(F.lit("").alias("window"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    held = lambda text, ch: F.char_length(text) - F.char_length(F.replace(text, ch, F.lit("")))
+    """struct<first, last>: from the first window that reaches the class's entropy to the end of the last; null if none does.
+
+    The window's counts are kept as one character for each of ALPHABET, and each step changes two of them; the sum of
+    c log c changes with them. A step that takes in the character that it gives up changes nothing.
+    """
+    w, weight = rule.window, rule.weights
+    taking = F.array(*[F.lit(b - a).cast("long") for a, b in zip(weight[:-1], weight[1:], strict=True)])  # by the count before
+    giving = F.array(*[F.lit(a - b).cast("long") for a, b in zip([0, *weight[:-1]], weight, strict=True)])
+    limit = F.lit(None).cast("long")
+    for pattern, bits in reversed(rule.classes):
+        limit = F.when(F.rlike(candidate, F.lit(pattern)), F.lit(rule.most(bits)).cast("long")).otherwise(limit)
+    # Each step sees its two places only: what a fold's body computes from the whole string would be computed at every step.
+    at = F.transform(F.split(candidate, ""), lambda ch: F.instr(F.lit(ALPHABET), ch))
+    behind = F.slice(F.concat(F.array_repeat(F.lit(0), w), at), F.lit(1), F.size(at))
+    steps = F.transform(F.arrays_zip(at.alias("in"), behind.alias("out")), lambda s, i: F.struct(s["in"].alias("in"), s["out"].alias("out"), i.alias("i")))
+    start = F.struct(F.lit("0" * len(ALPHABET)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    count = lambda a, place: F.ascii(F.substring(a["counts"], place, 1)) - 48
 
     def step(a: Column, x: Column) -> Column:
-        window, ch, i = a["window"], x["ch"], x["i"]
-        full = F.char_length(window) == w
-        gone, rest = F.substring(window, 1, 1), F.when(full, F.substring(window, 2, w)).otherwise(window)
-        out, more = held(window, gone), held(rest, ch)
-        lost = F.when(full, F.get(weight, out) - F.get(weight, out - 1)).otherwise(0)
-        total = (a["sum"] - lost + F.get(weight, more + 1) - F.get(weight, more)).cast("long")
-        hot = (i >= w - 1) & (total <= limit)
+        same, more, less = x["in"] == x["out"], count(a, x["in"]), count(a, x["out"])
+        lost = F.when(x["out"] > 0, F.get(giving, less)).otherwise(0)
+        total = F.when(same, a["sum"]).otherwise(a["sum"] + F.get(taking, more) + lost)
+        left = F.when(x["out"] > 0, F.overlay(a["counts"], F.chr(47 + less), x["out"])).otherwise(a["counts"])
+        hot = (x["i"] >= w - 1) & (total <= limit)
         return F.struct(
-            F.concat(rest, ch).alias("window"),
+            F.when(same, a["counts"]).otherwise(F.overlay(left, F.chr(49 + more), x["in"])).alias("counts"),
             total.alias("sum"),
-            F.when(hot & a["first"].isNull(), i - (w - 1)).otherwise(a["first"]).cast("int").alias("first"),
-            F.when(hot, i + 1).otherwise(a["last"]).cast("int").alias("last"),
+            F.when(hot & a["first"].isNull(), x["i"] - (w - 1)).otherwise(a["first"]).cast("int").alias("first"),
+            F.when(hot, x["i"] + 1).otherwise(a["last"]).cast("int").alias("last"),
         )
 
     return F.aggregate(steps, start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
 
 def entropy_spans(text: Column, rule: Entropy) -> Column:
-    pattern = f"[A-Za-z0-9+/_=-]{{{rule.window},}}"
+    pattern = f"[0-9A-Za-z+/_=-]{{{rule.window},}}"
     suspects = F.filter(spans(text, 3, pattern), lambda s: ~F.rlike(s["found"], F.lit(rule.allow)))
     scanned = F.transform(suspects, lambda s: F.struct(s["start"].alias("start"), hot_stretch(s["found"], rule).alias("hot")))
     hot = F.filter(scanned, lambda s: s["hot"]["first"].isNotNull())
