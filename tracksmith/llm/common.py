@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Rounds, saved, shared_dir
 
-__all__ = ["Rounds", "fresh", "power_of_two", "saved", "shared_dir", "slices", "table", "unit", "whole"]
+__all__ = ["Rounds", "fresh", "named", "power_of_two", "saved", "shared_dir", "slices", "table", "unit", "whole"]
 
 #: ASCII white space, as a class for Java and RE2 expressions.
 SPACE = r"[\x20\x09-\x0D]"
@@ -41,6 +41,21 @@ def whole(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).cast("string")
 
 
+#: A key that more than one of so many rows has goes by broadcast in named().
+HEAVY = 1000
+
+
+def named(rows: DataFrame, names: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with names, which has one row for each key and in `count` how many of the `total` rows have it.
+
+    No task gets all rows of a hot key: the names of keys that more than total / HEAVY rows have, HEAVY at most, are
+    broadcast; only other keys are shuffled.
+    """
+    hot = F.broadcast(names.where(F.col(count) * HEAVY > total))
+    rest = rows.join(hot.select(key), key, "left_anti").join(names.where(F.col(count) * HEAVY <= total), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def slices(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The texts as UTF-8 (null: empty), in runs of about `most` bytes and one text at least, with each run's start."""
     run, start, size, i = [], 0, 0, -1
