@@ -65,9 +65,10 @@ def duplicate_groups(df: DataFrame, text: str = "text", key: str = "doc_id", cou
     place = F.struct(F.col("id").isNull().alias("last"), "id", "row").alias("place")
     rows = saved(ids).select("digest", place)
     heavy = F.broadcast(saved(winners(rows, counters)))  # counters rows at most
-    same = Window.partitionBy("digest")
     hot = rows.join(heavy, "digest").select("digest", "place", "winner", "size")
-    rest = rows.join(heavy, "digest", "left_anti").select("digest", "place", F.min("place").over(same).alias("winner"), F.count("*").over(same).alias("size"))
+    light = rows.join(heavy, "digest", "left_anti")
+    # Counted before the shuffle and joined: a group is streamed, not held, and Spark may split it.
+    rest = light.join(light.groupBy("digest").agg(F.min("place").alias("winner"), F.count("*").alias("size")), "digest").select("digest", "place", "winner", "size")
     return hot.unionByName(rest).select(F.col("place.id").alias(key), F.col("winner.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("place") == F.col("winner")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
