@@ -65,12 +65,19 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     return Words(mix(found), np.searchsorted(offsets, starts, "right") - 1, starts, ends, data, offsets)
 
 
-def grams(data: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n bytes at each place (len(data) - n + 1 of them)."""
-    if len(data) < n:
-        return np.zeros(0, np.uint64)
-    values = _VALUES[data]
-    out = np.zeros(len(data) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * _BASE + values[k : len(data) - n + 1 + k]
-    return mix(out)
+def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the n characters at each place of each text; none goes over a text's end."""
+    begins = np.flatnonzero((w.data & 0xC0) != 0x80)  # where characters begin; each text has a space behind it
+    first, last = begins[: len(begins) - n], begins[n:]
+    text = np.searchsorted(w.offsets, first, "right") - 1
+    inside = last < w.offsets[text + 1]
+    first, last, text = first[inside], last[inside], text[inside]
+    out = np.zeros(len(first), np.uint64)
+    values = _VALUES[w.data]
+    for k in range(int((last - first).max(initial=0))):  # 4 n steps at most
+        use = first + k < last
+        if use.all():
+            out = out * _BASE + values[first + k]
+        else:
+            out[use] = out[use] * _BASE + values[first[use] + k]
+    return mix(out), text

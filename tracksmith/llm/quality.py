@@ -1,14 +1,15 @@
 """A quality classifier of learned subword embeddings.
 
-Words, pairs of neighbouring words and character n-grams are hashed into buckets, each with a learned vector. A
+Words, pairs of neighbouring words and n-grams of characters (white space is one too) are hashed into buckets, each with a learned vector. A
 document is the average of its vectors; a softmax layer gives its classes' probabilities. A pair of two equal words
 has one bucket of its own, whatever the word. Vectors and layer are trained together by stochastic gradient descent
-with numpy on a bounded sample of the labelled rows. As both layers are linear, scoring needs one number a bucket.
+with numpy on a bounded sample of the labelled rows (Settings.most, most_buckets). As both layers are linear, scoring needs one number a bucket.
 
 Defined cases: a null text counts as empty; a text without features is scored by the layer's bias alone; without
 labelled rows, or with one class only, the score is that class's smoothed share; labels that are null, or of rows
 outside the table, are not used; repeated rows are scored each, and count as often in training as they stand there;
-texts of any length are read whole; an empty table gives no rows.
+texts of any length are read whole; an empty table gives no rows; scores() keeps all columns as they are, and adds
+its own under the first free name like `name`.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import slices
+from .common import fresh, saved, slices
 
 
 @dataclass(frozen=True)
@@ -36,8 +37,9 @@ class Settings:
     vector_rate: float = 300.0
     layer_rate: float = 1.0
     bias_rate: float = 0.1
-    #: Labelled documents of each class that training takes at most, by the order of a hash of their ids.
+    #: Labelled documents of each class that training takes at most, by the order of a hash of their ids, and the buckets that all of them may have.
     most: int = 1500
+    most_buckets: int = 8_000_000
     seed: int = 42
 
 
@@ -55,11 +57,9 @@ def features(run: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     pair = np.where(a == b, np.uint64(0xE0A1), hashing.mix(a * np.uint64(3) + b))
     texts, found = [w.text, w.text[1:][near]], [w.hash, pair]
     for n in s.grams:
-        h = hashing.grams(w.data, n)
-        at = np.searchsorted(w.offsets, np.arange(len(h)), "right") - 1
-        inside = np.arange(len(h)) + n < w.offsets[at + 1]  # not over a text's end
-        texts.append(at[inside])
-        found.append(h[inside])
+        h, at = hashing.grams(w, n)
+        texts.append(at)
+        found.append(h)
     return np.concatenate(texts), (np.concatenate(found) & np.uint64(s.buckets - 1)).astype(np.int64)
 
 
@@ -122,7 +122,14 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, s: S
                 yield pd.DataFrame(rows, columns=["at", "share"]).assign(id=batch.id.iloc[start : start + len(run)].to_numpy(), label=batch.label.iloc[start : start + len(run)].to_numpy())[["id", "label", "at", "share"]]
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(chosen, "id").select("id", "label", "text")
-    found = rows.mapInPandas(hashed, "id " + dict(docs.dtypes)[key] + ", label int, at binary, share binary").toPandas().sort_values(["id", "label", "at"], ignore_index=True)
+    # An id may stand in the table many times: the bound holds for rows, and for what they weigh, again.
+    places = rows.select("id", "label", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
+    bounded = [places.where(F.col("label") == c).orderBy(order, "id", "digest").limit(s.most) for c in (0, 1)]
+    made = saved(bounded[0].unionByName(bounded[1]).mapInPandas(hashed, "id " + dict(docs.dtypes)[key] + ", label int, at binary, share binary"))
+    weights = made.select("label", order.alias("order"), "id", "at", "share", (F.octet_length("at") / 4).alias("n"))
+    heavy = Window.partitionBy("label").orderBy("order", "id", "at").rowsBetween(Window.unboundedPreceding, -1)  # s.most rows at most
+    light = weights.withColumn("before", F.coalesce(F.sum("n").over(heavy), F.lit(0.0))).where(F.col("before") < s.most_buckets / 2)
+    found = light.select("id", "label", "at", "share").toPandas().sort_values(["id", "label", "at"], ignore_index=True)
     pairs = [(np.frombuffer(a, "<u4"), np.frombuffer(x, "<f4")) for a, x in zip(found["at"], found["share"], strict=True)]
     y = found["label"].to_numpy(np.int64)
     took = np.maximum(np.bincount(y, minlength=2), 1) if len(y) else np.ones(2)
@@ -131,7 +138,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, s: S
 
 
 def scores(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "text", name: str = "score") -> DataFrame:
-    """docs with a further double column, the probability of label 1."""
+    """docs with a further double column, the probability of label 1; fresh(docs, name) tells its name."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -139,4 +146,4 @@ def scores(docs: DataFrame, model: Model, s: Settings = Settings(), text: str =
         for batch in batches:
             yield pd.Series(np.concatenate([np.zeros(0), *(score(run, held.value, s) for _, run in slices(batch))]))
 
-    return docs.withColumn(name, of(F.col(text).cast("string")))
+    return docs.withColumn(fresh(docs, name)[0], of(F.col(text).cast("string")))
