@@ -19,13 +19,14 @@ WITH RECURSIVE rem(b, v, k) AS (
   UNION ALL SELECT b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END, k + 1 FROM rem WHERE k < 8
 ), tbl AS (SELECT list(v ORDER BY b) AS t FROM rem WHERE k = 8),
 c AS (
-  SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  SELECT doc_id, coalesce('1' || source, '0') AS source, octet_length(encode(coalesce(text, ''))) + 1 AS size,
          xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
-             lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1])), 4294967295::BIGINT) AS text_crc32,
-         md5('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+             lambda a, b: xor(a // 256, t[(xor(a, b) % 256) + 1])), 4294967295::BIGINT) AS text_crc32
   FROM documents, tbl),
-r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS part FROM c),
-p AS (SELECT *, row_number() OVER (ORDER BY part, source NULLS FIRST, h, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM r)
+m AS (SELECT *, md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || text_crc32 || ':' || size) AS h,
+             ('0x' || substr(md5('42:' || source), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE AS u FROM c),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - u) / count(*) OVER (PARTITION BY source) AS part FROM m),
+p AS (SELECT *, row_number() OVER (ORDER BY part, source, h, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM r)
 SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * 8 // n)::INTEGER AS shard,
        (pos - ((pos * 8 // n) * n + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
 FROM p
@@ -34,8 +35,8 @@ FROM p
 _OP1 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, lang,
-         CASE WHEN contains(t, '!!') THEN 'shouted' WHEN regexp_matches(t, '[*$&#%]{3}') THEN 'marked' WHEN contains(t, ' | ') THEN 'tabular'
-              WHEN regexp_matches(t, '(?i)licen[cs]e') THEN 'licence' ELSE 'prose' END AS topic,
+         CASE WHEN len(regexp_extract_all(t, '[!-@\x5B-`{-~]')) * 8 > length(t) THEN 'symbols' WHEN len(regexp_extract_all(t, '[A-Z]')) * 4 > length(t) THEN 'capitals'
+              WHEN len(regexp_extract_all(t, '\n')) * 100 > length(t) THEN 'lines' ELSE 'prose' END AS topic,
          len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
   FROM (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents)),
 cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
@@ -56,14 +57,18 @@ fit AS (
   SELECT source, lang, topic, tokens, gs, gl, gt, c * (gt / sum(c) OVER (PARTITION BY topic)), k + 1 FROM (
     SELECT *, b * (gl / sum(b) OVER (PARTITION BY lang)) AS c FROM (
       SELECT *, share * (gs / sum(share) OVER (PARTITION BY source)) AS b FROM fit WHERE k < 30))),
-raked AS (SELECT source, lang, topic, tokens, share, share / tokens AS asked FROM fit WHERE k = 30),
+raked AS (SELECT source, lang, topic, tokens, share, share / nullif(tokens, 0) AS asked FROM fit WHERE k = 30),
+gaps AS (
+  SELECT abs(sum(share) - any_value(gs)) AS gap FROM fit WHERE k = 30 GROUP BY source
+  UNION ALL SELECT abs(sum(share) - any_value(gl)) FROM fit WHERE k = 30 GROUP BY lang
+  UNION ALL SELECT abs(sum(share) - any_value(gt)) FROM fit WHERE k = 30 GROUP BY topic),
 ranked AS (SELECT *, row_number() OVER (ORDER BY asked DESC, source, lang, topic) AS rk FROM raked),
 scaled AS (
   SELECT *, (0.5::DOUBLE * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(share) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM ranked),
 chosen AS (SELECT scale AS by_all FROM scaled WHERE scale * asked <= 1 ORDER BY rk LIMIT 1),
 chances AS (SELECT source, lang, topic, share, least(1.0::DOUBLE, by_all * asked) AS chance FROM scaled, chosen)
-SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(c.share, 9) AS cell_share, round(c.chance, 9) AS chance,
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(c.share, 9) AS cell_share, round(c.chance, 9) AS chance, (SELECT round(max(gap), 9) FROM gaps) AS margin_gap,
        ('0x' || substr(md5('42:' || d.doc_id::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE < c.chance AS kept
 FROM d JOIN chances c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND d.topic = c.topic
 """
