@@ -7,13 +7,13 @@ The model lives in the shared folder (spark.checkpoint.dir, which must be mounte
 * context parts, by ranges of word numbers: how many words follow a context once, twice, more often, and how many
   contexts a word follows.
 
-Counting sends sorted runs of keys and one-byte counts (a larger count repeats its key), cut by the key's first
-bits, so that every part has about the same size whatever the most frequent words and pairs are. Each part is merged
-by one task. Scoring reads whole texts in runs and looks sorted keys up part by part.
+Counting sends sorted runs of distinct keys and counts of as many bytes as they need, cut by the key's first bits, so
+that every part has about the same size whatever the most frequent words and pairs are. Each part is merged by one
+task. Counts are whole at any size; 2**32 distinct words or more raise an error, as two no longer fit into a key. Scoring reads whole texts in runs and looks sorted keys up part by part.
 
 Defined cases: a null text counts as empty and has one token, the end; unknown words get the model's share for
 unknown words; without training texts the model is uniform; repeated rows count as often as they stand there;
-texts of any length are read whole; an empty table gives no rows.
+texts of any length are read whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,10 +67,22 @@ def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[starts], np.add.reduceat(n, starts) if len(starts) else n
 
 
+def narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in the least of 1, 2, 4 and 8 bytes that holds them all."""
+    most = int(n.max(initial=0))
+    return n.astype(f"<u{next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)}")
+
+
+def counts_of(data: bytes, rows: int) -> np.ndarray:
+    """What narrow() made, from its bytes."""
+    return np.frombuffer(data, f"<u{len(data) // rows}" if rows else "<u1")
+
+
 def store(path: str, *arrays: np.ndarray) -> None:
-    """The arrays, one behind the other, in a file that appears whole or not at all."""
+    """Arrays of the same length in a file that appears whole or not at all: their length, then one behind the other."""
     made = f"{path}.{uuid.uuid4().hex}"
     with open(made, "wb") as f:
+        f.write(len(arrays[0]).to_bytes(8, "little"))
         for a in arrays:
             f.write(np.ascontiguousarray(a).data)
     os.replace(made, path)
@@ -78,14 +90,15 @@ def store(path: str, *arrays: np.ndarray) -> None:
 
 @functools.lru_cache(maxsize=256)
 def mapped(path: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
-    """The arrays of a stored file, mapped, all of the same length."""
-    widths = [np.dtype(k).itemsize for k in kinds]
-    n = os.path.getsize(path) // sum(widths) if os.path.exists(path) else 0
-    if not n:
-        return tuple(np.zeros(0, k) for k in kinds)
+    """The arrays of a stored file, mapped. The last kind may be "": what narrow() made."""
+    size = os.path.getsize(path) if os.path.exists(path) else 0
+    if size <= 8:
+        return tuple(np.zeros(0, k or "<u1") for k in kinds)
     data = np.memmap(path, np.uint8, "r")
+    n, data = int.from_bytes(data[:8].tobytes(), "little"), data[8:]
+    widths = [np.dtype(k).itemsize if k else len(data) // n - sum(np.dtype(x).itemsize for x in kinds[:-1]) for k in kinds]
     ends = np.cumsum([0, *[w * n for w in widths]])
-    return tuple(data[a:b].view(k) for a, b, k in zip(ends[:-1], ends[1:], kinds, strict=True))
+    return tuple(data[a:b].view(k or f"<u{w}") for a, b, k, w in zip(ends[:-1], ends[1:], kinds, widths, strict=True))
 
 
 @dataclass(frozen=True)
@@ -111,7 +124,7 @@ def looked_up(keys: np.ndarray, bits: int, folder: str, name: str) -> Iterator[t
     """For sorted keys, part by part: where they stand in keys, the part, their place in it, and whether it is theirs."""
     ends = np.searchsorted(part_of(keys, bits), np.arange((1 << bits) + 1))
     for p in np.flatnonzero(np.diff(ends)).tolist():
-        at, own = slice(int(ends[p]), int(ends[p + 1])), mapped(f"{folder}/{name}-{p}", ("<u8", "<u4"))[0]
+        at, own = slice(int(ends[p]), int(ends[p + 1])), mapped(f"{folder}/{name}-{p}", ("<u8", ""))[0]
         place = np.minimum(np.searchsorted(own, keys[at]), max(len(own) - 1, 0))
         yield at, p, place, (own[place] == keys[at]) if len(own) else np.zeros(at.stop - at.start, bool)
 
@@ -121,7 +134,7 @@ def numbers_of(hashes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray
     unique, where = np.unique(hashes, return_inverse=True)
     number, count = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
     for at, p, place, found in looked_up(unique, shape.word_bits, shape.folder, "words"):
-        n = mapped(f"{shape.folder}/words-{p}", ("<u8", "<u4"))[1]
+        n = mapped(f"{shape.folder}/words-{p}", ("<u8", ""))[1]
         number[at] = np.where(found, shape.starts[p] + place, -1)
         count[at] = np.where(found, n[place] if len(n) else 0, 0)
     return number[where], count[where]
@@ -141,17 +154,10 @@ def pairs_of(number: np.ndarray, text: np.ndarray, begin: int) -> np.ndarray:
 
 
 def sent(keys: np.ndarray, n: np.ndarray, bits: int) -> pd.DataFrame:
-    """Sorted keys and counts, cut by part; a count over 255 repeats its key."""
-    more = (n + 254) // 255
-    if len(more) and more.max() > 1:
-        keys, n = np.repeat(keys, more), np.concatenate([np.repeat(n, more)])
-        last = np.cumsum(more) - 1
-        rest = np.full(len(keys), 255, np.int64)
-        rest[last] = n[last] - 255 * (more - 1)
-        n = rest
+    """Sorted distinct keys and counts, cut by part: however often a key stands in the texts, it is sent once."""
     ends = np.searchsorted(part_of(keys, bits), np.arange((1 << bits) + 1))
     use = np.flatnonzero(np.diff(ends))
-    return pd.DataFrame({"part": use, "keys": [keys[ends[p] : ends[p + 1]].astype("<u8").tobytes() for p in use], "n": [n[ends[p] : ends[p + 1]].astype(np.uint8).tobytes() for p in use]})
+    return pd.DataFrame({"part": use, "keys": [keys[ends[p] : ends[p + 1]].astype("<u8").tobytes() for p in use], "n": [narrow(n[ends[p] : ends[p + 1]]).tobytes() for p in use]})
 
 
 def count_keys(texts: DataFrame, keys_of: Callable[[list[bytes]], np.ndarray], bits: int) -> DataFrame:
@@ -180,13 +186,20 @@ def merged(runs: DataFrame, bits: int, then: Callable[[int, np.ndarray, np.ndarr
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for p, k, n in zip(batch.part, batch["keys"], batch.n, strict=True):
-                held.setdefault(int(p), []).append((np.frombuffer(k, "<u8"), np.frombuffer(n, np.uint8)))
+                held.setdefault(int(p), []).append((np.frombuffer(k, "<u8"), counts_of(n, len(k) // 8)))
         for p in list(held):
             yield then(p, *counted(*(np.concatenate(x) for x in zip(*held.pop(p), strict=True))))
 
     return runs.repartitionById(1 << bits, F.col("part")).mapInPandas(run, schema)
 
 
+def fits(words: int) -> int:
+    """The number of distinct words, of which two must go into a key of 64 bits."""
+    if words >= 1 << 32:
+        raise OverflowError(f"{words} distinct words: a pair of their numbers does not fit into 64 bits")
+    return words
+
+
 def bits_for(keys: float) -> int:
     return min(20, power_of_two(keys / PART_KEYS).bit_length() - 1)
 
@@ -217,16 +230,24 @@ def _spread(number: np.ndarray, value: np.ndarray, kind: int, rows: int) -> pd.D
     return pd.DataFrame([(int(at[a]), kind, number[a:b].astype("<u4").tobytes(), value[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], columns=["part", "kind", "number", "value"])
 
 
-def train(texts: DataFrame) -> Model:
-    """Counts the texts (one string column) and writes the model's files."""
-    spark = texts.sparkSession
-    folder = f"{mounted(shared_dir(spark)).rstrip('/')}/lm-{uuid.uuid4().hex}"
+@contextlib.contextmanager
+def trained(texts: DataFrame) -> Iterator[Model]:
+    """A model of the texts (one string column) whose files are there as long as the block runs."""
+    folder = f"{mounted(shared_dir(texts.sparkSession)).rstrip('/')}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder)
+    try:
+        yield train(texts, folder)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def train(texts: DataFrame, folder: str) -> Model:
+    """Counts the texts (one string column) and writes the model's files into the folder."""
     n_texts, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(texts.columns[0]))), F.lit(0))).first()
     bits = bits_for(size / 24)  # a task's distinct words are about a quarter of its words or fewer
 
     def keep_words(p: int, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        store(f"{folder}/words-{p}", keys.astype("<u8"), np.minimum(n, (1 << 32) - 1).astype("<u4"))
+        store(f"{folder}/words-{p}", keys.astype("<u8"), narrow(n))
         return pd.DataFrame({"part": [p], "size": [len(keys)], "total": [int(n.sum())]})
 
     found = merged(count_keys(texts, lambda run: tokens(run)[0], bits), bits, keep_words, "part int, size long, total long").collect()  # a row for each part
@@ -235,7 +256,7 @@ def train(texts: DataFrame) -> Model:
         sizes[r["part"]] = r["size"]
     total = sum(r["total"] for r in found)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    words = int(starts[-1])
+    words = fits(int(starts[-1]))
     pair_bits = bits_for(size / 7 * 0.7)
     rows = max(1 << 12, PART_KEYS // 4)
     shape = Shape(folder, bits, starts, pair_bits, rows)
@@ -246,7 +267,7 @@ def train(texts: DataFrame) -> Model:
         return hashing.mix(pairs_of(number, text, words).astype(np.uint64) << _SHIFT | number.astype(np.uint64))
 
     def keep_pairs(p: int, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        store(f"{folder}/pairs-{p}", keys.astype("<u8"), np.minimum(n, (1 << 32) - 1).astype("<u4"))
+        store(f"{folder}/pairs-{p}", keys.astype("<u8"), narrow(n))
         plain = unmix(keys)
         context, word = (plain >> _SHIFT).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
         out = []
@@ -317,7 +338,7 @@ def scored(run: list[bytes], m: Model) -> pd.DataFrame:
         keys, back = np.unique(hashing.mix(context[both].astype(np.uint64) << _SHIFT | number[both].astype(np.uint64)), return_inverse=True)
         seen = np.zeros(len(keys), np.int64)
         for at, part, place, found in looked_up(keys, m.shape.pair_bits, m.shape.folder, "pairs"):
-            n = mapped(f"{m.shape.folder}/pairs-{part}", ("<u8", "<u4"))[1]
+            n = mapped(f"{m.shape.folder}/pairs-{part}", ("<u8", ""))[1]
             seen[at] = np.where(found, n[place] if len(n) else 0, 0)
         own = np.zeros(len(number))
         own[both] = (seen - m.pair[np.minimum(seen, 3)])[back]
@@ -344,15 +365,7 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
     return rows.select(F.col("key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def forget(model: Model) -> None:
-    """Removes the model's files; what is scored must have been saved."""
-    with contextlib.suppress(FileNotFoundError):
-        shutil.rmtree(model.shape.folder)
-
-
 def held_out_scores(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Trains on the rows that are not held out and scores all; the model's files go when the scores are saved."""
-    model = train(df.where(~held_out).select(F.col(text).cast("string").alias("text")))
-    rows = saved(score(df, model, text, key))
-    forget(model)
-    return rows
+    """Trains on the rows that are not held out and scores all; the model's files go when the scores are saved, or when that fails."""
+    with trained(df.where(~held_out).select(F.col(text).cast("string").alias("text"))) as model:
+        return saved(score(df, model, text, key))
