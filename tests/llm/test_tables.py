@@ -57,31 +57,49 @@ def test_chats_with_two_texts_in_one_turn(spark):
 
 
 def brute(vectors, every, k):
-    out = {}
-    for q, a in vectors.items():
+    out = []
+    for i, (q, a) in enumerate(vectors):
         if q % every == 0:
-            scores = sorted((-sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), i) for i, b in vectors.items() if i != q and len(a) == len(b))
-            out[q] = [(rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:k])]
-    return out
+            scores = sorted((-sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), c) for j, (c, b) in enumerate(vectors) if j != i and len(a) == len(b))
+            out += [(q, rank + 1, c, -s) for rank, (s, c) in enumerate(scores[:k])]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("size", [1 << 16, 40])
-def test_top_k(spark, size, monkeypatch):
+@pytest.mark.parametrize(("size", "places"), [(1 << 16, 256), (40, 256), (40, 3), (25, 1)])
+def test_top_k(spark, size, places, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", size)
+    monkeypatch.setattr(topk, "PLACES", places)
+    monkeypatch.setattr(topk, "FIRST_PLACES", 2)
     monkeypatch.setattr(topk, "BLOCK", 7)
     monkeypatch.setattr(topk, "LEAF", 8)
     rng = np.random.default_rng(5)
     centres = rng.normal(0, 0.2, (6, 12))
     found = [(i, (centres[i % 6] + rng.normal(0, 0.05, 12)).tolist()) for i in range(400)]
     found += [(1000 + i, [0.5] * 12) for i in range(60)]  # ties
-    found += [(2000, None), (2050, [0.1, None, *[0.1] * 10]), (2100, [float("nan")] * 12), (2150, [float("inf")] * 12), (None, [0.1] * 12), (3000, [0.25, 0.5]), (3001, [0.75, 0.5]), (0, found[0][1])]
+    found += [(2000, None), (2050, [0.1, None, *[0.1] * 10]), (2100, [float("nan")] * 12), (2150, [float("inf")] * 12), (None, [0.1] * 12), (3000, [0.25, 0.5]), (3001, [0.75, 0.5])]
+    found += [(0, found[0][1]), (0, [0.9] * 12), (7, [2.0] * 12), (7, [-2.0] * 12)]  # rows that share an id
     frame = spark.createDataFrame([(i, v, 1, 2) for i, v in found], "vec_id long, embedding array<double>, id int, v int").repartition(4)
-    ok = {i: [int(np.floor(256 * x)) for x in v] for i, v in found if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    got = {}
-    for r in topk.top_k(frame, every=10, k=5).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    assert got == {q: v for q, v in brute(ok, 10, 5).items() if v}
-    assert topk.top_k(frame.limit(0)).count() == 0
+    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in found if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, every=10, k=5).collect())
+    assert got == brute(ok, 10, 5)
+    if size > 40:
+        assert topk.top_k(frame.limit(0)).count() == 0
+
+
+def test_a_query_is_not_sent_where_it_cannot_score(spark, monkeypatch):
+    """Tight, far places: the first shard's k-th score keeps queries out of all but few others."""
+    monkeypatch.setattr(topk, "SHARD", 50)
+    rng = np.random.default_rng(1)
+    centres = rng.normal(0, 2.0, (20, 16))
+    found = [(i, (centres[i % 20] + rng.normal(0, 0.01, 16)).tolist()) for i in range(2400)]
+    frame = spark.createDataFrame(found, "vec_id long, embedding array<double>")
+    _, places = topk.deal(topk.saved(topk.quantised(frame)), 48)
+    queries = np.floor(256 * np.array([v for _, v in found[::50]])).astype(np.int64)
+    number, reach = places.reach(queries)
+    own = places.nearest(queries)[0]
+    scores = [np.sort(queries @ np.floor(256 * np.array([v for _, v in found])).astype(np.int64).T, axis=1)[:, -6]]
+    assert (reach >= scores[0][:, None]).mean() < 0.4
+    assert all(reach[i, np.flatnonzero(number == own[i])] >= scores[0][i] for i in range(len(queries)))
 
 
 def test_products_stay_exact():
