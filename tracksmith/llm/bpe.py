@@ -2,10 +2,9 @@
 
 Texts are cut where a rolling hash of the last bytes says so, so equal passages fall into equal chunks wherever
 they stand. Chunks that several places hold are encoded once, in a table keyed by their digest; a text that holds
-none is encoded where it is read. A chunk's ids are right but for its first and last words, which may go on in
-the neighbour: at each join the text around it, out to white space on both sides, is encoded again, and replaces
-the chunks' own ids there unless it agrees with them. No token of the tokenizers used here spans white space, so
-ids beyond it cannot change: the result is the tokenizer's own for the whole text.
+none is encoded where it is read. A chunk's ids are right but for its first and last units, which may go on in
+the neighbour: where chunks meet, the text around the join is encoded again, with more on both sides until it
+agrees with the chunks' own ids there, and what came out between replaces them.
 
 Which chunks are shared is told to the readers by a bitmap of at most FILTER_BITS bits. Where it errs, a chunk
 that stands alone takes the way of the shared ones; results do not depend on it.
@@ -19,8 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -33,8 +33,12 @@ from .common import power_of_two, saved, slices
 #: A chunk ends where MASK's bits of the rolling hash are zero (about every 2 KB), and is LEAST to MOST bytes long.
 MASK, LEAST, MOST = np.uint32(0x7FF << 13), 256, 1 << 16
 FILTER_BITS = 1 << 28
-#: Words whose ids a worker keeps; beyond, it starts over.
-MEMO = 400_000
+#: Bytes of units and their ids, Python's own included, that one of a worker's two generations holds; units beside a join that must agree.
+MEMO_BYTES, GUARDS = 80 << 20, 3
+# Fixed value: the white space of Unicode.
+_SPACES = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_UNITS = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+\\Z")
+_BYTE_UNITS = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+\Z")
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -83,23 +87,46 @@ def slot(d: bytes, bits: int) -> int:
 
 @dataclass
 class Piece:
-    """An encoded chunk: ids, its text up to the first and from the last white space, and how many ids stand for each."""
+    """An encoded chunk: its ids; its first and last unit, which may go on in a neighbour, and how many ids stand for each; units beside these, with their numbers of ids."""
 
     ids: np.ndarray
     head: bytes
     tail: bytes
     n_head: int
     n_tail: int
-    solid: bool  # no white space at all: head and tail are both the whole chunk
+    solid: bool  # one unit or none: head and tail are both the whole chunk
+    after: list[bytes]  # up to GUARDS units that follow the head
+    before: list[bytes]  # and that come before the tail
+
+
+class Names:
+    """Texts by number, joined with spaces, as bytes: one gather for all of a document."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.blob = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
+        self.sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.blob[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()[:-1] if len(ids) else b""
 
 
-@dataclass
 class Encoder:
-    """The library's tokenizer, asked for each word once."""
+    """The library's tokenizer, asked for each unit once while a worker remembers it.
+
+    A unit is a word with the white space before it, or white space at a text's end. No token may reach from a
+    unit into the next: that holds for tokenizers that drop white space or keep it in front of words, and is
+    tried when the file is loaded; another tokenizer raises ValueError. Where white space is dropped, units are
+    remembered without it.
+    """
 
-    path: str
-    memo: dict[bytes, bytes] = field(default_factory=dict)
-    _made: Any = None
+    def __init__(self, path: str) -> None:
+        self.path, self._made = path, None
+        self.young: dict[bytes, bytes] = {}  # two generations, so that what is used often stays
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
 
     @property
     def tokenizer(self) -> Any:
@@ -108,79 +135,102 @@ class Encoder:
             from tokenizers import Tokenizer
 
             self._made = Tokenizer.from_file(self.path)
-            n = self._made.get_vocab_size()
-            self.names = [self._made.id_to_token(i) for i in range(n)]
-            self.numbers = [str(i) for i in range(n)]
+            self._made.no_truncation()
+            self._made.no_padding()
+            self.dropped = self._drops_white_space()
+            names = [self._made.id_to_token(i) or "" for i in range(max(self._made.get_vocab(with_added_tokens=True).values()) + 1)]
+            self.names, self.numbers = Names([n.encode() for n in names]), Names([str(i).encode() for i in range(len(names))])
         return self._made
 
+    def _drops_white_space(self) -> bool:
+        of = lambda t: self._made.encode(t, add_special_tokens=False).ids
+        space = f"{_SPACES}\u2581\u0120\u010a\u0109\u010d"  # with the stand-ins for spaces that vocabularies use; C2 A0 is a space of two bytes
+        marks = re.compile(f"(?:[^{space}\u0142]|(?<!\u00c2)\u0142)[{space}]")
+        spans = any(marks.search(t) for t in self._made.get_vocab(with_added_tokens=True))
+        tried = [(a, s, b) for a in ("word", "Ab", "7", "!?", "é", "中") for s in (" ", "\n", "  ", "\t ") for b in ("next", "É", "42", "..", "文")]
+        for drops in (True, False):
+            if not spans and all(of(a + s + b) == of(a) + (of(b) if drops else of(s + b)) for a, s, b in tried):
+                return drops
+        raise ValueError(f"tokens of {self.path} reach over white space; chunks cannot be joined there")
+
+    def units(self, text: bytes) -> list[bytes]:
+        """The units of a text; one after the other, they are the text."""
+        if self.dropped:
+            return _BYTE_UNITS.findall(text)
+        return [u.encode() for u in _UNITS.findall(text.decode("utf-8", "replace"))]
+
     def ids(self, text: bytes) -> np.ndarray:
-        """The ids of a text: those of its words, one after the other."""
-        words = text.split()
-        missing = [w for w in set(words) if w not in self.memo]
+        """The ids of a text: those of its units, one after the other."""
+        tokenizer = self.tokenizer
+        units = text.split() if self.dropped else self.units(text)
+        missing = set(units).difference(self.young)
         if missing:
-            if len(self.memo) + len(missing) > MEMO:
-                self.memo.clear()
-                missing = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False)
-            self.memo.update((w, np.asarray(e.ids, "<u4").tobytes()) for w, e in zip(missing, found, strict=True))
-        return np.frombuffer(b"".join(map(self.memo.__getitem__, words)), "<u4")
+            if self.size > MEMO_BYTES:
+                self.old, self.young, self.size = self.young, {}, 0
+                missing = set(units)
+            kept = {u: self.old[u] for u in missing if u in self.old}
+            unseen = [u for u in missing if u not in kept]
+            found = tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in unseen], add_special_tokens=False)
+            kept.update((u, np.asarray(e.ids, "<u4").tobytes()) for u, e in zip(unseen, found, strict=True))
+            self.young.update(kept)
+            self.size += sum(len(u) + len(v) + 200 for u, v in kept.items())
+        return np.frombuffer(b"".join(map(self.young.__getitem__, units)), "<u4")
 
     def piece(self, chunk: bytes) -> Piece:
-        ids, words = self.ids(chunk), chunk.split()
-        if not words:
-            return Piece(ids, b"", b"", 0, 0, False)
-        if len(words) == 1 and len(words[0]) == len(chunk):
-            return Piece(ids, chunk, chunk, len(ids), len(ids), True)
-        head, tail = (words[0] if chunk.startswith(words[0]) else b""), (words[-1] if chunk.endswith(words[-1]) else b"")
-        return Piece(ids, head, tail, len(self.memo[head]) // 4 if head else 0, len(self.memo[tail]) // 4 if tail else 0, False)
+        ids, units = self.ids(chunk), self.units(chunk)
+        if len(units) < 2:
+            return Piece(ids, chunk, chunk, len(ids), len(ids), True, [], [])
+        return Piece(ids, units[0], units[-1], len(self.ids(units[0])), len(self.ids(units[-1])), False, units[1 : GUARDS + 1], units[-GUARDS - 1 : -1])
+
+    def repaired(self, before: list[bytes], parts: list[bytes], own: np.ndarray, after: list[bytes]) -> np.ndarray:
+        """The ids where parts of neighbouring chunks meet.
+
+        They stand if encoding the joined parts gives them again. If not, the text is encoded with one more unit on
+        each side, and further ones, until the outermost units come out as they do alone.
+        """
+        middle = b"".join(parts)
+        again = self.ids(middle)
+        if np.array_equal(own, again):
+            return own
+        for n in range(1, GUARDS + 1):
+            left, right = self.ids(b"".join(before[-n:])), self.ids(b"".join(after[:n]))
+            again = self.ids(b"".join([*before[-n:], middle, *after[:n]]))
+            if np.array_equal(again[: len(left)], left) and np.array_equal(again[len(again) - len(right) :], right):
+                return again[len(left) : len(again) - len(right)]
+        raise ValueError(f"tokens of {self.path} reach over white space near {middle[:80]!r}")
 
     def join(self, pieces: Iterator[Piece]) -> np.ndarray:
         """The ids of the text that the pieces make up, in order."""
+        none = np.zeros(0, "<u4")
         out: list[np.ndarray] = []
-        pending: list[bytes] = []  # the text after the last white space so far
-        own: list[np.ndarray] = []  # its ids, piece by piece
-
-        def settle(head: bytes, head_ids: np.ndarray) -> None:
-            parts, ids = [*pending, head], np.concatenate([*own, head_ids]) if own or len(head_ids) else head_ids
-            if sum(map(bool, parts)) > 1:
-                again = self.ids(b"".join(parts))
-                ids = ids if np.array_equal(ids, again) else again
-            out.append(ids)
-            pending.clear()
-            own.clear()
-
+        parts: list[bytes] = []  # the text from the last unit on, piece by piece, and its ids
+        own: list[np.ndarray] = []
+        before: list[bytes] = []
         for p in pieces:
             if p.solid:
-                pending.append(p.head)
+                parts.append(p.head)
                 own.append(p.ids)
                 continue
-            settle(p.head, p.ids[: p.n_head])
+            out.append(self.repaired(before, [*parts, p.head], np.concatenate([*own, p.ids[: p.n_head]]), p.after))
             out.append(p.ids[p.n_head : len(p.ids) - p.n_tail])
-            if p.tail:
-                pending.append(p.tail)
-                own.append(p.ids[len(p.ids) - p.n_tail :])
-        settle(b"", np.zeros(0, "<u4"))
+            parts, own, before = [p.tail], [p.ids[len(p.ids) - p.n_tail :]], p.before
+        out.append(self.repaired(before, parts, np.concatenate([none, *own]), []))
         return np.concatenate(out)
 
-    def decoded(self, ids: np.ndarray) -> str:
-        """What decode(ids, skip_special_tokens=False) gives; without a decoder, that is the tokens with spaces between."""
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """What decode(ids, skip_special_tokens=False) gives, in UTF-8; without a decoder, that is the tokens with spaces between."""
         if self.tokenizer.decoder is None:
-            return " ".join(map(self.names.__getitem__, ids.tolist()))
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
-
-    def said(self, ids: np.ndarray) -> str:
-        """Decimal ids, with spaces between."""
-        self.tokenizer  # noqa: B018  its names and numbers
-        return " ".join(map(self.numbers.__getitem__, ids.tolist()))
+            return self.names.joined(ids)
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()
 
     def finished(self, ids: np.ndarray, outputs: tuple[str, ...]) -> tuple:
         """The number of ids, and the outputs asked for."""
-        text = self.decoded(ids) if {"decoded", "decoded_sha256"} & set(outputs) else ""
+        text = self.decoded(ids) if {"decoded", "decoded_sha256"} & set(outputs) else b""
         made = {
             "ids": lambda: ids.astype(np.int32),
-            "decoded": lambda: text,
-            "ids_sha256": lambda: hashlib.sha256(self.said(ids).encode()).hexdigest(),
-            "decoded_sha256": lambda: hashlib.sha256(text.encode()).hexdigest(),
+            "decoded": lambda: text.decode(),
+            "ids_sha256": lambda: hashlib.sha256(self.numbers.joined(ids)).hexdigest(),
+            "decoded_sha256": lambda: hashlib.sha256(text).hexdigest(),
         }
         return len(ids), *(made[o]() for o in outputs)
 
@@ -193,7 +243,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS.setdefault(path, Encoder(path))
 
 
-_PIECE = "ids binary, head binary, tail binary, n_head int, n_tail int, solid boolean"
+#: Columns of an encoded chunk.
+_PIECE = {"ids": "binary", "head": "binary", "tail": "binary", "n_head": "int", "n_tail": "int", "solid": "boolean", "after": "array<binary>", "before": "array<binary>"}
+_PIECES = ", ".join(f"{c} {t}" for c, t in _PIECE.items())
+
+
+def _said(p: Piece | None) -> tuple:
+    return (None,) * len(_PIECE) if p is None else (p.ids.tobytes(), p.head, p.tail, p.n_head, p.n_tail, p.solid, p.after, p.before)
 
 
 def shared_filter(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
@@ -250,26 +306,24 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
                     if any(flags):
                         own = (batch.key.iloc[start + i], batch.row.iloc[start + i])
                         for n, (c, d, f) in enumerate(zip(chunks, found, flags, strict=True)):
-                            p = None if f else e.piece(c)
-                            rows.append((*own, n, d, c, None, None, None, None, None, None) if p is None else (*own, n, None, None, p.ids.tobytes(), p.head, p.tail, p.n_head, p.n_tail, p.solid))
-                yield pd.DataFrame(rows, columns=["key", "row", "n", "digest", "chunk", "ids", "head", "tail", "n_head", "n_tail", "solid"], dtype=object)
+                            rows.append((*own, n, *((d, c) if f else (None, None)), *_said(None if f else e.piece(c))))
+                yield pd.DataFrame(rows, columns=["key", "row", "n", "digest", "chunk", *_PIECE], dtype=object)
 
     def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(path)
         for batch in batches:
-            rows = [(d, p.ids.tobytes(), p.head, p.tail, p.n_head, p.n_tail, p.solid) for d, p in ((d, e.piece(bytes(c))) for d, c in zip(batch.digest, batch.chunk, strict=True))]
-            yield pd.DataFrame(rows, columns=["digest", "ids", "head", "tail", "n_head", "n_tail", "solid"])
+            yield pd.DataFrame([(d, *_said(e.piece(bytes(c)))) for d, c in zip(batch.digest, batch.chunk, strict=True)], columns=["digest", *_PIECE])
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e, row, own, pieces = encoder(path), None, None, []
         for batch in batches:
             out = []
-            for key_, row_, *p in zip(*(batch[c] for c in ("key", "row", "ids", "head", "tail", "n_head", "n_tail", "solid")), strict=True):
+            for key_, row_, ids, head, tail, n_head, n_tail, solid, after, before in zip(*(batch[c] for c in ("key", "row", *_PIECE)), strict=True):
                 if row_ != row and pieces:
                     out.append((own, *e.finished(e.join(iter(pieces)), outputs)))
                     pieces = []
                 row, own = row_, key_
-                pieces.append(Piece(np.frombuffer(p[0], "<u4"), bytes(p[1]), bytes(p[2]), int(p[3]), int(p[4]), bool(p[5])))
+                pieces.append(Piece(np.frombuffer(ids, "<u4"), bytes(head), bytes(tail), int(n_head), int(n_tail), bool(solid), list(map(bytes, after)), list(map(bytes, before))))
             yield pd.DataFrame(out, columns=["key", *names], dtype=object)
         if pieces:
             yield pd.DataFrame([(own, *e.finished(e.join(iter(pieces)), outputs))], columns=["key", *names], dtype=object)
@@ -277,10 +331,10 @@ def encode(df: DataFrame, path: str | None = None, text: str = "text", key: str
     # Ids travel as text: pandas makes floats of long columns with nulls, which do not hold every id.
     docs = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text"))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = saved(numbered.mapInPandas(apart, f"key string, row long, n int, digest binary, chunk binary, {_PIECE}"))
-    codes = parts.where("chunk is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")).mapInPandas(once, f"digest binary, {_PIECE}")
-    columns = ["key", "row", "n", "ids", "head", "tail", "n_head", "n_tail", "solid"]
+    parts = saved(numbered.mapInPandas(apart, f"key string, row long, n int, digest binary, chunk binary, {_PIECES}"))
+    codes = parts.where("chunk is not null").groupBy("digest").agg(F.first("chunk").alias("chunk")).mapInPandas(once, f"digest binary, {_PIECES}")
+    columns = ["key", "row", "n", *_PIECE]
     placed = parts.where("chunk is not null").select("key", "row", "n", "digest").join(codes, "digest").select(columns)
     ordered = placed.unionByName(parts.where("chunk is null").select(columns)).repartition("row").sortWithinPartitions("row", "n")
-    joined = ordered.select("key", "row", "ids", "head", "tail", "n_head", "n_tail", "solid").mapInPandas(assemble, f"key string, {result}")
+    joined = ordered.drop("n").mapInPandas(assemble, f"key string, {result}")
     return docs.mapInPandas(alone, f"key string, {result}").unionByName(joined).select(F.col("key").cast(kind).alias(key), *names)
