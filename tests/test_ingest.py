@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import io
 import json
+import logging
 import zipfile
 from datetime import datetime
 
@@ -12,21 +14,21 @@ from tests.helpers import SCHEMA, route, rows, single
 from tracksmith.config import Settings
 from tracksmith.functions import sql as sqlfn
 from tracksmith.functions.checks import point_hash
-from tracksmith.operators import stops
+from tracksmith.operators import lookups, stops
 from tracksmith.operators.store import Store
-from tracksmith.plans import ingest, trucks
-from tracksmith.sources import readers
+from tracksmith.plans import ingest, logs, trucks
+from tracksmith.sources import readers, synthetic
 from tracksmith.sources.mapping import MappingPlan, inferred, plan_for
-from tracksmith.streaming.ingest import file_stream, start_kafka, start_stream
+from tracksmith.streaming.ingest import file_stream, start_kafka, start_stream, stream_id
 from tracksmith.streaming.stops import stream_stops
 
 AS_OF = datetime(2024, 6, 1)
 
-JITTER = """device_id,ts_utc,latitude,longitude,speed_kph,heading_deg
-TRK-303,2024-05-01T12:00:00Z,37.7749,-122.4194,45,90
-TRK-303,2024-05-01T12:00:30Z,37.7750,-122.4195,48.5,91
-TRK-303,2024-05-01T12:01:00Z,37.7751,-122.4196,450,92
-TRK-303,2024-05-01T12:01:30Z,37.7752,-122.4197,47.2,93
+VAN = """device_id,ts_utc,latitude,longitude,speed_kph,heading_deg
+VAN-7,2024-04-11T06:10:00Z,52.5201,13.4049,18,200
+VAN-7,2024-04-11T06:10:20Z,52.5199,13.4046,21.6,205
+VAN-7,2024-04-11T06:10:40Z,52.5196,13.4041,540,210
+VAN-7,2024-04-11T06:11:00Z,52.5192,13.4037,25.2,
 """
 
 
@@ -36,16 +38,16 @@ def store(spark, tmp_path):
 
 
 def test_a_file_with_a_spike(store, tmp_path):
-    path = tmp_path / "jitter.csv"
-    path.write_text(JITTER)
+    path = tmp_path / "van.csv"
+    path.write_text(VAN)
     for job in ("a", "b"):
         ingest.ingest_file(store, str(path), ingest_id=job, as_of=AS_OF)
     got = store.read("track_points").orderBy("ts_utc").collect()
-    assert [r.speed_mps for r in got] == pytest.approx([12.5, 13.472222, None, 13.111111], abs=1e-5)
+    assert [r.speed_mps for r in got] == pytest.approx([5.0, 6.0, None, 7.0], abs=1e-5)
     assert [r.quality_flags for r in got] == [None, None, {"flag_speed_spike": True}, None]
     assert {r.ingest_id for r in got} == {"b"}
     assert json.loads(got[2].raw)["meta"]["quality_flags"] == {"flag_speed_spike": True}
-    assert got[0].loc.coordinates == [-122.4194, 37.7749]
+    assert got[0].loc.coordinates == [13.4049, 52.5201]
     job = store.job("a").first()
     assert (job.status, job.stats.read, job.stats.accepted, job.stats.rejected) == ("succeeded", 4, 4, 0)
     assert store.job("zzz").count() == 0
@@ -106,6 +108,21 @@ def test_hash(spark):
     assert spark.range(1).select(c.alias("h")).first().h == "faa7d1f8755e3120205d374d5f1a003c13f99abb390ed27b606d6a2efaa5d8ef"
 
 
+def test_sheets_by_name(tmp_path):
+    sheet(tmp_path / "two.xlsx", [["first"]])
+    with zipfile.ZipFile(tmp_path / "named.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="A" r:id="r9"/><sheet name="B" r:id="r2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r2" Target="worksheets/one.xml"/><Relationship Id="r9" Target="/xl/worksheets/two.xml"/></Relationships>')
+        for name, text in (("one", "b"), ("two", "a")):
+            z.writestr(f"xl/worksheets/{name}.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c t="inlineStr"><is><t>{text}</t></is></c></row></sheetData></worksheet>')
+    content = (tmp_path / "named.xlsx").read_bytes()
+    assert [readers.sheet_rows(content, s) for s in (None, "A", "B")] == [[["a"]], [["a"]], [["b"]]]
+    with pytest.raises(ValueError, match="no sheet 'C'"):
+        readers.sheet_rows(content, "C")
+    with pytest.raises(ValueError):
+        readers.sheet_rows(b"\xd0\xcf\x11\xe0 old", None)
+
+
 def sheet(path, body):
     with zipfile.ZipFile(path, "w") as z:
         z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheets><sheet name="Hoja1" sheetId="1"/></sheets></workbook>')
@@ -154,20 +171,103 @@ def test_sql_functions(spark):
     assert (round(row.km, 6), row.n, row.c, row.v) == (111.229833, 216, "8:5", 10.0)
 
 
+def test_rejected_rows_in_many_files(spark, store, tmp_path):
+    for i in range(3):
+        (tmp_path / "in.csv").mkdir(exist_ok=True)
+        (tmp_path / "in.csv" / f"{i}.csv").write_text("device_id,ts_utc,latitude,longitude\n" + "".join(f"D{i},2024-05-01T12:0{k}:00Z,{91 if k == 1 else k},2\n" for k in range(3)))
+    job = store.job(ingest.ingest_file(store, f"{tmp_path}/in.csv", as_of=AS_OF)).first()
+    assert (job.status, job.stats.read, job.stats.accepted, job.stats.rejected) == ("partial", 9, 6, 3)
+    assert sorted(job.error_sample) == [1, 4, 7]
+    assert sorted(r.seq_no for r in store.read("track_points").collect()) == [0, 2, 3, 5, 6, 8]
+
+
+def test_rows_are_numbered_where_they_stand(spark):
+    frame = spark.range(0, 1000, 1, 7).where("id % 3 = 0 or id > 500")
+    got = lookups.enumerated(frame, "n").orderBy("id").collect()
+    assert [r.n for r in got] == list(range(len(got)))
+    assert lookups.enumerated(frame.limit(0)).count() == 0
+
+
+def test_versions_of_a_table(spark, store):
+    one = spark.range(3).withColumn("day", F.lit("a"))
+    store.overwrite("t", one)
+    before = store.read("t")
+    store.append("t", one)
+    store.overwrite("t", one.limit(1))
+    assert (before.count(), store.read("t").count()) == (3, 1)  # what was read stays readable for two more writes
+    for _ in range(3):
+        store.overwrite("t", one)
+    assert len([n for n in store._names(f"{store.root}/t") if n.startswith("v-")]) == 3
+    fs, path = store._fs()
+    fs.create(path(f"{store.root}/t/_log/{99:020d}.json"), False).close()  # a writer that died
+    assert store.read("t").count() == 3
+    store.overwrite("t", one.limit(2))
+    assert store.read("t").count() == 2
+    many = Store(spark, store.root)
+    many.MOST_FOLDERS = 2
+    for _ in range(4):
+        many.append("u", one)
+    assert many.read("u").count() == 12
+
+
+def test_an_upsert_touches_its_days_only(spark, store):
+    frame = lambda rows_: spark.createDataFrame(rows_, "_hash string, seq_no long, day string")
+    store.upsert("p", frame([("a", 1, "2024-01-01"), ("b", 1, "2024-01-02"), ("c", 1, None)]), part=F.col("day"))
+    kept = store._state("p")["parts"]["2024-01-02"]
+    store.upsert("p", frame([("a", 2, "2024-01-01"), ("d", 1, "2024-01-03"), ("c", 5, None)]), part=F.col("day"))
+    assert store._state("p")["parts"]["2024-01-02"] == kept
+    assert sorted((r._hash, r.seq_no, r.day) for r in store.read("p").collect()) == [("a", 2, "2024-01-01"), ("b", 1, "2024-01-02"), ("c", 5, None), ("d", 1, "2024-01-03")]
+    assert store.read("p").columns == ["_hash", "seq_no", "day"]
+
+
 def test_file_stream(spark, store, tmp_path):
     (tmp_path / "in").mkdir()
     line = {"device_id": "D", "timestamp": "2024-05-01T12:00:00Z", "lat": 1.0, "lon": 2.0}
+    late = {**line, "timestamp": "2024-04-20T12:00:00Z"}
     schema = T.StructType.fromDDL("device_id string, timestamp string, lat double, lon double")
-    for i in range(2):
-        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({**line, "lat": v}) for v in (1.0, 1.0, 2.0 + i)))
+    given = [[line, line, {**line, "lat": 2.0}], [line, {**line, "lat": 95.0}, late], [late]]
+    for i, rows_ in enumerate(given):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join([*map(json.dumps, rows_), *(["{no json"] if i == 1 else [])]))
         q = start_stream(store, file_stream(spark, f"{tmp_path}/in", schema), f"{tmp_path}/cp", source="files", once=True, as_of=AS_OF)
         q.awaitTermination()
-    assert sorted(r.lat for r in store.read("track_points").collect()) == [1.0, 2.0, 3.0]
-    assert {r.ingest_id for r in store.jobs().collect()} >= {"files-0"}
+    assert sorted((str(r.ts_utc), r.lat) for r in store.read("track_points").collect()) == [("2024-04-20 12:00:00", 1.0), ("2024-05-01 12:00:00", 1.0), ("2024-05-01 12:00:00", 2.0)]
+    jobs = {r.ingest_id: (r.status, r.stats.read, r.stats.rejected) for r in store.jobs().collect()}
+    own = stream_id(store, f"{tmp_path}/cp")
+    assert jobs == {f"files-{own}-0": ("succeeded", 3, 0), f"files-{own}-1": ("partial", 4, 2), f"files-{own}-2": ("succeeded", 1, 0)}
     with pytest.warns(UserWarning):
         assert start_kafka(store, schema, "x", Settings()) is None
 
 
+def test_log_lines(spark, store):
+    out = io.StringIO()
+    before = logging.getLogger().handlers[:]
+    try:
+        logs.set_up("info", stream=out)
+        job = ingest.ingest_records(store, {"device_id": "D", "timestamp": "2024-05-01T12:00:00Z", "lat": 1.0, "lon": 2.0}, as_of=AS_OF)
+        try:
+            raise KeyError("gone")
+        except KeyError:
+            logging.getLogger("tracksmith.x").exception("bad")
+    finally:
+        logging.basicConfig(handlers=before or [logging.NullHandler()], force=True)
+    done, bad = [json.loads(x) for x in out.getvalue().splitlines() if "tracksmith." in x]
+    assert (done["logger"], done["ingest_id"], done["accepted"], done["rejected"], done["level"]) == ("tracksmith.ingest", job, 1, 0, "INFO")
+    assert bad["level"] == "ERROR" and "KeyError" in bad["exception"]
+
+
+def test_made_up_tracks(spark):
+    way = synthetic.trace(spark, (1.0, 2.0), (2.0, 4.0), 5, noise=False).orderBy("i").collect()
+    assert [(r.lat, r.lon) for r in way] == [(1 + k / 4, 2 + k / 2) for k in range(5)]
+    still = synthetic.stop_points(spark, (10.0, 20.0), 10, seed=3)
+    assert still.count() == 20
+    assert all(abs(r.lat - 10) < 3e-4 and abs(r.lon - 20) < 3e-4 for r in still.collect())
+    assert sorted(still.repartition(5).collect()) == sorted(synthetic.stop_points(spark, (10.0, 20.0), 10, seed=3).collect())
+    stops_ = spark.createDataFrame([(t, s, 10 + s / 100, 20.0, 12 + s) for t in ("A", "B") for s in range(3)], "truckId string, stop int, lat double, lon double, minutes int")
+    made = synthetic.delivery_route(stops_, seed=1).groupBy("truckId", "leg").count().collect()
+    assert {(r.truckId, r.leg): r["count"] for r in made if r.leg % 2 == 0} == {(t, 2 * s): 24 + 2 * s for t in ("A", "B") for s in range(3)}
+    assert all(10 <= r["count"] <= 25 for r in made if r.leg % 2) and len(made) == 10
+
+
 def test_streamed_stops_equal_batch(spark, tmp_path):
     frame = spark.createDataFrame(rows(route(3)) + rows(single(15), "T2"), SCHEMA)
     late = spark.createDataFrame(rows([(datetime(2014, 8, 14), 0.0, 0.0, 0.0)], "T9"), SCHEMA)

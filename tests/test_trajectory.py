@@ -89,9 +89,7 @@ def test_a_stop_may_join_two_anchors(spark):
     assert got == {(1, 1), (2, 2), (1, 3), (2, 3)}
 
 
-@pytest.mark.parametrize("local", [0, 50_000])
-def test_merge_matches_a_plain_model(spark, local, monkeypatch):
-    monkeypatch.setattr(stops, "LOCAL_LINKS", local)
+def test_merge_matches_a_plain_model(spark):
     from tests.helpers import km
 
     rng = random.Random(5)
@@ -106,6 +104,21 @@ def test_merge_matches_a_plain_model(spark, local, monkeypatch):
     assert {(r.stop_id, r.cluster) for r in merged(spark, places).collect()} == want
 
 
+def test_merge_takes_only_the_nearest_if_asked(spark):
+    found = [(32, "T1", i + 1, lat, 0.0, 0.0, "8:0", "8:10", 2, 10.0) for i, lat in enumerate((0.0, 0.00027, 0.00014))]
+    frame = spark.createDataFrame(found, "dateNum int, truckId string, cluster int, lat double, lon double, radius double, start string, stop string, points long, minutes double")
+    assert {(r.stop_id, r.cluster) for r in stops.merge_stops(frame, exclusive=True).collect()} == {(1, 1), (2, 2), (2, 3)}
+    assert stops.merge_stops(frame.limit(0)).count() == 0
+
+
+def test_distance_and_clock_are_parameters(spark):
+    flat = stops.Measure(lambda a, b, c, d: abs(a - c) + abs(b - d), lambda a, b, c, d: abs(a - c) + abs(b - d))
+    found = stops.find_stops(points(spark, single(15)), reach_km=1.0, measure=flat, said=lambda s: f"{s // 3600:02d}h{s // 60 % 60:02d}").collect()
+    assert [(r.start, r.stop, round(r.radius, 9)) for r in found] == [("09h00", "09h15", 4e-5)]
+    pairs = dwell.pair_distances(spark.createDataFrame([("g", 1, 0.0, 0.0), ("g", 2, 3.0, 4.0)], "g string, k int, lat double, lon double"), "g", "k", lambda a, b, c, d: F.abs(F.col(a) - F.col(c)) + F.abs(F.col(b) - F.col(d)))
+    assert {r.km for r in pairs.collect()} == {7.0}
+
+
 def props(spark, found):
     return spark.createDataFrame([(i + 1, s, "T1", d, lat, -70.6, minutes, time, 0.0) for i, (s, d, lat, minutes, time) in enumerate(found)], "id int, stopPropId int, truckId string, dateNum int, lat double, lon double, duration_min double, time string, radius double")
 

@@ -26,4 +26,6 @@ class Settings:
     kafka_topic: str = "gps"
     mqtt_topic: str = "devices/+/gps"
     trigger: str = "10 seconds"
-    dedup_horizon: str = "10 minutes"
+    #: How much runs at once: the streams' scheduler pool, and files that one batch takes.
+    pool: str = "ingest"
+    files_at_once: int = 1000

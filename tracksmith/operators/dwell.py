@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEPOT_HOURS
-from ..functions.geo import around, inside, kilometres, sphere_cell
+from ..functions.geo import Distance, around, inside, kilometres, sphere_cell
 from .graph import saved
 from .lookups import given
 
@@ -69,11 +69,11 @@ def time_windows(props: DataFrame, below_hours: float = 4.0, whole_hours: bool =
     return rows.groupBy("hours").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("id", "stopPropId", "truckId", "dateNum", "lat", "lon", "time"))).alias("props"))
 
 
-def pair_distances(points: DataFrame, by: str, key: str) -> DataFrame:
-    """Kilometres of every ordered pair of rows within a (small) group."""
+def pair_distances(points: DataFrame, by: str, key: str, distance: Distance = kilometres) -> DataFrame:
+    """The distance of every ordered pair of rows within a group: its size is the answer's, so groups should be small."""
     a = points.select(by, F.col(key).alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = points.select(by, F.col(key).alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return a.join(b, by).where("a <> b").select(by, "a", "b", kilometres("lat1", "lon1", "lat2", "lon2").alias("km"))
+    return a.join(b, by).where("a <> b").select(by, "a", "b", distance("lat1", "lon1", "lat2", "lon2").alias("km"))
 
 
 def nearest_address(rows: DataFrame, places: DataFrame, most_km: float = 1.0) -> DataFrame:

@@ -17,14 +17,32 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    known = known or f"file://{tempfile.mkdtemp(prefix='tracksmith-')}"
+    if not known:
+        known = f"file://{tempfile.mkdtemp(prefix='tracksmith-')}"
+        _remove_at_exit(spark, known)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)
+    own = spark.sparkContext.getCheckpointDir()  # the application's own folder below it
+    if own not in _REMOVED:
+        _REMOVED.add(own)
+        _remove_at_exit(spark, own)
     return known
 
 
+_REMOVED: set[str] = set()
+
+
+def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+    """Frames may be read as long as the driver runs; then their files go."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+    """df, computed once and kept in the shared folder until the driver ends, so that a lost executor costs no recomputation.
+
+    Sessions that run long let Spark remove the files of frames that are gone: spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -45,37 +63,20 @@ class Rounds:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _joined(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(node, root) of few links."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root.setdefault(x, x)
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for u, v in links:
-        low, high = sorted((find(u), find(v)))
-        root[high] = low
-    return [(x, find(x)) for x in root]
-
-
-def connected_components(links: DataFrame, most: int = 60, local: int = 0) -> DataFrame:
+def connected_components(links: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of links (u, v), both long; the root is the component's smallest node.
 
     Nodes point at the smallest node they know of: in turn, larger neighbours and then smaller ones are moved to it.
-    A join's sides are tables of their own, so that Spark can split a node with many neighbours. Where a caller's
-    links may be few, up to `local` of them are joined on the driver at once instead of in rounds.
+    A join's sides are tables of their own, so that Spark can split a node with many neighbours.
     """
-    if local:
-        links = saved(links.where("u <> v").select("u", "v").distinct())
-        few = links.limit(local + 1).collect()
-        if len(few) <= local:
-            return links.sparkSession.createDataFrame(_joined([(r.u, r.v) for r in few]), "node long, root long")
     rounds = Rounds(links.sparkSession)
+    try:
+        return saved(_rooted(links, most, rounds))
+    finally:
+        rounds.close()
+
 
+def _rooted(links: DataFrame, most: int, rounds: Rounds) -> DataFrame:
     def least(pairs: DataFrame) -> DataFrame:
         return rounds.keep(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
 
@@ -93,9 +94,7 @@ def connected_components(links: DataFrame, most: int = 60, local: int = 0) -> Da
         now = rounds.keep(moved.unionByName(small.where("u <> m").select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     else:
         raise RuntimeError(f"links still change after {most} rounds")
-    found = saved(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
-    rounds.close()
-    return found
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def adjacency(edges: DataFrame, edge: str = "edge", start: str = "start", end: str = "end") -> DataFrame:

@@ -78,10 +78,18 @@ def extents(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
 def error_sample(df: DataFrame, error: Column | str, index: str, most: int = ERROR_SAMPLE) -> DataFrame:
     """The first `most` errors by row index, as a map."""
     said = F.col(error) if isinstance(error, str) else error
-    first = df.where(said.isNotNull()).select(F.col(index).cast("int").alias("key"), said.alias("value")).orderBy("key").limit(most)
+    first = df.where(said.isNotNull()).select(F.col(index).cast("long").alias("key"), said.alias("value")).orderBy("key").limit(most)
     return first.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("errors"))
 
 
+def enumerated(df: DataFrame, name: str = "seq_no") -> DataFrame:
+    """Rows numbered from 0 without gaps, in the order in which they are read; rows stay where they are."""
+    kept = saved(df.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    begins = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(begins), F.lit(0)).alias("_start"))  # a row for each partition
+    return kept.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_start")
+
+
 def numbered(df: DataFrame, order: Sequence[str], chunk: int | None = None, name: str = "seq_no") -> DataFrame:
     """Rows numbered from 0 over the whole table in `order`; with a chunk, numbers begin anew after so many rows.
 

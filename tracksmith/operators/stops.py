@@ -2,28 +2,29 @@
 
 Detection walks each truck and day in order of time and holds a running centroid, so it is the one step that no
 window can express. Rows are shuffled once by truck and day, sorted, and streamed through Python in Arrow batches;
-a task holds one cluster at a time. Merging is greedy in the order of days and trucks; rows meet only within a
-region of neighbouring grid cells, and regions are independent, so each is walked by one task.
+a task holds one cluster at a time. Merging is greedy in the order of days and trucks and runs as rounds of joins on
+grid cells.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EARTH_KM, STOP_MINUTES, STOP_RADIUS_KM
 from ..functions import clock
-from ..functions.geo import around, sphere_cell
-from .graph import connected_components, saved
+from ..functions.geo import Distance, around, kilometres, sphere_cell
+from .graph import Rounds, saved
 from .lookups import numbered
 
 _RAD = math.pi / 180
-_AROUND = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
 
 
 def km_between(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -40,28 +41,45 @@ def km_from(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.nd
     return np.where((lats == lat) & (lons == lon), 0.0, np.arccos(np.clip(c, -1.0, 1.0)) * EARTH_KM)
 
 
-def diameter(lats: np.ndarray, lons: np.ndarray) -> float:
+@dataclass(frozen=True)
+class Measure:
+    """A distance that keeps the triangle's rule: of one pair of points, and from one point to many."""
+
+    pair: Callable[[float, float, float, float], float] = km_between
+    many: Callable[[float, float, np.ndarray, np.ndarray], np.ndarray] = km_from
+
+
+ARC = Measure()
+
+
+def clock_text(seconds: int) -> str:
+    """Hours and minutes without padding: "8:5"."""
+    return f"{seconds // 3600}:{seconds // 60 % 60}"
+
+
+def diameter(lats: np.ndarray, lons: np.ndarray, many: Callable[..., np.ndarray] = km_from) -> float:
     """The largest distance of two points. A point takes part only if it lies far enough out to be in a farther pair."""
     both = np.unique(np.stack([lats, lons], 1), axis=0)
     if len(both) < 2:
         return 0.0
-    out = km_from(both[:, 0].mean(), both[:, 1].mean(), both[:, 0], both[:, 1])
-    best = float(km_from(*both[out.argmax()], both[:, 0], both[:, 1]).max())
+    out = many(both[:, 0].mean(), both[:, 1].mean(), both[:, 0], both[:, 1])
+    best = float(many(*both[out.argmax()], both[:, 0], both[:, 1]).max())
     both = both[out >= best - out.max() - 1e-5]
     for lat, lon in both:
-        best = max(best, float(km_from(lat, lon, both[:, 0], both[:, 1]).max()))
+        best = max(best, float(many(lat, lon, both[:, 0], both[:, 1]).max()))
     return best
 
 
 class Walk:
     """The state of one truck and day: the open cluster's size, sums and number."""
 
-    def __init__(self, reach: float) -> None:
+    def __init__(self, reach: float, pair: Callable[[float, float, float, float], float] = km_between) -> None:
+        self.pair = pair
         self.reach, self.n, self.lat, self.lon, self.cluster = reach, 0, 0.0, 0.0, 0
 
     def take(self, lat: float, lon: float) -> int:
         """The cluster that the next point joins: the open one if it is nearer to its centroid than the reach, else a new one."""
-        if self.n and km_between(self.lat / self.n, self.lon / self.n, lat, lon) < self.reach:
+        if self.n and self.pair(self.lat / self.n, self.lon / self.n, lat, lon) < self.reach:
             self.n, self.lat, self.lon = self.n + 1, self.lat + lat, self.lon + lon
         else:
             self.n, self.lat, self.lon, self.cluster = 1, lat, lon, self.cluster + 1
@@ -73,28 +91,29 @@ def _by_truck_day(points: DataFrame, *more: str) -> DataFrame:
     return rows.repartition("truckId", "dateNum").sortWithinPartitions("truckId", "dateNum", "ts", "seq")
 
 
-def assign_clusters(points: DataFrame, reach_km: float = STOP_RADIUS_KM) -> DataFrame:
+def assign_clusters(points: DataFrame, reach_km: float = STOP_RADIUS_KM, measure: Measure = ARC) -> DataFrame:
     """truckId, dateNum, seq, lat, lon and the number of the cluster that each point falls into."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, Walk(reach_km)
+        key, state = None, Walk(reach_km, measure.pair)
         for batch in batches:
             found = []
             for truck, day, lat, lon in zip(batch.truckId, batch.dateNum, batch.lat.tolist(), batch.lon.tolist(), strict=True):
                 if key != (truck, day):
-                    key, state = (truck, day), Walk(reach_km)
+                    key, state = (truck, day), Walk(reach_km, measure.pair)
                 found.append(state.take(lat, lon))
             yield batch.drop(columns="ts").assign(cluster=found)
 
     return _by_truck_day(points).mapInPandas(walk, "truckId string, dateNum int, seq long, lat double, lon double, cluster int")
 
 
-def find_stops(points: DataFrame, reach_km: float = STOP_RADIUS_KM, least_minutes: float = STOP_MINUTES, sample_minutes: float | None = None) -> DataFrame:
+def find_stops(points: DataFrame, reach_km: float = STOP_RADIUS_KM, least_minutes: float = STOP_MINUTES, sample_minutes: float | None = None, measure: Measure = ARC, said: Callable[[int], str] = clock_text) -> DataFrame:
     """Stops of every truck and day: dateNum, truckId, cluster, lat, lon, radius, start, stop, points, minutes.
 
     Clusters of two points or more stay if they last the least minutes. Minutes are those of the clock strings, with
     seconds cut off, and the radius is half the diameter. With sample_minutes the simple form holds instead: minutes
-    are points times it, and the radius is the largest distance to the centroid.
+    are points times it, and the radius is the largest distance to the centroid. `measure` is the distance, `said` gives
+    start and stop from seconds of the day.
     """
 
     def stop(key: tuple, number: int, rows: list[tuple]) -> tuple | None:
@@ -108,19 +127,18 @@ def find_stops(points: DataFrame, reach_km: float = STOP_RADIUS_KM, least_minute
             return None
         lats, lons = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
         lat, lon = sum(lats.tolist()) / n, sum(lons.tolist()) / n
-        radius = diameter(lats, lons) / 2 if sample_minutes is None else float(km_from(lat, lon, lats, lons).max())
-        said = [f"{t // 3600}:{t // 60 % 60}" for t in (first, last)]
-        return key[1], key[0], number, lat, lon, radius, *said, n, took
+        radius = diameter(lats, lons, measure.many) / 2 if sample_minutes is None else float(measure.many(lat, lon, lats, lons).max())
+        return key[1], key[0], number, lat, lon, radius, said(first), said(last), n, took
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["dateNum", "truckId", "cluster", "lat", "lon", "radius", "start", "stop", "points", "minutes"]
-        key, state, rows, number = None, Walk(reach_km), [], 0
+        key, state, rows, number = None, Walk(reach_km, measure.pair), [], 0
         for batch in batches:
             found = []
             for truck, day, lat, lon, sec in zip(batch.truckId, batch.dateNum, batch.lat.tolist(), batch.lon.tolist(), batch.sec.tolist(), strict=True):
                 if key != (truck, day):
                     found += [stop(key, number, rows)] if rows else []
-                    key, state, rows, number = (truck, day), Walk(reach_km), [], 1
+                    key, state, rows, number = (truck, day), Walk(reach_km, measure.pair), [], 1
                 at = state.take(lat, lon)
                 if at != number:
                     found.append(stop(key, number, rows))
@@ -139,59 +157,54 @@ def find_stops_simple(points: DataFrame, reach_km: float = STOP_RADIUS_KM, least
     return find_stops(points, reach_km, least_minutes, sample_minutes)
 
 
-#: Links of grid cells, about 1 MB, up to which regions are joined on the driver.
-LOCAL_LINKS = 50_000
-
-
-def regions(stops: DataFrame, reach_km: float = STOP_RADIUS_KM) -> DataFrame:
-    """stops with `region`: rows within reach of each other, by any chain, share it. Only occupied cells are linked, not rows."""
-    node = F.xxhash64("x", "y", "z")
-    placed = stops.select("*", *sphere_cell(reach_km))
-    used = placed.select("x", "y", "z").distinct()
-    near = around(used.withColumn("u", node)).where("i > 0 or i = 0 and (j > 0 or j = 0 and k > 0)")
-    roots = connected_components(near.join(used, ["x", "y", "z"]).select("u", node.alias("v")), local=LOCAL_LINKS)
-    return placed.withColumn("node", node).join(roots, "node", "left").withColumn("region", F.coalesce("root", "node")).drop("node", "root", "x", "y", "z")
-
-
-def merge_stops(stops: DataFrame, reach_km: float = STOP_RADIUS_KM, exclusive: bool = False) -> DataFrame:
+def merge_stops(stops: DataFrame, reach_km: float = STOP_RADIUS_KM, exclusive: bool = False, distance: Distance = kilometres) -> DataFrame:
     """Members of merged stops: stop_id and anchor with each row of `stops` (find_stops).
 
-    Rows are taken by dateNum, truckId, cluster. A row joins every anchor within reach (the edge included), so it may
-    appear more than once; with `exclusive`, only the nearest. A row that none takes becomes an anchor. Stops are
-    numbered from 1 in the order of their anchors.
-    """
-    side = reach_km * 1.001 + 1e-6
-
-    def cell_of(lat: float, lon: float) -> tuple[int, int, int]:
-        p, q = math.radians(lat), math.radians(lon)
-        return math.floor(math.cos(p) * math.cos(q) * EARTH_KM / side), math.floor(math.cos(p) * math.sin(q) * EARTH_KM / side), math.floor(math.sin(p) * EARTH_KM / side)
+    Rows are taken by dateNum, truckId, cluster. A row joins every anchor within reach (the edge included) that comes
+    before it, so it may appear more than once; with `exclusive`, only the nearest. A row that none takes becomes an
+    anchor. Stops are numbered from 1 in the order of their anchors. `distance` must be no less than kilometres().
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        region, anchors = None, {}
-        for batch in batches:
-            found = []
-            for i, (own, day, truck, cluster, lat, lon) in enumerate(zip(batch.region.tolist(), batch.dateNum.tolist(), batch.truckId, batch.cluster.tolist(), batch.lat.tolist(), batch.lon.tolist(), strict=True)):
-                if own != region:
-                    region, anchors = own, {}
-                x, y, z = cell_of(lat, lon)
-                known = [a for d in _AROUND for a in anchors.get((x + d[0], y + d[1], z + d[2]), ())]
-                near = [(km, a) for km, a in ((km_between(a[0], a[1], lat, lon), a) for a in known) if km <= reach_km]
-                if not near:
-                    near = [(0.0, (lat, lon, day, truck, cluster))]
-                    anchors.setdefault((x, y, z), []).append(near[0][1])
-                found += [(i, *a) for _, a in (sorted(near)[:1] if exclusive else near)]
-            at = pd.DataFrame(found, columns=["i", "anchor_lat", "anchor_lon", "anchor_day", "anchor_truck", "anchor_cluster"])
-            rows = batch.iloc[at.i.to_numpy(int)].reset_index(drop=True)
-            yield pd.concat([rows.drop(columns="region"), at.drop(columns="i")], axis=1)
-
-    columns = "dateNum int, truckId string, cluster int, lat double, lon double, radius double, start string, stop string, points long, minutes double"
-    rows = regions(stops, reach_km).select("region", *[c.split()[0] for c in columns.split(", ")])
-    sorted_ = rows.repartition("region").sortWithinPartitions("region", "dateNum", "truckId", "cluster")
-    members = sorted_.mapInPandas(walk, columns + ", anchor_lat double, anchor_lon double, anchor_day int, anchor_truck string, anchor_cluster int")
-    key = ["anchor_day", "anchor_truck", "anchor_cluster"]
-    members = saved(members)
-    ids = numbered(members.select(*key).distinct(), key, name="stop_id").withColumn("stop_id", (F.col("stop_id") + 1).cast("int"))
-    return members.join(ids, key).drop("anchor_day", "anchor_truck", "anchor_cluster")
+    The greedy order is settled in rounds, each over all of the map: a row that comes first among the open rows of its
+    grid cell and the 26 around it is an anchor, whatever happens elsewhere, and closes the open rows within its
+    reach. A round joins cells and anchors, never rows with rows.
+    """
+    steps = Rounds(stops.sparkSession)
+    try:
+        return saved(_members(stops, reach_km, exclusive, distance, steps))
+    finally:
+        steps.close()
+
+
+def _members(stops: DataFrame, reach_km: float, exclusive: bool, distance: Distance, steps: Rounds) -> DataFrame:
+    cell = ["x", "y", "z"]
+    rows = steps.keep(numbered(stops, ["dateNum", "truckId", "cluster"], name="o").select("*", *sphere_cell(reach_km)))
+
+    def reached(anchors: DataFrame) -> DataFrame:
+        """Each anchor once for every cell that its reach may touch."""
+        return around(anchors).select("ao", "anchor_lat", "anchor_lon", *[F.col(c).alias(f"a{c}") for c in cell])
+
+    def within(open_: DataFrame, near: DataFrame) -> Column:
+        same = [open_[c] == near[f"a{c}"] for c in cell]
+        return same[0] & same[1] & same[2] & (distance("anchor_lat", "anchor_lon", "lat", "lon") <= reach_km)
+
+    anchors, open_ = [], rows.select("o", "lat", "lon", *cell)
+    while not open_.isEmpty():
+        first = open_.groupBy(*cell).agg(F.min(F.struct("o", "lat", "lon")).alias("m"))
+        lowest = around(first).groupBy(*cell).agg(F.min("m.o").alias("lowest"))
+        chosen = first.join(lowest, cell).where("m.o = lowest")
+        anchors.append(steps.keep(chosen.select(F.col("m.o").alias("ao"), F.col("m.lat").alias("anchor_lat"), F.col("m.lon").alias("anchor_lon"), *cell)))
+        near = reached(anchors[-1])
+        open_ = steps.keep(open_.join(near, within(open_, near), "left_anti"))
+    if not anchors:
+        return rows.limit(0).select(*stops.columns, F.lit(0.0).alias("anchor_lat"), F.lit(0.0).alias("anchor_lon"), F.lit(0).alias("stop_id"))
+    every = reduce(DataFrame.unionByName, anchors)
+    near = reached(every)
+    members = rows.join(near, within(rows, near) & (F.col("o") >= F.col("ao")))
+    if exclusive:
+        nearest = Window.partitionBy("o").orderBy(distance("anchor_lat", "anchor_lon", "lat", "lon"), "ao")  # a few anchors
+        members = members.withColumn("_n", F.row_number().over(nearest)).where("_n = 1")
+    ids = numbered(every.select("ao"), ["ao"], name="stop_id").withColumn("stop_id", (F.col("stop_id") + 1).cast("int"))
+    return members.join(ids, "ao").select(*stops.columns, "anchor_lat", "anchor_lon", "stop_id")
 
 
 def stop_tables(members: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Mapping, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,61 +27,118 @@ def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("_hash",)
     return stored.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def latest_points(points: DataFrame) -> DataFrame:
-    """One row for each hash: the last ingest's last."""
-    return latest(points, ["_hash"], F.desc("ingest_id"), F.desc("seq_no"))
+class Tables(Protocol):
+    """What ingest and plans ask of a storage: another one may take the Store's place."""
+
+    spark: SparkSession
+
+    def exists(self, name: str) -> bool: ...
+    def read(self, name: str) -> DataFrame: ...
+    def overwrite(self, name: str, df: DataFrame) -> None: ...
+    def append(self, name: str, df: DataFrame) -> None: ...
+    def upsert(self, name: str, df: DataFrame, keys: Sequence[str] = ("_hash",), order: str = "seq_no", replace: bool = True, part: Column | None = None) -> None: ...
+    def truncate(self, name: str) -> None: ...
+    def job_event(self, ingest_id: str, source: str, status: str, params: Mapping[str, str] | None = None, stats: tuple[int, int, int] | None = None, errors: Mapping[int, str] | None = None) -> None: ...
 
 
 class Store:
-    """Named tables below one folder. Each write makes a new version and then points at it, so readers see whole tables."""
+    """Named tables below one folder.
+
+    A table's log names the folders that make it up; each write adds a folder and then a log entry, and an entry that
+    another writer has taken raises. Readers take the last whole entry, so they see whole tables, and frames read
+    before a write stay readable for the next `keep` - 1 writes.
+    """
+
+    #: Folders after which appends are put together.
+    MOST_FOLDERS = 64
 
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3) -> None:
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
     def _fs(self):  # noqa: ANN202
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _names(self, folder: str) -> list[str]:
+        fs, path = self._fs()
+        return sorted(f.getPath().getName() for f in fs.listStatus(path(folder))) if fs.exists(path(folder)) else []
+
+    def _entries(self, name: str) -> list[str]:
+        return [n for n in self._names(f"{self.root}/{name}/_log") if n.endswith(".json")]
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/current"
+    def _parsed(self, name: str, entry: str) -> dict | None:
+        lines = self.spark.read.text(f"{self.root}/{name}/_log/{entry}").collect()  # a file that this class wrote
+        return json.loads(lines[0].value) if lines else None  # an entry whose writer died is empty
 
-    def _version(self, name: str) -> str | None:
+    def _state(self, name: str) -> dict | None:
+        """folders, and folders by part, of the table's last version."""
+        return next((s for e in reversed(self._entries(name)) if (s := self._parsed(name, e))), None)
+
+    def _commit(self, name: str, state: dict) -> None:
+        fs, path = self._fs()
+        entries = self._entries(name)
+        out = fs.create(path(f"{self.root}/{name}/_log/{int(entries[-1][:-5]) + 1 if entries else 0:020d}.json"), False)
+        out.write(bytearray((json.dumps(state) + "\n").encode()))
+        out.close()
+        self._vacuum(name)
+
+    def _vacuum(self, name: str) -> None:
+        """Removes what none of the last `keep` versions names."""
         fs, path = self._fs()
-        if not fs.exists(path(self._pointer(name))):
-            return None
-        return self.spark.read.text(self._pointer(name)).first().value
+        entries = self._entries(name)
+        if len(entries) <= self.keep:
+            return
+        known = [s for e in entries[-self.keep :] if (s := self._parsed(name, e))]
+        used = {f.split("/")[0] for s in known for f in [*s["folders"], *s["parts"].values()]}
+        for old in entries[: -self.keep]:
+            fs.delete(path(f"{self.root}/{name}/_log/{old}"), False)
+        for folder in self._names(f"{self.root}/{name}"):
+            if folder.startswith("v-") and folder not in used and fs.exists(path(f"{self.root}/{name}/{folder}/_SUCCESS")):
+                fs.delete(path(f"{self.root}/{name}/{folder}"), True)
+
+    def _folder(self) -> str:
+        return f"v-{uuid.uuid4().hex}"
+
+    def _of(self, name: str, folders: Sequence[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{name}/{f}" for f in folders])
 
     def exists(self, name: str) -> bool:
-        return self._version(name) is not None
+        return self._state(name) is not None
 
     def read(self, name: str) -> DataFrame:
-        version = self._version(name)
-        if version is None:
+        state = self._state(name)
+        if state is None:
             raise ValueError(f"no table {name} in {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        return self._of(name, [*state["folders"], *state["parts"].values()])
 
-    def overwrite(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        version, old = f"v-{uuid.uuid4().hex}", self._version(name)
-        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-        writer.parquet(f"{self.root}/{name}/{version}")
-        fs, path = self._fs()
-        out = fs.create(path(self._pointer(name)), True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        if old:
-            fs.delete(path(f"{self.root}/{name}/{old}"), True)
+    def overwrite(self, name: str, df: DataFrame) -> None:
+        folder = self._folder()
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        self._commit(name, {"folders": [folder], "parts": {}})
 
     def append(self, name: str, df: DataFrame) -> None:
-        if not self.exists(name):
-            self.overwrite(name, df)
-        else:
-            df.write.mode("append").parquet(f"{self.root}/{name}/{self._version(name)}")
+        state = self._state(name)
+        if state is None or len(state["folders"]) >= self.MOST_FOLDERS:
+            return self.overwrite(name, df if state is None else self.read(name).unionByName(df))
+        folder = self._folder()
+        df.write.parquet(f"{self.root}/{name}/{folder}")
+        self._commit(name, {**state, "folders": [*state["folders"], folder]})
 
     def save_items(self, name: str, df: DataFrame, delete: bool = False) -> None:
         (self.overwrite if delete else self.append)(name, df)
 
-    def upsert(self, name: str, df: DataFrame, keys: Sequence[str] = ("_hash",), order: str = "seq_no", replace: bool = True) -> None:
-        self.overwrite(name, upserted(self.read(name), df, keys, order, replace) if self.exists(name) else latest(df, keys, F.desc_nulls_last(order)))
+    def upsert(self, name: str, df: DataFrame, keys: Sequence[str] = ("_hash",), order: str = "seq_no", replace: bool = True, part: Column | None = None) -> None:
+        """Merges df in by key. part: what rows with the same key always share, such as their day; only the parts that df touches are then read and written again."""
+        merged = lambda old: latest(df, keys, F.desc_nulls_last(order)) if old is None else upserted(old, df, keys, order, replace)
+        state = self._state(name)
+        if part is None or (state and state["folders"]):
+            return self.overwrite(name, merged(self.read(name) if state else None))
+        said = F.coalesce(F.regexp_replace(part.cast("string"), "[^A-Za-z0-9-]", "-"), F.lit("none"))
+        touched = [r[0] for r in df.select(said).distinct().collect()]  # a batch's days
+        parts, folder = state["parts"] if state else {}, self._folder()
+        known = [parts[t] for t in touched if t in parts]
+        merged(self._of(name, known) if known else None).withColumn("_part", said).write.partitionBy("_part").parquet(f"{self.root}/{name}/{folder}")
+        self._commit(name, {"folders": [], "parts": {**parts, **{t: f"{folder}/_part={t}" for t in touched}}})
 
     def truncate(self, name: str) -> None:
         if self.exists(name):

@@ -2,31 +2,34 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import checks, clock
 from ..functions.geo import geojson
-from ..operators.lookups import error_sample, numbered
-from ..operators.store import Store, latest
+from ..operators.lookups import enumerated, error_sample
+from ..operators.store import Tables
 from ..sources import readers
 from ..sources.mapping import MappingPlan, field_names, inferred, mapped, plan_for
 
 _RAW = "_original"
+LOG = logging.getLogger("tracksmith.ingest")
 
 
 class FileIngestionError(Exception):
     """A file could not be read or stored; its job is marked as failed."""
 
 
-def normalized(df: DataFrame, plan: MappingPlan, ingest_id: str = "", seq: str | None = None, as_of: datetime | Column | None = None) -> DataFrame:
+def normalized(df: DataFrame, plan: MappingPlan, ingest_id: str = "", seq: str | None = None, as_of: datetime | Column | None = None, hidden: str | None = None) -> DataFrame:
     """Canonical track points with `error`: null, or the first rule that the row breaks.
 
     Order of the rules: required fields, time, its range, coordinates; then speed, heading and HDOP, which only flag.
-    `seq` names a column with the row's number; without it, numbers follow the order of the rows as read.
+    `seq` names a column with the row's number; without it, numbers follow the order of the rows as read, with gaps
+    from partition to partition. `hidden` names a column that is no part of the record.
     """
     c = mapped(df, plan)
     lat, lon, device = checks.number(c["lat"]), checks.number(c["lon"]), c["device_id"].cast("string")
@@ -35,7 +38,7 @@ def normalized(df: DataFrame, plan: MappingPlan, ingest_id: str = "", seq: str |
     broken = [F.when(F.col(f"`{source[n]}`" if source[n] in df.columns else source[n]).isNotNull() & c[n].try_cast("double").isNull(), f"Unexpected error: {source[n]} is not a number") for n in ("speed_mps", "alt_m") if n in source]
     ts, raw_ts = clock.repaired(c["ts_utc"]), c["ts_utc"].cast("string")
     rows = df.select(
-        F.to_json(F.struct(*[F.col(f"`{x}`") for x in df.columns])).alias(_RAW),
+        F.to_json(F.struct(*[F.col(f"`{x}`") for x in df.columns if x != hidden])).alias(_RAW),
         (F.col(seq) if seq else F.monotonically_increasing_id()).alias("seq_no"),
         device.alias("device_id"), ts.alias("ts_utc"), raw_ts.alias("_ts"), lat.alias("lat"), lon.alias("lon"),
         *[v.alias(n) for n, v in given.items()], c["src"].cast("string").alias("src"),
@@ -75,26 +78,28 @@ def result(rows: DataFrame, ingest_id: str) -> DataFrame:
     return counts.crossJoin(error_sample(rows, "error", "seq_no")).withColumn("ingest_id", F.lit(ingest_id))  # one row each
 
 
-def ingest(store: Store, df: DataFrame, plan: MappingPlan, source: str, ingest_id: str | None = None, params: dict[str, str] | None = None, as_of: datetime | None = None, seq: str | None = None) -> str:
+def ingest(store: Tables, df: DataFrame, plan: MappingPlan, source: str, ingest_id: str | None = None, params: dict[str, str] | None = None, as_of: datetime | None = None, seq: str | None = None) -> str:
     """Normalizes df into the table track_points and records the job; returns its id."""
     job = ingest_id or str(uuid.uuid4())
     store.job_event(job, source, "running", params)
     try:
-        rows = normalized(df, plan, job, seq, as_of).persist()
+        own = None if seq else "_seq_no"
+        rows = normalized(df if seq else enumerated(df, own), plan, job, seq or own, as_of, own).persist()
         accepted, _ = split(rows)
         found = result(rows, job).first()
         if found.accepted:
-            store.upsert("track_points", accepted)
+            store.upsert("track_points", accepted, part=F.to_date("ts_utc"))  # a hash holds the time, so rows with the same one share their day
         status = "succeeded" if not found.rejected else "partial"
         store.job_event(job, source, status, None, (found.accepted + found.rejected, found.accepted, found.rejected), found.errors)
         rows.unpersist()
+        LOG.info("ingest %s", status, extra={"ingest_id": job, "source": source, "batch_size": found.accepted + found.rejected, "accepted": found.accepted, "rejected": found.rejected})
     except Exception as e:
         store.job_event(job, source, "failed", None, None, {0: str(e)[:500]})
         raise FileIngestionError(str(e)) from e
     return job
 
 
-def ingest_file(store: Store, path: str, vendor: str | None = None, plan: MappingPlan | None = None, ingest_id: str | None = None, as_of: datetime | None = None, units: bool = True) -> str:
+def ingest_file(store: Tables, path: str, vendor: str | None = None, plan: MappingPlan | None = None, ingest_id: str | None = None, as_of: datetime | None = None, units: bool = True) -> str:
     """Reads a CSV, JSON, Excel or Parquet path and ingests it; the mapping is given, the vendor's, or told by the names."""
     spark = store.spark
     try:
@@ -107,17 +112,7 @@ def ingest_file(store: Store, path: str, vendor: str | None = None, plan: Mappin
     return ingest(store, df, use, "file", ingest_id, {"path": path, "vendor": use.vendor}, as_of)
 
 
-def ingest_records(store: Store, records: list[dict] | dict, vendor: str = "generic", ingest_id: str | None = None, as_of: datetime | None = None) -> str:
+def ingest_records(store: Tables, records: list[dict] | dict, vendor: str = "generic", ingest_id: str | None = None, as_of: datetime | None = None) -> str:
     """What a webhook does with its body."""
     df = readers.from_records(store.spark, records)
-    ordered = df.withColumn("_n", F.monotonically_increasing_id())
-    return ingest(store, numbered(ordered, ["_n"]).drop("_n"), plan_for(vendor, df.schema), "webhook", ingest_id, {"vendor": vendor}, as_of, "seq_no")
-
-
-def stored_once(points: DataFrame) -> DataFrame:
-    """Points without repeats of a hash; the later number wins."""
-    return latest(points, ["_hash"], F.desc("seq_no"))
-
-
-def start(spark: SparkSession, root: str) -> Store:
-    return Store(spark, root)
+    return ingest(store, df, plan_for(vendor, df.schema), "webhook", ingest_id, {"vendor": vendor}, as_of)

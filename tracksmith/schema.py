@@ -8,8 +8,8 @@ TRUCK_DATES = "dateNum int, availability map<string,boolean>, routeCenters map<s
 STOPS = "id int, lat double, lon double"
 STOP_PROPS = "id int, stopPropId int, truckId string, dateNum int, lat double, lon double, duration_min double, time string, radius double, address string"
 TRACK_POINTS = "device_id string, ts_utc timestamp, lat double, lon double, speed_mps double, heading_deg double, alt_m double, hdop double, src string, raw string, ingest_id string, seq_no long, quality_flags map<string,boolean>, loc struct<type:string,coordinates:array<double>>, _hash string"
-INGEST_JOBS = "ingest_id string, source string, params map<string,string>, status string, started_at timestamp, finished_at timestamp, stats struct<read:bigint,accepted:bigint,rejected:bigint>, error_sample map<int,string>"
-RESULT = "accepted long, rejected long, errors map<int,string>, ingest_id string"
+INGEST_JOBS = "ingest_id string, source string, params map<string,string>, status string, started_at timestamp, finished_at timestamp, stats struct<read:bigint,accepted:bigint,rejected:bigint>, error_sample map<bigint,string>"
+RESULT = "accepted long, rejected long, errors map<bigint,string>, ingest_id string"
 
 
 def columns(ddl: str) -> list[str]:

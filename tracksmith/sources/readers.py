@@ -44,17 +44,43 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
+
+
+def _sheet_file(z: zipfile.ZipFile, sheet: str | None) -> str:
+    """The part that holds a sheet (without a name, the first), by the workbook's relationships."""
+    sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).findall(".//m:sheet", _NS)
+    names = [s.get("name") for s in sheets]
+    if sheet is not None and sheet not in names:
+        raise ValueError(f"no sheet {sheet!r} among {names}")
+    at = names.index(sheet) if sheet is not None else 0
+    if "xl/_rels/workbook.xml.rels" not in z.namelist():
+        return f"xl/worksheets/sheet{at + 1}.xml"
+    own = sheets[at].get(f"{{{_NS['r']}}}id")
+    target = next(r.get("Target") or "" for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")) if r.get("Id") == own)
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
+def _old_sheet_rows(content: bytes, sheet: str | None) -> list[list[Any]]:
+    """A sheet of the binary format of .xls, by pandas; that needs its reader, xlrd."""
+    try:
+        found = pd.read_excel(io.BytesIO(content), sheet_name=0 if sheet is None else sheet, header=None, dtype=object)
+    except ImportError as e:
+        raise ValueError("sheets of the old binary format need the package xlrd; save the file as .xlsx") from e
+    return [[None if pd.isna(v) else v for v in row] for row in found.to_numpy(dtype=object).tolist()]
+
+
 def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[Any]]:
-    """The cells of one sheet of an .xlsx file, as text or numbers; the first sheet unless one is named."""
-    ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+    """The cells of one sheet of a spreadsheet, as text or numbers; the first sheet unless one is named."""
+    if not content.startswith(b"PK"):
+        return _old_sheet_rows(content, sheet)
+    ns = _NS
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         texts = []
         if "xl/sharedStrings.xml" in z.namelist():
             texts = ["".join(t.text or "" for t in si.iter(f"{{{ns['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).findall(".//m:sheet", ns)]
-        index = names.index(sheet) + 1 if sheet in names else 1
         out = []
-        for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{index}.xml")).findall(".//m:row", ns):
+        for row in ElementTree.fromstring(z.read(_sheet_file(z, sheet))).findall(".//m:row", ns):
             cells: list[Any] = []
             for c in row.findall("m:c", ns):
                 letters = re.match(r"[A-Z]*", c.get("r") or "")[0]  # type: ignore[index]
@@ -76,8 +102,13 @@ def sheet_rows(content: bytes, sheet: str | None = None) -> list[list[Any]]:
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None, header: bool = True, columns: tuple[str, ...] | None = None, drop_last_row: bool = False) -> DataFrame:
     """Sheets as text columns, with `_path` and `_row`. A sheet is a file's unit: each is parsed by one task."""
     if columns is None:
-        content = spark.read.format("binaryFile").load(path).select("content").limit(1).first()
-        columns = tuple(str(c) for c in sheet_rows(bytes(content.content), sheet)[0]) if content and header else ()
+
+        def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"names": [[str(c) for c in (sheet_rows(bytes(x), sheet)[:1] or [[]])[0]] for x in batch.content]})
+
+        first = spark.read.format("binaryFile").load(path).select("content").limit(1).mapInPandas(heads, "names array<string>").first() if header else None
+        columns = tuple(first.names) if first else ()
     n = len(columns)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,11 +1,13 @@
-"""Streams of JSON messages into the store: micro-batches, dedup within a horizon, one job for each batch.
+"""Streams of JSON messages into the store: micro-batches, one job for each batch.
 
-A batch is written by an idempotent merge and then recorded by Spark's checkpoint: at-least-once delivery stores
-every point once. Dedup is bounded by time, not by a number of messages, so it survives restarts.
+A batch is written by an idempotent merge on the points' hash and then recorded by Spark's checkpoint, so at-least-once
+delivery stores every point once, however late a message or its repeat comes; nothing is kept in memory to tell
+repeats. Messages that break a rule, or are no JSON, are counted and sampled in the batch's job and stop nothing.
 """
 
 from __future__ import annotations
 
+import json
 import warnings
 from datetime import datetime
 
@@ -15,8 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Settings
-from ..functions.clock import repaired
-from ..operators.store import Store
+from ..operators.store import Tables
 from ..plans.ingest import ingest
 from ..sources.mapping import MappingPlan, field_names, plan_for
 
@@ -26,31 +27,42 @@ def parsed(messages: DataFrame, schema: T.StructType, value: str = "value") -> D
     return messages.select(F.from_json(F.col(value).cast("string"), schema).alias("m")).select("m.*")
 
 
-def deduplicated(rows: DataFrame, ts: str, horizon: str = Settings.dedup_horizon) -> DataFrame:
-    """Rows without repeats (all columns equal) that come within the horizon of event time."""
-    seen = rows.withColumn("_at", repaired(ts)).withColumn("_message", F.sha2(F.to_json(F.struct(*rows.columns)), 256))
-    return seen.withWatermark("_at", horizon).dropDuplicatesWithinWatermark(["_message"]).drop("_at", "_message")
+def stream_id(store: Tables, checkpoint: str) -> str:
+    """The query's own id, which its checkpoint keeps over restarts."""
+    return json.loads(store.spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first().value)["id"]
 
 
-def start_stream(store: Store, rows: DataFrame, checkpoint: str, vendor: str = "generic", plan: MappingPlan | None = None, source: str = "stream", settings: Settings = Settings(), once: bool = False, as_of: datetime | None = None) -> StreamingQuery:
-    """Ingests the stream batch by batch; a batch's job is named after the stream's checkpoint and the batch."""
+def start_stream(store: Tables, rows: DataFrame, checkpoint: str, vendor: str = "generic", plan: MappingPlan | None = None, source: str = "stream", settings: Settings = Settings(), once: bool = False, as_of: datetime | None = None) -> StreamingQuery:
+    """Ingests the stream batch by batch; a batch's job is named after the source, the query's id and the batch.
+
+    Streams of one session share its cores by `settings.pool`, a pool of Spark's fair scheduler, and take at most
+    `settings.files_at_once` files or `batch_size` messages a batch.
+    """
     use = plan or plan_for(vendor, rows.schema)
-    ts = next((s for s, t in use.field_map.items() if t == "ts_utc"), None)
-    distinct = deduplicated(rows, ts, settings.dedup_horizon) if ts in rows.columns else rows
 
     def write(batch: DataFrame, number: int) -> None:
-        ingest(store, batch, use, source, f"{source}-{number}", {"batch": str(number), "fields": ",".join(field_names(batch.schema))}, as_of)
+        if batch.isEmpty():
+            return
+        job = f"{source}-{stream_id(store, checkpoint)}-{number}"
+        ingest(store, batch, use, source, job, {"batch": str(number), "fields": ",".join(field_names(batch.schema))}, as_of)
 
-    writer = distinct.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=settings.trigger)).start()
+    context = store.spark.sparkContext
+    before = context.getLocalProperty("spark.scheduler.pool")
+    context.setLocalProperty("spark.scheduler.pool", settings.pool)  # the stream's thread takes it over
+    try:
+        writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=settings.trigger)).start()
+    finally:
+        context.setLocalProperty("spark.scheduler.pool", before)
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_at_once: int | None = None) -> DataFrame:
+    """JSON files as they come; a line that is no JSON gives a row of nulls, which ingest rejects and counts."""
     reader = spark.readStream.schema(schema)
     return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).json(path)
 
 
-def start_kafka(store: Store, schema: T.StructType, checkpoint: str, settings: Settings) -> StreamingQuery | None:
+def start_kafka(store: Tables, schema: T.StructType, checkpoint: str, settings: Settings) -> StreamingQuery | None:
     """A topic's messages; None with a warning where Kafka is off. Needs Spark's Kafka connector on the class path."""
     if not settings.kafka_enabled:
         warnings.warn("Kafka ingestion is disabled", stacklevel=2)
@@ -60,9 +72,9 @@ def start_kafka(store: Store, schema: T.StructType, checkpoint: str, settings: S
     return start_stream(store, parsed(messages, schema), checkpoint, source="kafka", settings=settings)
 
 
-def start_mqtt(store: Store, landing: str, schema: T.StructType, checkpoint: str, settings: Settings) -> StreamingQuery | None:
+def start_mqtt(store: Tables, landing: str, schema: T.StructType, checkpoint: str, settings: Settings) -> StreamingQuery | None:
     """Messages that a broker's bridge lands as JSON files; nothing is dropped when batches lag."""
     if not settings.mqtt_enabled:
         warnings.warn("MQTT ingestion is disabled", stacklevel=2)
         return None
-    return start_stream(store, file_stream(store.spark, landing, schema), checkpoint, source="mqtt", settings=settings)
+    return start_stream(store, file_stream(store.spark, landing, schema, settings.files_at_once), checkpoint, source="mqtt", settings=settings)
