@@ -203,6 +203,8 @@ def test_versions_of_a_table(spark, store):
     assert store.read("t").count() == 3
     store.overwrite("t", one.limit(2))
     assert store.read("t").count() == 2
+    store.save_blob("b", one)
+    assert store.blob("b").count() == 3
     many = Store(spark, store.root)
     many.MOST_FOLDERS = 2
     for _ in range(4):

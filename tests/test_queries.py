@@ -16,7 +16,7 @@ def rows(names, values):
     return sorted((tuple(repr(round(r[i], 6) + 0.0) if isinstance(r[i], float) else str(r[i]) for i in order) for r in values), key=str)
 
 
-@pytest.mark.parametrize("name", ["f02_total_distance", "f06_segment_speed", "e05_route_centers", "l01_stops", "l03_stop_props", "f15_schedule", "g01_long_dwell", "h15_validation", "h13_point_hash", "b11_dedup_upsert"])
+@pytest.mark.parametrize("name", ["f02_total_distance", "f06_segment_speed", "e05_route_centers", "l01_stops", "l03_stop_props", "f15_schedule", "g01_long_dwell", "h15_validation", "h13_point_hash", "b11_dedup_upsert", "h22_multimap", "a03_csv", "l11_file_ingest", "b07_truck_day_export"])
 def test_spark_and_sql_agree(spark, name):
     import duckdb
 

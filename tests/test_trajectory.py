@@ -10,6 +10,7 @@ from tests.helpers import SCHEMA, model_stops, route, rows, single
 from tracksmith.functions import clock, units
 from tracksmith.functions.geo import inside, kilometres, miles, near
 from tracksmith.operators import dwell, export, fleet, graph, lookups, metrics, stops
+from tracksmith.operators.store import laid_out
 
 
 def points(spark, given, truck="T1"):
@@ -198,3 +199,32 @@ def test_addresses(spark):
     rows_ = spark.createDataFrame([(1, 10.0, 20.0), (2, 50.0, 20.0)], "id int, lat double, lon double")
     places = spark.createDataFrame([(10.001, 20.0, "near"), (10.004, 20.0, "far")], "lat double, lon double, address string")
     assert {(r.id, r.address) for r in dwell.nearest_address(rows_, places, 1.0).collect()} == {(1, "near"), (2, None)}
+
+
+def test_orders(spark):
+    frame = points(spark, list(reversed(single(15)))).repartition(4)
+    got = [r.seq for r in lookups.device_range(frame, "T1", "2014-08-11 09:00:00", "2014-08-11 09:10:00", "truckId", "ts").collect()]
+    assert got == list(range(15, 4, -1))
+    grid = spark.createDataFrame([(37.0 + i * 0.001, -122.0) for i in (3, 1, 2, 0)], "lat double, lon double").repartition(3)
+    assert [round(r.lat, 3) for r in near(grid, 37.0, -122.0, 1000.0).collect()] == [37.0, 37.001, 37.002, 37.003]
+
+
+def test_exports(spark, tmp_path):
+    made = spark.createDataFrame([(1, 10.0, 20.0)], "id int, lat double, lon double")
+    export.write_csv(export.stops_export(made), f"{tmp_path}/out")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/out").first()
+    assert (back.id, back.lat, back.lng, back.address) == ("1", "10.0", "20.0", None)
+
+
+def test_points_lie_by_device_and_time(spark):
+    frame = spark.range(1000).select(F.concat(F.lit("D"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 7).cast("string")).alias("device_id"), (F.col("id") * 37 % 1000).alias("ts_utc"))
+    parts = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for r in laid_out(frame.repartition(5)).withColumn("p", F.spark_partition_id()).collect():
+            parts.setdefault(r.p, []).append((r.device_id, r.ts_utc))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1
+    assert all(p == sorted(p) for p in parts.values())
+    assert max(map(len, parts.values())) < 700  # the busy device is spread

@@ -33,9 +33,10 @@ def stop_statistics(props: DataFrame, stops: DataFrame, truck: str | None = None
     return _with_stop(given(props, truckId=truck, dateNum=date_num), stops)
 
 
-def popular_stops(props: DataFrame, stops: DataFrame, least: int = 1) -> DataFrame:
-    """Stops with at least so many properties, and the ids of these."""
-    rows = _with_stop(props, stops).groupBy("stop_id", "stop_lat", "stop_lon").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("props"))
+def popular_stops(props: DataFrame, stops: DataFrame, least: int = 1, lists: bool = True) -> DataFrame:
+    """Stops with at least so many properties, the first of these, and (with lists: a stop's must fit a task) all."""
+    every = [F.sort_array(F.collect_list("id")).alias("props")] if lists else []
+    rows = _with_stop(props, stops).groupBy("stop_id", "stop_lat", "stop_lon").agg(F.count("*").alias("n"), F.min("id").alias("first_prop"), *every)
     return rows.where(F.col("n") >= least)
 
 
@@ -61,12 +62,13 @@ def depots(props: DataFrame, within: Column | None = None, strict: bool = False)
     return long_dwells(props, DEPOT_HOURS, within, strict)
 
 
-def time_windows(props: DataFrame, below_hours: float = 4.0, whole_hours: bool = False) -> DataFrame:
-    """Properties shorter than so many hours, by their length in hours, exact or rounded down."""
+def time_windows(props: DataFrame, below_hours: float = 4.0, whole_hours: bool = False, lists: bool = True) -> DataFrame:
+    """Properties shorter than so many hours, by their length in hours, exact or rounded down: their number, the first, and (with lists: a window's must fit a task) all."""
     hours = F.col("duration_min") / 60.0
     key = F.floor(hours).cast("double") if whole_hours else hours
     rows = props.where(hours < below_hours).withColumn("hours", key)
-    return rows.groupBy("hours").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("id", "stopPropId", "truckId", "dateNum", "lat", "lon", "time"))).alias("props"))
+    every = [F.sort_array(F.collect_list(F.struct("id", "stopPropId", "truckId", "dateNum", "lat", "lon", "time"))).alias("props")] if lists else []
+    return rows.groupBy("hours").agg(F.count("*").alias("n"), F.min("id").alias("first_prop"), *every)
 
 
 def pair_distances(points: DataFrame, by: str, key: str, distance: Distance = kilometres) -> DataFrame:

@@ -19,20 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not known:
         known = f"file://{tempfile.mkdtemp(prefix='tracksmith-')}"
-        _remove_at_exit(spark, known)
+        remove_at_exit(spark, known)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)
     own = spark.sparkContext.getCheckpointDir()  # the application's own folder below it
     if own not in _REMOVED:
         _REMOVED.add(own)
-        _remove_at_exit(spark, own)
+        remove_at_exit(spark, own)
     return known
 
 
 _REMOVED: set[str] = set()
 
 
-def _remove_at_exit(spark: SparkSession, folder: str) -> None:
+def remove_at_exit(spark: SparkSession, folder: str) -> None:
     """Frames may be read as long as the driver runs; then their files go."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)

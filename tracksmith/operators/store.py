@@ -172,6 +172,6 @@ class Store:
         return self.jobs().where(F.col("ingest_id") == ingest_id)
 
 
-def laid_out(points: DataFrame) -> DataFrame:
-    """Points as they should be written for lookups: by device, then time, in each file."""
-    return points.repartition("device_id").sortWithinPartitions("device_id", "ts_utc")
+def laid_out(points: DataFrame, device: str = "device_id", ts: str = "ts_utc") -> DataFrame:
+    """Points as they should be written for lookups: by device, then time, in ranges, so that a file holds few devices and a busy one has many files."""
+    return points.repartitionByRange(device, ts).sortWithinPartitions(device, ts)

@@ -8,12 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..operators import fleet, stops
-from ..operators.store import Store
+from ..operators.store import Store, laid_out
 from ..sources import readers
 
 
 def import_trucks(store: Store, path: str, delete: bool = True) -> None:
-    store.save_items("truck_points", readers.read_truck_sheets(store.spark, path), delete)
+    store.save_items("truck_points", laid_out(readers.read_truck_sheets(store.spark, path), "truckId", "ts"), delete)
 
 
 def compute_days(store: Store) -> None:

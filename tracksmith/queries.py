@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import clock, units
-from .functions.geo import euclidean, geojson, inside, kilometres, metres, miles, near, point, to_metres, within_box
+from .functions import checks, clock, collections, units
+from .functions.geo import euclidean, geojson, inside, kilometres, metres, miles, near, point, to_degrees, to_metres, unpack, within_box
 from .operators import dwell, export, fleet, graph, lookups, metrics, stops, store
 from .oracles import ORACLES
 from .plans import ingest
+from .sources import readers
 from .sources.mapping import MappingPlan
 from .sources.projection import gps, raw_records
 
@@ -116,8 +118,8 @@ def c09_device_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def c10_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = gps(spark, sf_dir)
-    return lookups.existing(points.select("truckId", "dateNum").distinct(), points.where("velocity > 95"), "truckId")
+    stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return lookups.existing(table(spark, sf_dir, "events").select("event_id", "user_id"), stored, "user_id").select("event_id", "user_id")
 
 
 @query
@@ -135,7 +137,10 @@ def d05_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def e04_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fleet.availability(gps(spark, sf_dir).where("velocity > 90")).select("dateNum", "truckId", "available")
+    """Each user's device, as the ten trucks have points on every day."""
+    device = F.concat(F.lit("DEV-"), F.col("user_id").cast("string"))
+    points = table(spark, sf_dir, "events").select(device.alias("truckId"), clock.date_num("ts").alias("dateNum"), F.col("value").alias("lat"), F.col("value").alias("lon"))
+    return fleet.availability(points).select("dateNum", "truckId", "available")
 
 
 @query
@@ -201,7 +206,7 @@ def e02_parent_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def e03_popular_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     made, props = _stop_tables(spark, sf_dir)
-    return dwell.popular_stops(props, made, 10).select("stop_id", "n", F.array_min("props").alias("first_prop"))
+    return dwell.popular_stops(props, made, 10, lists=False).select("stop_id", "n", "first_prop")
 
 
 @query
@@ -217,18 +222,17 @@ def f07_stop_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, props = _stop_tables(spark, sf_dir)
     after = Window.partitionBy("truckId").orderBy("id")
     pairs = props.select(F.col("id").alias("a"), F.lead("id").over(after).alias("b")).where("b is not null")
-    return rounded(metrics.stop_distance(props, pairs), "km", digits=1)
+    return rounded(metrics.stop_distance(props, pairs), "km", digits=2)
 
 
 @query
 def f14_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dwell.time_windows(_stop_tables(spark, sf_dir)[1])
-    return found.select(F.round("hours", 6).alias("hours"), "n", F.col("props")[0]["id"].alias("first_prop"))
+    return dwell.time_windows(_stop_tables(spark, sf_dir)[1], lists=False).select(F.round("hours", 6).alias("hours"), "n", "first_prop")
 
 
 @query
 def f14_time_windows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dwell.time_windows(_stop_tables(spark, sf_dir)[1], whole_hours=True).select("hours", "n")
+    return dwell.time_windows(_stop_tables(spark, sf_dir)[1], whole_hours=True, lists=False).select("hours", "n")
 
 
 @query
@@ -401,7 +405,135 @@ def b06_stop_props_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = gps(spark, sf_dir)
     made, props = _stop_tables(spark, sf_dir)
     out = export.stop_props_export(props, metrics.date_of(points), DAY)
-    return rounded(out.select("id", "lat", "lng", "time", "truckid"), "lat", "lng", digits=9)
+    return rounded(out, "lat", "lng", digits=9)
+
+
+@query
+def b05_stops_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(export.stops_export(_stop_tables(spark, sf_dir)[0]), "lat", "lng", digits=9)
+
+
+@query
+def b07_truck_day_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, props = _stop_tables(spark, sf_dir)
+    return rounded(export.truck_day_export(props, made, TRUCK, DAY), "lat", "lng", digits=9)
+
+
+@query
+def e11_stop_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made, props = _stop_tables(spark, sf_dir)
+    return rounded(dwell.stop_statistics(props, made, TRUCK).select("id", "stop_id", "dateNum", "time", "duration_min", "stop_lat", "stop_lon"), "stop_lat", "stop_lon", digits=9)
+
+
+@query
+def c05_props_of_truck_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.given(_stop_tables(spark, sf_dir)[1], truckId=TRUCK, dateNum=DAY, stopPropId=None).select("id", "stopPropId", "time")
+
+
+@query
+def f20_availability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fleet.availability_report(gps(spark, sf_dir), [f"DEV-{i}" for i in range(10)])
+
+
+# Filters, values, and functions of their own.
+
+
+@query
+def c01_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.matching(gps(spark, sf_dir), truckId=TRUCK, dateNum=DAY).select("seq", "time")
+
+
+@query
+def c13_latest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each truck's last point."""
+    return lookups.by_id(gps(spark, sf_dir), "truckId", "seq").select("truckId", "seq", "time")
+
+
+@query
+def d02_extreme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = gps(spark, sf_dir).groupBy("truckId").agg(F.max("velocity").alias("velocity"))
+    return lookups.extreme(points, "velocity").withColumn("which", F.lit("max")).unionByName(lookups.extreme(points, "velocity", largest=False).withColumn("which", F.lit("min")))
+
+
+@query
+def h03_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.round(to_degrees("value"), 9).alias("degrees"), F.round(unpack(F.col("event_id") * 123_456_780), 9).alias("unpacked"))
+
+
+@query
+def h10_serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    serial = F.lit(40_000) + k % 4000 + (k % 4) * 0.25
+    text = F.date_format("ts", "d-M-yyyy")
+    return table(spark, sf_dir, "events").select("event_id", clock.iso(clock.time_of_serial(serial)).alias("time"), clock.iso(clock.time_of_serial(serial, two_days_late=True)).alias("late"), clock.day_of_serial(text).alias("day"))
+
+
+@query
+def h17_time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, ts = F.col("event_id"), F.col("ts").cast("timestamp")
+    moved = F.when(k % 5 == 0, ts - F.expr("INTERVAL 70 YEARS")).when(k % 7 == 0, ts + F.expr("INTERVAL 2 YEARS")).otherwise(ts)
+    return table(spark, sf_dir, "events").select("event_id", F.regexp_extract(checks.time(moved, AS_OF), "is .*$", 0).alias("fault"))
+
+
+@query
+def h22_multimap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = collections.multimap(gps(spark, sf_dir).select("truckId", "dateNum").distinct(), "truckId", "dateNum", "days")
+    counts = gps(spark, sf_dir).groupBy("truckId", "dateNum").count().groupBy("truckId").agg(collections.map_of("dateNum", "count").alias("by_day"))
+    joined = days.where(collections.not_empty("days")).join(counts, "truckId")
+    return joined.select("truckId", F.array_join(F.col("days").cast("array<string>"), ",").alias("days"), collections.get_or("by_day", DAY, F.lit(0).cast("long")).alias("on_day"), collections.get_or("by_day", -1, F.lit(-1).cast("long")).alias("never"))
+
+
+@query
+def i02_canonical_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_id").cast("string"), F.lit("kind"), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", collections.canonical_json(pairs).alias("json"))
+
+
+# Readers: a table written in the format, and read again.
+
+
+def _written(df: DataFrame, kind: str) -> str:
+    """The path of df, written in the shared folder; the folder goes with the driver."""
+    path = f"{graph.shared_dir(df.sparkSession).rstrip('/')}/read-{uuid.uuid4().hex}.{kind}"
+    graph.remove_at_exit(df.sparkSession, path)
+    (df.write.option("header", True) if kind == "csv" else df.write).format(kind).save(path)
+    return path
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
+
+
+def _read(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    found = readers.read_any(spark, _written(_events(spark, sf_dir), kind))
+    at = F.date_format(F.col("at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    return found.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "event_type", at.alias("at"))
+
+
+@query
+def a03_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "csv")
+
+
+@query
+def a04_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "json")
+
+
+@query
+def a06_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "parquet")
+
+
+@query
+def l11_file_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as CSV, ingested as a file, and the job's counts with the points stored."""
+    kept = store.Store(spark, f"{graph.shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    graph.remove_at_exit(spark, kept.root)
+    job = ingest.ingest_file(kept, _written(raw_records(spark, sf_dir).drop("seq"), "csv"), plan=PLAN, as_of=AS_OF)
+    stats = kept.job(job).select("status", "stats.*")
+    return stats.crossJoin(kept.read("track_points").agg(F.count("*").alias("stored"), F.count_if(F.col("quality_flags").isNotNull()).alias("flagged")))  # one row each
 
 
 @query
