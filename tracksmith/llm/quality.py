@@ -26,6 +26,10 @@ from . import hashing
 from .common import fresh, saved, slices
 
 
+#: Bytes of text whose features are made at once: about 100 bytes of arrays for each.
+RUN_BYTES = 1 << 18
+
+
 @dataclass(frozen=True)
 class Settings:
     buckets: int = 1 << 16
@@ -114,7 +118,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, s: S
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start, run in slices(batch.text):
+            for start, run in slices(batch.text, RUN_BYTES):
                 of, bucket = features(run, s)
                 both, n = np.unique(of * s.buckets + bucket, return_counts=True)
                 ends = np.searchsorted(both, (np.arange(len(run) + 1)) * s.buckets)
@@ -144,6 +148,6 @@ def scores(docs: DataFrame, model: Model, s: Settings = Settings(), text: str =
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *(score(run, held.value, s) for _, run in slices(batch))]))
+            yield pd.Series(np.concatenate([np.zeros(0), *(score(run, held.value, s) for _, run in slices(batch, RUN_BYTES))]))
 
     return docs.withColumn(fresh(docs, name)[0], of(F.col(text).cast("string")))
