@@ -413,72 +413,78 @@ def plain_discounts(counts):
     return [0.0, *(min(max(d, 0.0), 0.95 * k) for k, d in enumerate(found, 1))]
 
 
-def model_scores(rows, held):
-    uni, bi, n = Counter(), Counter(), 0
+def model_scores(rows, held, order):
+    uni, top = Counter(), Counter()
     token = lambda t: [*words(t), None]
+    grams = lambda w, n: list(zip(*(["<s>"] * k + w for k in range(n - 1, -1, -1))))  # noqa: B905, E731
     for r in rows:
         if not held(r.doc_id):
-            w, n = token(r.text), n + 1
-            uni.update(w)
-            bi.update(zip(["<s>", *w[:-1]], w, strict=True))
+            uni.update(token(r.text))
+            top.update(grams(token(r.text), order))
     total, size = sum(uni.values()), len(uni)
-    after = Counter(v for _, v in bi)
-    d, low = plain_discounts(bi.values()), plain_discounts(after.values())
-    rest = sum(low[min(c, 3)] for c in after.values()) / len(bi)
-    context = defaultdict(lambda: [0, 0, 0, 0])
-    for (u, _), c in bi.items():
-        context[u][min(c, 3)] += 1
-    count = {**uni, "<s>": n}
-
-    def below(v):
-        a = after.get(v, 0)
-        return (a - low[min(a, 3)]) / len(bi) * (a > 0) + rest / (size + 1)
-
-    def p(u, v):
-        if u not in count:
-            return below(v)
-        c = bi.get((u, v), 0)
-        return ((c - d[min(c, 3)]) * (c > 0) + sum(d[k] * context[u][k] for k in (1, 2, 3)) * below(v)) / count[u]
-
-    for u in [*list(uni)[:5], "<s>"]:
-        if u is not None:
-            assert sum(p(u, v) for v in uni) + p(u, "@never@") == pytest.approx(1)
+    counts = {order: top}  # of each length: how often, or how many words stand before
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut = {n: plain_discounts(c.values()) for n, c in counts.items()}
+    after = defaultdict(lambda: [0, 0.0])
+    for n, c in counts.items():
+        for g, k in c.items():
+            after[g[:-1]][0] += k
+            after[g[:-1]][1] += cut[n][min(k, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (size + 1)
+        if g[:-1] not in after:
+            return p(g[1:])
+        (follow, left), c = after[g[:-1]], counts[len(g)].get(g, 0)
+        return (c - cut[len(g)][min(c, 3)] + left * p(g[1:])) / follow
+
+    for g in [g for g in list(top)[:5] if g[-2] is not None] + [("<s>",) * order, ("@never@",) * order]:
+        assert sum(p((*g[:-1], v)) for v in uni) + p((*g[:-1], "@unseen@")) == pytest.approx(1)
     out = Counter()
     for r in rows:
         w = token(r.text)
         base = sum(math.log10((uni[v] + 0.1) / (total + 0.1 * (size + 1))) for v in w)
-        out[r.doc_id, len(w), sum(uni[v] > 0 for v in w), total, round(base, 6), round(sum(math.log10(p(u, v)) for u, v in zip(["<s>", *w[:-1]], w, strict=True)), 6)] += 1
+        out[r.doc_id, len(w), sum(uni[v] > 0 for v in w), total, round(base, 6), round(sum(math.log10(p(g)) for g in grams(w, order)), 6)] += 1
     return out
 
 
-@pytest.mark.parametrize("keys", [3_000_000, 500])
-def test_kneser_ney(nasty, rows, keys, monkeypatch):
+@pytest.mark.parametrize(("keys", "order"), [(3_000_000, 3), (500, 2), (5_000, 3), (5_000, 4)])
+def test_kneser_ney(nasty, rows, keys, order, monkeypatch):
     monkeypatch.setattr(lm, "PART_KEYS", keys)
     monkeypatch.setattr(lm, "FLUSH_KEYS", keys)
     held = lambda i: i is not None and i % 4 == 0
-    got = lm.held_out_scores(nasty, F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False))).collect()
-    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == model_scores(rows, held)
+    got = lm.held_out_scores(nasty, F.coalesce(F.col("doc_id") % 4 == 0, F.lit(False)), order=order).collect()
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == model_scores(rows, held, order)
     assert all(r.perplexity == pytest.approx(10 ** (-r.score / r.n_tokens)) for r in got)
-
-
-def test_counts_stay_whole():
-    big = np.array([1, 255, 256, 65_536, (1 << 32) + 5, 1 << 40])
-    for n in (big[:2], big[:3], big[:4], big):
-        assert lm.counts_of(lm.narrow(n).tobytes(), len(n)).tolist() == n.tolist()
-    keys = np.arange(6, dtype=np.uint64) << np.uint64(60)
-    made = lm.sent(keys, big, 3)
-    back = [lm.counts_of(n, len(k) // 8).tolist() for k, n in zip(made["keys"], made["n"], strict=True)]
-    assert sum(back, []) == big.tolist()
+    with pytest.raises(ValueError, match="order 5"):
+        lm.held_out_scores(nasty, F.lit(False), order=5)
+
+
+def test_counts_stay_whole(tmp_path):
+    big = np.array([1, 254, 255, 256, 65_536, (1 << 32) + 5, 1 << 40])
+    for n in (big[:2], big[:3], big[:5], big):
+        assert lm.unpack(np.frombuffer(lm.pack([lm.narrow(n)]), np.uint8))[0].tolist() == n.tolist()
+        lm.store(f"{tmp_path}/{len(n)}", lm.small(n))
+        assert lm.counts_at(lm.mapped(f"{tmp_path}/{len(n)}"), np.arange(len(n))).tolist() == n.tolist()
+    key, rest = np.array([5, 5, 5, 9, 9, 1, 1], np.uint64) << np.uint64(60), np.array([2, 1, 2, 0, 7, 3, 3], np.uint64)
+    made = lm.sent([(key, rest, np.stack([big, big]))], 3)
+    back = Counter()
+    for part, data in zip(made["part"], made["data"], strict=True):
+        k, r, n, again = lm.unpack(np.frombuffer(data, np.uint8))
+        assert n.tolist() == again.tolist() and set(lm.part_of(k, r.astype(np.uint64), 3).tolist()) == {part}
+        back.update(dict(zip(zip(k.tolist(), r.tolist(), strict=True), n.tolist(), strict=True)))
+    assert back == Counter({(5 << 60, 2): 256, (5 << 60, 1): 254, (9 << 60 & (1 << 64) - 1, 0): 256, (9 << 60 & (1 << 64) - 1, 7): 65_536, (1 << 60, 3): (1 << 32) + 5 + (1 << 40)})
     assert lm.fits((1 << 32) - 1) == (1 << 32) - 1
     with pytest.raises(OverflowError):
         lm.fits(1 << 32)
 
 
-def test_stored_counts_keep_their_width(tmp_path):
-    for n in ([3, 200], [3, 70_000], [1 << 33, 1]):
-        path = f"{tmp_path}/{max(n)}"
-        lm.store(path, np.array([5, 6], "<u8"), lm.narrow(np.array(n)))
-        assert [a.tolist() for a in lm.mapped(path, ("<u8", ""))] == [[5, 6], n]
+@pytest.mark.parametrize("length", [1, 2, 3, 4])
+def test_grams_come_back_from_their_keys(length):
+    w = [np.random.default_rng(k).integers(0, 1 << 32, 1000, dtype=np.uint64) for k in range(length)]
+    assert [x.tolist() for x in lm.worded(*lm.keyed(w), length)] == [x.tolist() for x in w]
 
 
 def entropy_model(text, rule):

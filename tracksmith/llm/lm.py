@@ -1,15 +1,20 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays that workers map.
+"""Interpolated modified Kneser-Ney n-gram model of order 2 to 4, counted in Spark, kept as sorted hash arrays that workers map.
 
 The model lives in the shared folder (spark.checkpoint.dir, which must be mounted, as files are mapped from it):
 
 * vocabulary parts: sorted hashes of the words and their counts; a word's number is its place over all parts;
-* pair parts: sorted mixed numbers (a bijection of context and word, so no two pairs collide) and their counts;
-* context parts, by ranges of word numbers: how many words follow a context once, twice, more often, and how many
-  contexts a word follows.
+* for each length up to the order, parts of sorted n-grams: the mixed numbers of the last two words (a bijection, so no
+  two n-grams collide) and the words before them. Of the longest it keeps the counts. Of shorter ones it keeps how many words
+  stand before them, and as contexts the sum of what follows and how many words follow once, twice, more often.
 
-Counting sends sorted runs of distinct keys and counts of as many bytes as they need, cut by the key's first bits, so
-that every part has about the same size whatever the most frequent words and pairs are. Each part is merged by one
-task. Counts are whole at any size; 2**32 distinct words or more raise an error, as two no longer fit into a key. Scoring reads whole texts in runs and looks sorted keys up part by part.
+Counts are a byte each, with a list beside for those of 255 or more. Counting sends sorted runs of distinct n-grams,
+dealt by a hash of the whole n-gram, so that every part has about the same size whatever the most frequent words,
+pairs and contexts are. Each part is merged by one task. Shorter n-grams are counted from the longer ones' files, so
+that each step's shuffle can go before the next. Counts are whole at any size; 2**32 distinct words or more raise an
+error, as two no longer fit into a key. Scoring reads whole texts in runs and looks sorted keys up part by part.
+
+A text begins with as many begin marks as a context is long; the marks are words of n-grams like others, but are never
+predicted. So a beginning of fewer words has one word before it, a mark.
 
 Defined cases: a null text counts as empty and has one token, the end; unknown words get the model's share for
 unknown words; without training texts the model is uniform; repeated rows count as often as they stand there;
@@ -29,17 +34,20 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
 from .common import power_of_two, saved, shared_dir, slices
 
-#: Keys that a part should get, keys after which a counting task sends what it has, bytes of text looked up at a time.
+#: N-grams that a part should get, n-grams after which a counting task sends what it has, bytes of text looked up at a time.
 PART_KEYS, FLUSH_KEYS, RUN_BYTES = 3_000_000, 3_000_000, 2 << 20
 #: The token that ends a text, as a word's hash.
 END = np.uint64(0x9D39247E33776D41)
-_SHIFT = np.uint64(32)
+_SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+_DEAL = np.uint64(0x9E3779B97F4A7C15)
+#: Shuffles go when their job has ended (Spark 4.1 and later; elsewhere they stay until Spark collects them).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def mounted(uri: str) -> str:
@@ -59,46 +67,50 @@ def unmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
 
 
-def counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their sums."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order].astype(np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(n, starts) if len(starts) else n
-
-
 def narrow(n: np.ndarray) -> np.ndarray:
     """Counts in the least of 1, 2, 4 and 8 bytes that holds them all."""
     most = int(n.max(initial=0))
     return n.astype(f"<u{next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)}")
 
 
-def counts_of(data: bytes, rows: int) -> np.ndarray:
-    """What narrow() made, from its bytes."""
-    return np.frombuffer(data, f"<u{len(data) // rows}" if rows else "<u1")
+def pack(arrays: list[np.ndarray]) -> bytes:
+    """Unsigned arrays of any widths and lengths, one behind the other; unpack() reads them without a copy."""
+    head = np.array([len(arrays), *(x for a in arrays for x in (a.itemsize, len(a)))], "<u8")
+    return b"".join([head.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+
+
+def unpack(data: np.ndarray) -> list[np.ndarray]:
+    head = data[8 : 8 + 16 * int(data[:8].view("<u8")[0])].view("<u8").reshape(-1, 2).astype(np.int64)
+    ends = np.cumsum([8 + 16 * len(head), *(head[:, 0] * head[:, 1])])
+    return [data[a:b].view(f"<u{w}") for a, b, w in zip(ends[:-1], ends[1:], head[:, 0], strict=True)]
+
+
+def small(n: np.ndarray) -> list[np.ndarray]:
+    """Counts as bytes, then the places and values of those of 255 or more."""
+    big = np.flatnonzero(n >= 255)
+    return [np.minimum(n, 255).astype("u1"), big.astype("<u4"), n[big].astype("<u8")]
+
+
+def counts_at(three: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    """What small() made, at some places."""
+    out = three[0][place].astype(np.int64)
+    big = np.flatnonzero(out == 255)
+    out[big] = three[2][np.searchsorted(three[1], place[big])]
+    return out
 
 
-def store(path: str, *arrays: np.ndarray) -> None:
-    """Arrays of the same length in a file that appears whole or not at all: their length, then one behind the other."""
+def store(path: str, arrays: list[np.ndarray]) -> None:
+    """A file that appears whole or not at all."""
     made = f"{path}.{uuid.uuid4().hex}"
     with open(made, "wb") as f:
-        f.write(len(arrays[0]).to_bytes(8, "little"))
-        for a in arrays:
-            f.write(np.ascontiguousarray(a).data)
+        f.write(pack(arrays))
     os.replace(made, path)
 
 
 @functools.lru_cache(maxsize=256)
-def mapped(path: str, kinds: tuple[str, ...]) -> tuple[np.ndarray, ...]:
-    """The arrays of a stored file, mapped. The last kind may be "": what narrow() made."""
-    size = os.path.getsize(path) if os.path.exists(path) else 0
-    if size <= 8:
-        return tuple(np.zeros(0, k or "<u1") for k in kinds)
-    data = np.memmap(path, np.uint8, "r")
-    n, data = int.from_bytes(data[:8].tobytes(), "little"), data[8:]
-    widths = [np.dtype(k).itemsize if k else len(data) // n - sum(np.dtype(x).itemsize for x in kinds[:-1]) for k in kinds]
-    ends = np.cumsum([0, *[w * n for w in widths]])
-    return tuple(data[a:b].view(k or f"<u{w}") for a, b, k, w in zip(ends[:-1], ends[1:], kinds, widths, strict=True))
+def mapped(path: str) -> list[np.ndarray] | None:
+    """The arrays of a stored file, mapped; none where a part has no n-grams."""
+    return unpack(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else None
 
 
 @dataclass(frozen=True)
@@ -106,38 +118,100 @@ class Shape:
     """What workers must know to find their way in the files."""
 
     folder: str
+    order: int
     word_bits: int  # the first bits of a hash that name its part
     starts: np.ndarray  # the number of each vocabulary part's first word, and at the end the number of words
-    pair_bits: int = 0
-    context_rows: int = 1  # word numbers in a context part
+    bits: tuple[int, ...] = ()  # of each length's parts, from one word on
 
     @property
     def words(self) -> int:
         return int(self.starts[-1])
 
 
-def part_of(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+def keyed(w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, rest) of n-grams of 1 to 4 words' numbers, first to last: the last two mixed, and those before."""
+    w = [x.astype(np.uint64) for x in w]
+    key = hashing.mix(w[-1] if len(w) == 1 else w[-2] << _SHIFT | w[-1])
+    return key, w[0] << _SHIFT | w[1] if len(w) == 4 else w[0] if len(w) == 3 else np.zeros(len(key), np.uint64)
+
+
+def worded(key: np.ndarray, rest: np.ndarray, length: int) -> list[np.ndarray]:
+    """What keyed() was made of."""
+    plain = unmix(key)
+    before = {3: [rest], 4: [rest >> _SHIFT, rest & _LOW]}.get(length, [])
+    return [*before, *([plain] if length == 1 else [plain >> _SHIFT, plain & _LOW])]
+
+
+def part_of(key: np.ndarray, rest: np.ndarray, bits: int) -> np.ndarray:
+    return ((key + rest * _DEAL) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+
+
+def sorting(key: np.ndarray, rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by part, key and rest; where new n-grams begin in it; where parts begin among these, and the end."""
+    if rest.any():
+        part = part_of(key, rest, bits)
+        order = np.lexsort((rest, key, part))
+        new = (key[order][1:] != key[order][:-1]) | (rest[order][1:] != rest[order][:-1])
+    else:  # a part is a range of keys
+        order = np.argsort(key, kind="stable")
+        new = key[order][1:] != key[order][:-1]
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), new]))
+    parts = part_of(key[order[first]], rest[order[first]], bits)
+    return order, first, np.searchsorted(parts, np.arange((1 << bits) + 1))
+
+
+#: (keys, rests, counts: a row for each kind)
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def summed(tables: list[Table], bits: int) -> tuple[Table, np.ndarray]:
+    """The distinct n-grams of all tables with their sums, sorted by part, key and rest, and where the parts begin."""
+    key, rest, n = (np.concatenate(x, axis=-1) for x in zip(*tables, strict=True))
+    order, first, ends = sorting(key, rest, bits)
+    if len(first) == len(key):
+        return (key[order], rest[order], n[:, order]), ends
+    return (key[order[first]], rest[order[first]], np.add.reduceat(n[:, order], first, axis=1)), ends
 
 
-def looked_up(keys: np.ndarray, bits: int, folder: str, name: str) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray]]:
-    """For sorted keys, part by part: where they stand in keys, the part, their place in it, and whether it is theirs."""
-    ends = np.searchsorted(part_of(keys, bits), np.arange((1 << bits) + 1))
+def sent(tables: list[Table], bits: int) -> pd.DataFrame:
+    """A row for each part: however often an n-gram stands in the tables, it is sent once."""
+    (key, rest, n), ends = summed(tables, bits)
+    use = np.flatnonzero(np.diff(ends))
+    cut = [slice(int(ends[p]), int(ends[p + 1])) for p in use]
+    return pd.DataFrame({"part": use, "data": [pack([key[at].astype("<u8"), narrow(rest[at]), *(narrow(k[at]) for k in n)]) for at in cut]})
+
+
+def looked_up(key: np.ndarray, rest: np.ndarray, bits: int, name: str, kinds: int) -> np.ndarray:
+    """The counts of each n-gram in the files of a name, 0 where they do not have it; in the last row its place and one more."""
+    order, first, ends = sorting(key, rest, bits)
+    own, of = key[order[first]], rest[order[first]]
+    got = np.zeros((kinds + 1, len(first)), np.int64)
     for p in np.flatnonzero(np.diff(ends)).tolist():
-        at, own = slice(int(ends[p]), int(ends[p + 1])), mapped(f"{folder}/{name}-{p}", ("<u8", ""))[0]
-        place = np.minimum(np.searchsorted(own, keys[at]), max(len(own) - 1, 0))
-        yield at, p, place, (own[place] == keys[at]) if len(own) else np.zeros(at.stop - at.start, bool)
+        if (have := mapped(f"{name}-{p}")) is None:
+            continue
+        at = np.arange(ends[p], ends[p + 1])
+        keys, rests = have[:2]
+        low, high = np.searchsorted(keys, own[at]), np.searchsorted(keys, own[at], "right")
+        end = high.copy()
+        while (open_ := np.flatnonzero(low < high)).size:  # rests are sorted where keys are the same
+            middle = (low[open_] + high[open_]) // 2
+            under = rests[middle] < of[at[open_]]
+            low[open_[under]], high[open_[~under]] = middle[under] + 1, middle[~under]
+        there = np.flatnonzero(low < end)
+        there = there[rests[low[there]] == of[at[there]]]
+        for k in range(kinds):
+            got[k, at[there]] = counts_at(have[2 + 3 * k : 5 + 3 * k], low[there])
+        got[kinds, at[there]] = low[there] + 1
+    back = np.empty(len(key), np.int64)
+    back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    return got[:, back]
 
 
 def numbers_of(hashes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """The number of each word (-1: unknown) and its count."""
-    unique, where = np.unique(hashes, return_inverse=True)
-    number, count = np.full(len(unique), -1, np.int64), np.zeros(len(unique), np.int64)
-    for at, p, place, found in looked_up(unique, shape.word_bits, shape.folder, "words"):
-        n = mapped(f"{shape.folder}/words-{p}", ("<u8", ""))[1]
-        number[at] = np.where(found, shape.starts[p] + place, -1)
-        count[at] = np.where(found, n[place] if len(n) else 0, 0)
-    return number[where], count[where]
+    none = np.zeros(len(hashes), np.uint64)
+    count, place = looked_up(hashes, none, shape.word_bits, f"{shape.folder}/words", 1)
+    return np.where(place > 0, shape.starts[part_of(hashes, none, shape.word_bits)] + place - 1, -1), count
 
 
 def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,50 +221,77 @@ def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(w.hash, last, END), np.insert(w.text, last, np.arange(len(run)))
 
 
-def pairs_of(number: np.ndarray, text: np.ndarray, begin: int) -> np.ndarray:
-    """The number of each token's context: the token before it in its text, or `begin`."""
-    before = np.concatenate([[begin], number[:-1]])
-    return np.where(np.concatenate([[True], text[1:] != text[:-1]]), begin, before)
-
-
-def sent(keys: np.ndarray, n: np.ndarray, bits: int) -> pd.DataFrame:
-    """Sorted distinct keys and counts, cut by part: however often a key stands in the texts, it is sent once."""
-    ends = np.searchsorted(part_of(keys, bits), np.arange((1 << bits) + 1))
-    use = np.flatnonzero(np.diff(ends))
-    return pd.DataFrame({"part": use, "keys": [keys[ends[p] : ends[p + 1]].astype("<u8").tobytes() for p in use], "n": [narrow(n[ends[p] : ends[p + 1]]).tobytes() for p in use]})
+def marked(number: np.ndarray, text: np.ndarray, texts: int, marks: int, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers with `marks` begin marks before each text, and the place of each token among them."""
+    place = np.arange(len(number)) + (text + 1) * marks
+    out = np.full(len(number) + texts * marks, begin, np.int64)
+    out[place] = number
+    return out, place
 
 
-def count_keys(texts: DataFrame, keys_of: Callable[[list[bytes]], np.ndarray], bits: int) -> DataFrame:
-    """(part, keys, n): sorted runs of the keys that keys_of finds in the texts."""
+def count_grams(texts: DataFrame, grams_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+    """(part, data): sorted runs of the n-grams that grams_of finds in the texts, with their counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[Table] = []
         for batch in batches:
             for _, part in slices(batch.iloc[:, 0], RUN_BYTES):
-                held.append(np.unique(keys_of(part), return_counts=True))
-                if sum(len(k) for k, _ in held) > FLUSH_KEYS:
-                    held = [counted(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                key, rest = grams_of(part)
+                held.append(summed([(key, rest, np.ones((1, len(key)), np.int64))], 0)[0])
+                if sum(len(k) for k, *_ in held) > FLUSH_KEYS:
+                    held = [summed(held, 0)[0]]
                     if len(held[0][0]) > FLUSH_KEYS / 2:
-                        yield sent(*held.pop(), bits)
+                        yield sent(held, bits)
+                        held = []
         mapped.cache_clear()
         if held:
-            yield sent(*counted(*(np.concatenate(x) for x in zip(*held, strict=True))), bits)
+            yield sent(held, bits)
+
+    return texts.mapInPandas(run, "part int, data binary")
 
-    return texts.mapInPandas(run, "part int, keys binary, n binary")
 
+def merged(runs: DataFrame, bits: int, name: str, kinds: int) -> np.ndarray:
+    """Writes each part's distinct n-grams and sums, a part by one task. A row for each part: its size, the first kind's sum, how many have 1, 2, 3, 4 and 3 or more of it.
 
-def merged(runs: DataFrame, bits: int, then: Callable[[int, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """`then` of each part with its sorted distinct keys and their counts; a part is one task's."""
+    Runs have the first kind alone (words before), all but the first (what follows), or all.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[int, list[Table]] = {}
         for batch in batches:
-            for p, k, n in zip(batch.part, batch["keys"], batch.n, strict=True):
-                held.setdefault(int(p), []).append((np.frombuffer(k, "<u8"), counts_of(n, len(k) // 8)))
+            for p, data in zip(batch.part, batch.data, strict=True):
+                key, rest, *n = unpack(np.frombuffer(data, np.uint8))
+                have = np.zeros((kinds, len(key)), np.int64)
+                have[slice(0, 1) if len(n) == 1 else slice(kinds - len(n), kinds)] = n
+                held.setdefault(int(p), []).append((key, rest.astype(np.uint64), have))
         for p in list(held):
-            yield then(p, *counted(*(np.concatenate(x) for x in zip(*held.pop(p), strict=True))))
+            (key, rest, n), _ = summed(held.pop(p), 0)
+            store(f"{name}-{p}", [key.astype("<u8"), narrow(rest), *(x for k in n for x in small(k))])
+            yield pd.DataFrame([[p, len(key), int(n[0].sum()), *(int((n[0] == k).sum()) for k in (1, 2, 3, 4)), int((n[0] >= 3).sum())]])
+
+    rows = runs.repartitionById(1 << bits, F.col("part")).mapInPandas(run, "part long, size long, total long, n1 long, n2 long, n3 long, n4 long, more long").collect()
+    out = np.zeros((1 << bits, 7), np.int64)
+    for r in rows:
+        out[r["part"]] = r[1:]
+    return out
 
-    return runs.repartitionById(1 << bits, F.col("part")).mapInPandas(run, schema)
+
+def shorter(spark: SparkSession, name: str, length: int, upper_bits: int, bits: int) -> DataFrame:
+    """(part, data): from the files of n-grams of one word more than `length`, what stands before each n-gram and what follows it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p in batch.id:
+                if (have := mapped(f"{name}-{p}")) is None:
+                    continue
+                n = counts_at(have[2:5], np.arange(len(have[0])))
+                use = np.flatnonzero(n)  # not what is a context only
+                n, w = n[use], worded(have[0][use], have[1][use].astype(np.uint64), length + 1)
+                yield sent([(*keyed(w[1:]), np.ones((1, len(n)), np.int64))], bits)
+                yield sent([(*keyed(w[:-1]), np.stack([n, n == 1, n == 2, n >= 3]).astype(np.int64))], bits)
+        mapped.cache_clear()
+
+    return spark.range(0, 1 << upper_bits, 1, 1 << upper_bits).mapInPandas(run, "part int, data binary")
 
 
 def fits(words: int) -> int:
@@ -215,136 +316,94 @@ def discounts(n: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Model:
     shape: Shape
-    texts: int  # training texts
     tokens: int  # training tokens
-    pair: np.ndarray  # discounts
-    lower: np.ndarray
-    follows: int  # distinct pairs
+    cuts: tuple[np.ndarray, ...]  # each length's discounts
+    follows: int  # distinct pairs of a word and the word before
     rest: float  # the share of the lowest order that goes to all words alike
 
 
-def _spread(number: np.ndarray, value: np.ndarray, kind: int, rows: int) -> pd.DataFrame:
-    """Sums for word numbers, cut by context part."""
-    at = number // rows
-    ends = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
-    return pd.DataFrame([(int(at[a]), kind, number[a:b].astype("<u4").tobytes(), value[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], columns=["part", "kind", "number", "value"])
-
-
 @contextlib.contextmanager
-def trained(texts: DataFrame) -> Iterator[Model]:
+def trained(texts: DataFrame, order: int = 3) -> Iterator[Model]:
     """A model of the texts (one string column) whose files are there as long as the block runs."""
-    folder = f"{mounted(shared_dir(texts.sparkSession)).rstrip('/')}/lm-{uuid.uuid4().hex}"
+    spark = texts.sparkSession
+    folder = f"{mounted(shared_dir(spark)).rstrip('/')}/lm-{uuid.uuid4().hex}"
     os.makedirs(folder)
+    before = spark.conf.get(CLEANUP, None)
     try:
-        yield train(texts, folder)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            model = train(texts, folder, order)
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        yield model
     finally:
         shutil.rmtree(folder, ignore_errors=True)
 
 
-def train(texts: DataFrame, folder: str) -> Model:
+def train(texts: DataFrame, folder: str, order: int) -> Model:
     """Counts the texts (one string column) and writes the model's files into the folder."""
-    n_texts, size = texts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col(texts.columns[0]))), F.lit(0))).first()
+    if not 2 <= order <= 4:
+        raise ValueError(f"order {order}: 2 to 4 words go into a key")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(texts.columns[0]))), F.lit(0))).first()[0]
     bits = bits_for(size / 24)  # a task's distinct words are about a quarter of its words or fewer
 
-    def keep_words(p: int, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        store(f"{folder}/words-{p}", keys.astype("<u8"), narrow(n))
-        return pd.DataFrame({"part": [p], "size": [len(keys)], "total": [int(n.sum())]})
+    def words_of(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        h, _ = tokens(run)
+        return h, np.zeros(len(h), np.uint64)
 
-    found = merged(count_keys(texts, lambda run: tokens(run)[0], bits), bits, keep_words, "part int, size long, total long").collect()  # a row for each part
-    sizes = np.zeros(1 << bits, np.int64)
-    for r in found:
-        sizes[r["part"]] = r["size"]
-    total = sum(r["total"] for r in found)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
+    found = merged(count_grams(texts, words_of, bits), bits, f"{folder}/words", 1)
+    starts = np.concatenate([[0], np.cumsum(found[:, 0])])
     words = fits(int(starts[-1]))
-    pair_bits = bits_for(size / 7 * 0.7)
-    rows = max(1 << 12, PART_KEYS // 4)
-    shape = Shape(folder, bits, starts, pair_bits, rows)
+    lengths = (bits_for(size / 24), *(bits_for(size / 7 * 0.7 * (0.5 + 0.25 * n)) for n in range(2, order + 1)))
+    shape = Shape(folder, order, bits, starts, lengths)
 
-    def keys_of(run: list[bytes]) -> np.ndarray:
+    def grams_of(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, text = tokens(run)
-        number, _ = numbers_of(h, shape)
-        return hashing.mix(pairs_of(number, text, words).astype(np.uint64) << _SHIFT | number.astype(np.uint64))
-
-    def keep_pairs(p: int, keys: np.ndarray, n: np.ndarray) -> pd.DataFrame:
-        store(f"{folder}/pairs-{p}", keys.astype("<u8"), narrow(n))
-        plain = unmix(keys)
-        context, word = (plain >> _SHIFT).astype(np.int64), (plain & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        out = []
-        for kind, which, use in [*((k, context, n == k) for k in (1, 2)), (3, context, n >= 3), (4, word, n > 0)]:
-            number, value = np.unique(which[use], return_counts=True)
-            out.append(_spread(number, value, kind, rows))
-        out.append(pd.DataFrame([(-1, k, b"", np.array([(n == k).sum()], "<u4").tobytes()) for k in (1, 2, 3, 4)], columns=["part", "kind", "number", "value"]))
-        return pd.concat(out)
-
-    partial = saved(merged(count_keys(texts, keys_of, pair_bits), pair_bits, keep_pairs, "part int, kind int, number binary, value binary"))
-    of_pairs = np.zeros(5, np.int64)
-    for r in partial.where("part < 0").select("kind", "value").collect():  # 4 rows for each part
-        of_pairs[r["kind"]] += int(np.frombuffer(r["value"], "<u4")[0])
-    parts = words // rows + 1
-
-    def keep_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for p, kind, number, value in zip(batch.part, batch.kind, batch.number, batch.value, strict=True):
-                sums = held.setdefault(int(p), np.zeros((4, rows), np.uint32))
-                sums[int(kind) - 1, np.frombuffer(number, "<u4").astype(np.int64) - int(p) * rows] += np.frombuffer(value, "<u4")
-        for p, sums in held.items():
-            store(f"{folder}/contexts-{p}", *sums)
-            yield pd.DataFrame([[p, *((sums[3] == k).sum() for k in (1, 2, 3, 4)), int(sums[3].sum()), int((sums[3] >= 3).sum())]], columns=["part", "m1", "m2", "m3", "m4", "follows", "more"])
-
-    low = partial.where("part >= 0").repartitionById(parts, F.col("part")).mapInPandas(keep_contexts, "part int, m1 long, m2 long, m3 long, m4 long, follows long, more long")
-    got = low.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("m1", "m2", "m3", "m4", "follows", "more")]).first()
-    lower = discounts(np.array(got[:4]))
-    follows = int(got["follows"])
-    rest = float(lower[1] * got["m1"] + lower[2] * got["m2"] + lower[3] * got["more"]) / follows if follows else 1.0
-    return Model(shape, n_texts, int(total), discounts(of_pairs[1:]), lower, follows, rest)
-
-
-def contexts_at(number: np.ndarray, shape: Shape) -> np.ndarray:
-    """The four sums of sorted word numbers."""
-    out = np.zeros((4, len(number)), np.int64)
-    at = number // shape.context_rows
-    ends = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else np.zeros(1, np.int64)
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        four = mapped(f"{shape.folder}/contexts-{int(at[a])}", ("<u4",) * 4)
-        if len(four[0]):
-            for k in range(4):
-                out[k, a:b] = four[k][number[a:b] - int(at[a]) * shape.context_rows]
-    return out
+        number, place = marked(numbers_of(h, shape)[0], text, len(run), order - 1, words)
+        return keyed([number[place - k] for k in range(order - 1, -1, -1)])
+
+    made = [merged(count_grams(texts, grams_of, lengths[-1]), lengths[-1], f"{folder}/grams{order}", 1)]
+    for n in range(order - 1, 0, -1):
+        runs = shorter(texts.sparkSession, f"{folder}/grams{n + 1}", n, lengths[n], lengths[n - 1])
+        made.insert(0, merged(runs, lengths[n - 1], f"{folder}/grams{n}", 5))
+    _, follows, m1, m2, _, _, more = made[0].sum(axis=0).tolist()
+    cuts = tuple(discounts(m[:, 2:6].sum(axis=0)) for m in made)
+    rest = float(cuts[0][1] * m1 + cuts[0][2] * m2 + cuts[0][3] * more) / follows if follows else 1.0
+    return Model(shape, int(found[:, 1].sum()), cuts, follows, rest)
 
 
 def scored(run: list[bytes], m: Model) -> pd.DataFrame:
     """n_tokens, n_known, base_score and score of each text of a run."""
     h, text = tokens(run)
-    number, count = numbers_of(h, m.shape)
-    words = m.shape.words
+    own, count = numbers_of(h, m.shape)
+    words, order = m.shape.words, m.shape.order
     base = np.log10((count + 0.1) / (m.tokens + 0.1 * (words + 1)))
-    known = number >= 0
-    unique, where = np.unique(number[known], return_inverse=True)
-    after = contexts_at(unique, m.shape)[3]
-    share = np.full(len(number), m.rest / (words + 1))
-    if m.follows:
-        share[known] += ((after - m.lower[np.minimum(after, 3)]) / m.follows)[where]
-    context = pairs_of(np.where(known, number, -1), text, words)
-    context_count = np.where(context == words, m.texts, np.concatenate([[0], count[:-1]]))
-    ready = np.flatnonzero((context >= 0) & (context_count > 0))
-    p = share.copy()
-    if len(ready):
-        unique, where = np.unique(context[ready], return_inverse=True)
-        n1, n2, n3, _ = contexts_at(unique, m.shape)
-        left = (m.pair[1] * n1 + m.pair[2] * n2 + m.pair[3] * n3)[where]
-        both = ready[known[ready]]
-        keys, back = np.unique(hashing.mix(context[both].astype(np.uint64) << _SHIFT | number[both].astype(np.uint64)), return_inverse=True)
-        seen = np.zeros(len(keys), np.int64)
-        for at, part, place, found in looked_up(keys, m.shape.pair_bits, m.shape.folder, "pairs"):
-            n = mapped(f"{m.shape.folder}/pairs-{part}", ("<u8", ""))[1]
-            seen[at] = np.where(found, n[place] if len(n) else 0, 0)
-        own = np.zeros(len(number))
-        own[both] = (seen - m.pair[np.minimum(seen, 3)])[back]
-        p[ready] = (own[ready] + left * share[ready]) / context_count[ready]
+    number, place = marked(own, text, len(run), order - 1, words)
+    p = np.full(len(own), m.rest / (words + 1))
+    after = np.zeros((4, len(own)), np.int64)  # of the context: the sum of what follows, and how many words follow once, twice, more often
+    for n in range(1, order + 1):
+        kinds = 1 if n == order else 5
+
+        def at(places: np.ndarray, n: int = n, kinds: int = kinds) -> np.ndarray:
+            w = [number[places - k] for k in range(n - 1, -1, -1)]
+            known = np.flatnonzero(np.min(w, axis=0) >= 0) if len(places) else np.zeros(0, np.int64)
+            out = np.zeros((kinds, len(places)), np.int64)
+            out[:, known] = looked_up(*keyed([x[known] for x in w]), m.shape.bits[n - 1], f"{m.shape.folder}/grams{n}", kinds)[:kinds]
+            return out
+
+        got, cut = at(place), m.cuts[n - 1]
+        less = got[0] - cut[np.minimum(got[0], 3)]
+        if n == 1:
+            p += less / m.follows if m.follows else 0.0
+        else:
+            ready = np.flatnonzero(after[0])
+            p[ready] = (less[ready] + (cut[1:] @ after[1:, ready]) * p[ready]) / after[0, ready]
+        if n < order:
+            first = np.concatenate([[True], text[1:] != text[:-1]])
+            after = np.concatenate([np.zeros((4, 1), np.int64), got[1:, :-1]], axis=1)
+            after[:, first] = at(place[first] - 1)[1:]
     n = len(run)
-    return pd.DataFrame({"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, known, n).astype(np.int64), "base_score": np.bincount(text, base, n), "score": np.bincount(text, np.log10(p), n)})
+    return pd.DataFrame({"n_tokens": np.bincount(text, minlength=n), "n_known": np.bincount(text, own >= 0, n).astype(np.int64), "base_score": np.bincount(text, base, n), "score": np.bincount(text, np.log10(p), n)})
 
 
 def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -365,7 +424,7 @@ def score(df: DataFrame, model: Model, text: str = "text", key: str = "doc_id")
     return rows.select(F.col("key").cast(kind).alias(key), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-def held_out_scores(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
+def held_out_scores(df: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", order: int = 3) -> DataFrame:
     """Trains on the rows that are not held out and scores all; the model's files go when the scores are saved, or when that fails."""
-    with trained(df.where(~held_out).select(F.col(text).cast("string").alias("text"))) as model:
+    with trained(df.where(~held_out).select(F.col(text).cast("string").alias("text")), order) as model:
         return saved(score(df, model, text, key))
