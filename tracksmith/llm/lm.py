@@ -4,8 +4,9 @@ The model lives in the shared folder (spark.checkpoint.dir, which must be mounte
 
 * vocabulary parts: sorted hashes of the words and their counts; a word's number is its place over all parts;
 * for each length up to the order, parts of sorted n-grams: the mixed numbers of the last two words (a bijection, so no
-  two n-grams collide) and the words before them. Of the longest it keeps the counts. Of shorter ones it keeps how many words
-  stand before them, and as contexts the sum of what follows and how many words follow once, twice, more often.
+  two n-grams collide) and the words before them, with counts: how often the longest stand there, how many words stand
+  before each shorter one;
+* parts of contexts, with the sum of what follows and how many words follow once, twice, more often.
 
 Counts are a byte each, with a list beside for those of 255 or more. Counting sends sorted runs of distinct n-grams,
 dealt by a hash of the whole n-gram, so that every part has about the same size whatever the most frequent words,
@@ -181,27 +182,28 @@ def sent(tables: list[Table], bits: int) -> pd.DataFrame:
     return pd.DataFrame({"part": use, "data": [pack([key[at].astype("<u8"), narrow(rest[at]), *(narrow(k[at]) for k in n)]) for at in cut]})
 
 
-def looked_up(key: np.ndarray, rest: np.ndarray, bits: int, name: str, kinds: int) -> np.ndarray:
-    """The counts of each n-gram in the files of a name, 0 where they do not have it; in the last row its place and one more."""
+def looked_up(key: np.ndarray, rest: np.ndarray, bits: int, files: dict[str, int]) -> np.ndarray:
+    """The counts of each n-gram in the files of some names, so many kinds each, 0 where they do not have it; in the last row its place in the last and one more."""
     order, first, ends = sorting(key, rest, bits)
     own, of = key[order[first]], rest[order[first]]
-    got = np.zeros((kinds + 1, len(first)), np.int64)
+    got = np.zeros((sum(files.values()) + 1, len(first)), np.int64)
     for p in np.flatnonzero(np.diff(ends)).tolist():
-        if (have := mapped(f"{name}-{p}")) is None:
-            continue
-        at = np.arange(ends[p], ends[p + 1])
-        keys, rests = have[:2]
-        low, high = np.searchsorted(keys, own[at]), np.searchsorted(keys, own[at], "right")
-        end = high.copy()
-        while (open_ := np.flatnonzero(low < high)).size:  # rests are sorted where keys are the same
-            middle = (low[open_] + high[open_]) // 2
-            under = rests[middle] < of[at[open_]]
-            low[open_[under]], high[open_[~under]] = middle[under] + 1, middle[~under]
-        there = np.flatnonzero(low < end)
-        there = there[rests[low[there]] == of[at[there]]]
-        for k in range(kinds):
-            got[k, at[there]] = counts_at(have[2 + 3 * k : 5 + 3 * k], low[there])
-        got[kinds, at[there]] = low[there] + 1
+        at, row = np.arange(ends[p], ends[p + 1]), 0
+        for name, kinds in files.items():
+            if (have := mapped(f"{name}-{p}")) is not None:
+                keys, rests = have[:2]
+                low, high = np.searchsorted(keys, own[at]), np.searchsorted(keys, own[at], "right")
+                end = high.copy()
+                while (left := np.flatnonzero(low < high)).size:  # rests are sorted where keys are the same
+                    middle = (low[left] + high[left]) // 2
+                    under = rests[middle] < of[at[left]]
+                    low[left[under]], high[left[~under]] = middle[under] + 1, middle[~under]
+                there = np.flatnonzero(low < end)
+                there = there[rests[low[there]] == of[at[there]]]
+                for k in range(kinds):
+                    got[row + k, at[there]] = counts_at(have[2 + 3 * k : 5 + 3 * k], low[there])
+                got[-1, at[there]] = low[there] + 1
+            row += kinds
     back = np.empty(len(key), np.int64)
     back[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
     return got[:, back]
@@ -210,7 +212,7 @@ def looked_up(key: np.ndarray, rest: np.ndarray, bits: int, name: str, kinds: in
 def numbers_of(hashes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """The number of each word (-1: unknown) and its count."""
     none = np.zeros(len(hashes), np.uint64)
-    count, place = looked_up(hashes, none, shape.word_bits, f"{shape.folder}/words", 1)
+    count, place = looked_up(hashes, none, shape.word_bits, {f"{shape.folder}/words": 1})
     return np.where(place > 0, shape.starts[part_of(hashes, none, shape.word_bits)] + place - 1, -1), count
 
 
@@ -250,20 +252,15 @@ def count_grams(texts: DataFrame, grams_of: Callable[[list[bytes]], tuple[np.nda
     return texts.mapInPandas(run, "part int, data binary")
 
 
-def merged(runs: DataFrame, bits: int, name: str, kinds: int) -> np.ndarray:
-    """Writes each part's distinct n-grams and sums, a part by one task. A row for each part: its size, the first kind's sum, how many have 1, 2, 3, 4 and 3 or more of it.
-
-    Runs have the first kind alone (words before), all but the first (what follows), or all.
-    """
+def merged(runs: DataFrame, bits: int, name: str) -> np.ndarray:
+    """Writes each part's distinct n-grams and sums, a part by one task. A row for each part: its size, the first kind's sum, how many have 1, 2, 3, 4 and 3 or more of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[Table]] = {}
         for batch in batches:
             for p, data in zip(batch.part, batch.data, strict=True):
                 key, rest, *n = unpack(np.frombuffer(data, np.uint8))
-                have = np.zeros((kinds, len(key)), np.int64)
-                have[slice(0, 1) if len(n) == 1 else slice(kinds - len(n), kinds)] = n
-                held.setdefault(int(p), []).append((key, rest.astype(np.uint64), have))
+                held.setdefault(int(p), []).append((key, rest.astype(np.uint64), np.stack(n).astype(np.int64)))
         for p in list(held):
             (key, rest, n), _ = summed(held.pop(p), 0)
             store(f"{name}-{p}", [key.astype("<u8"), narrow(rest), *(x for k in n for x in small(k))])
@@ -276,8 +273,8 @@ def merged(runs: DataFrame, bits: int, name: str, kinds: int) -> np.ndarray:
     return out
 
 
-def shorter(spark: SparkSession, name: str, length: int, upper_bits: int, bits: int) -> DataFrame:
-    """(part, data): from the files of n-grams of one word more than `length`, what stands before each n-gram and what follows it."""
+def shorter(spark: SparkSession, name: str, length: int, upper_bits: int, bits: int, contexts: bool) -> DataFrame:
+    """(part, data): from the files of n-grams of one word more than `length`, what follows the first words, or what stands before the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -285,10 +282,11 @@ def shorter(spark: SparkSession, name: str, length: int, upper_bits: int, bits:
                 if (have := mapped(f"{name}-{p}")) is None:
                     continue
                 n = counts_at(have[2:5], np.arange(len(have[0])))
-                use = np.flatnonzero(n)  # not what is a context only
-                n, w = n[use], worded(have[0][use], have[1][use].astype(np.uint64), length + 1)
-                yield sent([(*keyed(w[1:]), np.ones((1, len(n)), np.int64))], bits)
-                yield sent([(*keyed(w[:-1]), np.stack([n, n == 1, n == 2, n >= 3]).astype(np.int64))], bits)
+                w = worded(have[0], have[1].astype(np.uint64), length + 1)
+                if contexts:
+                    yield sent([(*keyed(w[:-1]), np.stack([n, n == 1, n == 2, n >= 3]).astype(np.int64))], bits)
+                else:
+                    yield sent([(*keyed(w[1:]), np.ones((1, len(n)), np.int64))], bits)
         mapped.cache_clear()
 
     return spark.range(0, 1 << upper_bits, 1, 1 << upper_bits).mapInPandas(run, "part int, data binary")
@@ -351,7 +349,7 @@ def train(texts: DataFrame, folder: str, order: int) -> Model:
         h, _ = tokens(run)
         return h, np.zeros(len(h), np.uint64)
 
-    found = merged(count_grams(texts, words_of, bits), bits, f"{folder}/words", 1)
+    found = merged(count_grams(texts, words_of, bits), bits, f"{folder}/words")
     starts = np.concatenate([[0], np.cumsum(found[:, 0])])
     words = fits(int(starts[-1]))
     lengths = (bits_for(size / 24), *(bits_for(size / 7 * 0.7 * (0.5 + 0.25 * n)) for n in range(2, order + 1)))
@@ -362,10 +360,11 @@ def train(texts: DataFrame, folder: str, order: int) -> Model:
         number, place = marked(numbers_of(h, shape)[0], text, len(run), order - 1, words)
         return keyed([number[place - k] for k in range(order - 1, -1, -1)])
 
-    made = [merged(count_grams(texts, grams_of, lengths[-1]), lengths[-1], f"{folder}/grams{order}", 1)]
+    made = [merged(count_grams(texts, grams_of, lengths[-1]), lengths[-1], f"{folder}/grams{order}")]
     for n in range(order - 1, 0, -1):
-        runs = shorter(texts.sparkSession, f"{folder}/grams{n + 1}", n, lengths[n], lengths[n - 1])
-        made.insert(0, merged(runs, lengths[n - 1], f"{folder}/grams{n}", 5))
+        before, after = (shorter(texts.sparkSession, f"{folder}/grams{n + 1}", n, lengths[n], lengths[n - 1], contexts) for contexts in (False, True))
+        made.insert(0, merged(before, lengths[n - 1], f"{folder}/grams{n}"))
+        merged(after, lengths[n - 1], f"{folder}/contexts{n}")  # a job of its own, so that half as much is shuffled at a time
     _, follows, m1, m2, _, _, more = made[0].sum(axis=0).tolist()
     cuts = tuple(discounts(m[:, 2:6].sum(axis=0)) for m in made)
     rest = float(cuts[0][1] * m1 + cuts[0][2] * m2 + cuts[0][3] * more) / follows if follows else 1.0
@@ -382,13 +381,13 @@ def scored(run: list[bytes], m: Model) -> pd.DataFrame:
     p = np.full(len(own), m.rest / (words + 1))
     after = np.zeros((4, len(own)), np.int64)  # of the context: the sum of what follows, and how many words follow once, twice, more often
     for n in range(1, order + 1):
-        kinds = 1 if n == order else 5
+        files = {f"{m.shape.folder}/grams{n}": 1} | ({f"{m.shape.folder}/contexts{n}": 4} if n < order else {})
 
-        def at(places: np.ndarray, n: int = n, kinds: int = kinds) -> np.ndarray:
+        def at(places: np.ndarray, n: int = n, files: dict[str, int] = files) -> np.ndarray:
             w = [number[places - k] for k in range(n - 1, -1, -1)]
-            known = np.flatnonzero(np.min(w, axis=0) >= 0) if len(places) else np.zeros(0, np.int64)
-            out = np.zeros((kinds, len(places)), np.int64)
-            out[:, known] = looked_up(*keyed([x[known] for x in w]), m.shape.bits[n - 1], f"{m.shape.folder}/grams{n}", kinds)[:kinds]
+            known = np.flatnonzero(np.min(w, axis=0) >= 0)
+            out = np.zeros((sum(files.values()), len(places)), np.int64)
+            out[:, known] = looked_up(*keyed([x[known] for x in w]), m.shape.bits[n - 1], files)[:-1]
             return out
 
         got, cut = at(place), m.cuts[n - 1]
