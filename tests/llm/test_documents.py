@@ -466,14 +466,19 @@ def test_counts_stay_whole(tmp_path):
     big = np.array([1, 254, 255, 256, 65_536, (1 << 32) + 5, 1 << 40])
     for n in (big[:2], big[:3], big[:5], big):
         assert lm.unpack(np.frombuffer(lm.pack([lm.narrow(n)]), np.uint8))[0].tolist() == n.tolist()
-        lm.store(f"{tmp_path}/{len(n)}", lm.small(n))
-        assert lm.counts_at(lm.mapped(f"{tmp_path}/{len(n)}"), np.arange(len(n))).tolist() == n.tolist()
+        for name, rows in (("one", n[None]), ("four", np.stack([n, n % 3, n * 0 + 1, n[::-1]]))):
+            lm.store(f"{tmp_path}/{name}{len(n)}", lm.small(rows))
+            assert lm.counts_at(lm.mapped(f"{tmp_path}/{name}{len(n)}"), np.arange(len(n)), len(rows)).tolist() == rows.tolist()
+    many = np.random.default_rng(1).integers(0, 70, (4, 5000))  # more kinds of columns than a byte holds
+    assert lm.counts_at(lm.small(many), np.arange(5000), 4).tolist() == many.tolist()
+    layout = lm.laid_out(4, 32, 3)
     key, rest = np.array([5, 5, 5, 9, 9, 1, 1], np.uint64) << np.uint64(60), np.array([2, 1, 2, 0, 7, 3, 3], np.uint64)
-    made = lm.sent([(key, rest, np.stack([big, big]))], 3)
+    made = lm.sent([(key, rest, np.stack([big, big]))], layout)
     back = Counter()
     for part, data in zip(made["part"], made["data"], strict=True):
         k, r, n, again = lm.unpack(np.frombuffer(data, np.uint8))
-        assert n.tolist() == again.tolist() and set(lm.part_of(k, r.astype(np.uint64), 3).tolist()) == {part}
+        k, r = layout.outer(part, *layout.unpacked(k, r))
+        assert n.tolist() == again.tolist() and set((k >> np.uint64(61)).tolist()) == {part}
         back.update(dict(zip(zip(k.tolist(), r.tolist(), strict=True), n.tolist(), strict=True)))
     assert back == Counter({(5 << 60, 2): 256, (5 << 60, 1): 254, (9 << 60 & (1 << 64) - 1, 0): 256, (9 << 60 & (1 << 64) - 1, 7): 65_536, (1 << 60, 3): (1 << 32) + 5 + (1 << 40)})
     assert lm.fits((1 << 32) - 1) == (1 << 32) - 1
@@ -481,10 +486,24 @@ def test_counts_stay_whole(tmp_path):
         lm.fits(1 << 32)
 
 
+@pytest.mark.parametrize("bits", [0, 1, 7, 20])
+@pytest.mark.parametrize("width", [1, 2, 5, 23, 31, 32])
 @pytest.mark.parametrize("length", [1, 2, 3, 4])
-def test_grams_come_back_from_their_keys(length):
-    w = [np.random.default_rng(k).integers(0, 1 << 32, 1000, dtype=np.uint64) for k in range(length)]
-    assert [x.tolist() for x in lm.worded(*lm.keyed(w), length)] == [x.tolist() for x in w]
+def test_grams_come_back_from_their_keys(length, width, bits):
+    w = [np.random.default_rng(k).integers(0, 1 << width, 1000, dtype=np.uint64) for k in range(length)]
+    layout = lm.laid_out(length, width, bits)
+    key, rest = layout.keyed(w)
+    assert [x.tolist() for x in layout.worded(key, rest)] == [x.tolist() for x in w]
+    assert len(set(zip(key.tolist(), rest.tolist(), strict=True))) == len(set(zip(*(x.tolist() for x in w), strict=True)))
+    order, _ = lm.ordered(key, rest)
+    key, rest = key[order], rest[order]
+    ends = layout.ends(key)
+    for p in np.flatnonzero(np.diff(ends)).tolist():
+        at = slice(ends[p], ends[p + 1])
+        inner = layout.inner(key[at], rest[at])
+        assert sorted(zip(*(x.tolist() for x in inner), strict=True)) == list(zip(*(x.tolist() for x in inner), strict=True))
+        back = layout.outer(p, *layout.unpacked(*layout.packed(*inner)))
+        assert [x.tolist() for x in back] == [key[at].tolist(), rest[at].tolist()]
 
 
 def entropy_model(text, rule):

@@ -3,14 +3,15 @@
 The model lives in the shared folder (spark.checkpoint.dir, which must be mounted, as files are mapped from it):
 
 * vocabulary parts: sorted hashes of the words and their counts; a word's number is its place over all parts;
-* for each length up to the order, parts of sorted n-grams: the mixed numbers of the last two words (a bijection, so no
-  two n-grams collide) and the words before them, with counts: how often the longest stand there, how many words stand
-  before each shorter one;
+* for each length up to the order, parts of sorted n-grams: a mixture of all their words' numbers and the words before
+  the last two (a bijection, so no two n-grams collide), with counts: how often the longest stand there, how many words
+  stand before each shorter one;
 * parts of contexts, with the sum of what follows and how many words follow once, twice, more often.
 
-Counts are a byte each, with a list beside for those of 255 or more. Counting sends sorted runs of distinct n-grams,
-dealt by a hash of the whole n-gram, so that every part has about the same size whatever the most frequent words,
-pairs and contexts are. Each part is merged by one task. Shorter n-grams are counted from the longer ones' files, so
+A word's number has as many bits as the vocabulary needs, and a part holds only the bits that its place does not tell.
+Counts, of one kind or more, are a byte each, with a list beside for those that a byte does not hold. Counting sends
+sorted runs of distinct n-grams, dealt by a hash of the whole n-gram, so that every part has about the same size
+whatever the most frequent words, pairs and contexts are. Each part is merged by one task. Shorter n-grams are counted from the longer ones' files, so
 that each step's shuffle can go before the next. Counts are whole at any size; 2**32 distinct words or more raise an
 error, as two no longer fit into a key. Scoring reads whole texts in runs and looks sorted keys up part by part.
 
@@ -45,8 +46,9 @@ from .common import power_of_two, saved, shared_dir, slices
 PART_KEYS, FLUSH_KEYS, RUN_BYTES = 3_000_000, 3_000_000, 2 << 20
 #: The token that ends a text, as a word's hash.
 END = np.uint64(0x9D39247E33776D41)
-_SHIFT, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
+#: Odd numbers that spread keys.
 _DEAL = np.uint64(0x9E3779B97F4A7C15)
+_ODD = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: Shuffles go when their job has ended (Spark 4.1 and later; elsewhere they stay until Spark collects them).
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -59,13 +61,34 @@ def mounted(uri: str) -> str:
     return parts.path
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of hashing.mix."""
-    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+def mask(bits: int) -> np.uint64:
+    return np.uint64((1 << bits) - 1)
+
+
+def up(x: np.ndarray, bits: int) -> np.ndarray:
+    """x << bits, for 64 bits too."""
+    return x << np.uint64(bits) if bits < 64 else np.zeros_like(x)
+
+
+def down(x: np.ndarray, bits: int) -> np.ndarray:
+    """x >> bits, for 64 bits too."""
+    return x >> np.uint64(bits) if bits < 64 else np.zeros_like(x)
+
+
+def stir(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers of so many bits that spreads them evenly."""
+    half = (bits + 1) // 2
+    for odd in _ODD:
+        x = (x ^ down(x, half)) * np.uint64(odd) & mask(bits)
+    return x ^ down(x, half)
+
+
+def unstir(x: np.ndarray, bits: int) -> np.ndarray:
+    """The inverse of stir()."""
+    half = (bits + 1) // 2
+    for odd in reversed(_ODD):
+        x = (x ^ down(x, half)) * np.uint64(pow(odd, -1, 1 << 64)) & mask(bits)
+    return x ^ down(x, half)
 
 
 def narrow(n: np.ndarray) -> np.ndarray:
@@ -87,16 +110,32 @@ def unpack(data: np.ndarray) -> list[np.ndarray]:
 
 
 def small(n: np.ndarray) -> list[np.ndarray]:
-    """Counts as bytes, then the places and values of those of 255 or more."""
-    big = np.flatnonzero(n >= 255)
-    return [np.minimum(n, 255).astype("u1"), big.astype("<u4"), n[big].astype("<u8")]
-
-
-def counts_at(three: list[np.ndarray], place: np.ndarray) -> np.ndarray:
-    """What small() made, at some places."""
-    out = three[0][place].astype(np.int64)
-    big = np.flatnonzero(out == 255)
-    out[big] = three[2][np.searchsorted(three[1], place[big])]
+    """Counts (a row for each kind) as a byte for each place: which column of a table it has, the most frequent 255 columns; then the places and columns of all others."""
+    table = np.zeros((len(n), 256), np.int64)
+    if len(n) == 1:
+        code, table[0] = np.minimum(n[0], 255), np.arange(256)
+    else:
+        width = 24 // len(n)
+        few = np.flatnonzero((n < 1 << width).all(axis=0))
+        packed = sum(n[k, few] << width * k for k in range(len(n)))
+        values, which, often = np.unique(packed, return_inverse=True, return_counts=True)
+        keep = np.argsort(-often, kind="stable")[:255]
+        codes = np.full(len(values), 255)
+        codes[keep] = np.arange(len(keep))
+        code = np.full(n.shape[1], 255)
+        code[few] = codes[which]
+        for k in range(len(n)):
+            table[k, : len(keep)] = values[keep] >> width * k & (1 << width) - 1
+    rare = np.flatnonzero(code == 255)
+    return [code.astype("u1"), narrow(table.ravel()), narrow(rare), narrow(n[:, rare].ravel())]
+
+
+def counts_at(four: list[np.ndarray], place: np.ndarray, kinds: int = 1) -> np.ndarray:
+    """What small() made, at some places: a row for each kind."""
+    code = four[0][place]
+    out = four[1].reshape(kinds, 256)[:, code].astype(np.int64)
+    rare = np.flatnonzero(code == 255)
+    out[:, rare] = four[3].reshape(kinds, -1)[:, np.searchsorted(four[2], place[rare])]
     return out
 
 
@@ -114,78 +153,142 @@ def mapped(path: str) -> list[np.ndarray] | None:
     return unpack(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else None
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How n-grams are keys, and keys are dealt to parts."""
+
+    length: int  # words of an n-gram, 1 to 4
+    width: int  # bits of a word's number
+    bits: int  # the first bits of a key that name its part
+
+    @property
+    def high(self) -> int:
+        """Bits of a key, of which the last two words and what stands before are made."""
+        return self.width * min(self.length, 2)
+
+    @property
+    def low(self) -> int:
+        """Bits of the rest, the words before the last two."""
+        return self.width * max(self.length - 2, 0)
+
+    @property
+    def left(self) -> int:
+        """Bits of a key that its part does not tell."""
+        return self.high - self.bits
+
+    def keyed(self, w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(key, rest) of n-grams, from their words' numbers, first to last."""
+        w = [x.astype(np.uint64) for x in w]
+        plain = w[-1] if self.length == 1 else up(w[-2], self.width) | w[-1]
+        rest = {3: lambda: w[0], 4: lambda: up(w[0], self.width) | w[1]}.get(self.length, lambda: np.zeros_like(plain))()
+        return stir(plain, self.high) + rest * _DEAL & mask(self.high), rest
+
+    def worded(self, key: np.ndarray, rest: np.ndarray) -> list[np.ndarray]:
+        """What keyed() was made of."""
+        plain, one = unstir(key - rest * _DEAL & mask(self.high), self.high), mask(self.width)
+        before = {3: lambda: [rest], 4: lambda: [down(rest, self.width), rest & one]}.get(self.length, list)()
+        return [*before, *([plain] if self.length == 1 else [down(plain, self.width), plain & one])]
+
+    def ends(self, key: np.ndarray) -> np.ndarray:
+        """Where parts begin among sorted keys, and the end."""
+        return np.searchsorted(down(key, self.left).astype(np.int64), np.arange((1 << self.bits) + 1))
+
+    def inner(self, key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What a part does not tell of its n-grams, as two numbers that sort as the n-grams do; the second is 0 if one has room for all."""
+        key, spare = key & mask(self.left), 64 - self.left
+        if self.low <= spare:
+            return up(key, self.low) | rest, np.zeros_like(key)
+        return up(key, spare) | down(rest, self.low - spare), rest & mask(self.low - spare)
+
+    def outer(self, part: int, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, rest) of what inner() made."""
+        spare = 64 - self.left
+        if self.low <= spare:
+            key, rest = down(first, self.low), first & mask(self.low)
+        else:
+            key, rest = down(first, spare), up(first & mask(spare), self.low - spare) | second
+        return up(np.full_like(key, part), self.left) | key, rest
+
+    def packed(self, first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+        """What inner() made, in few bytes: the first 32 bits of what there are (64 if more than 64), then the others."""
+        if self.left + self.low > 64:
+            return [first.astype("<u8"), narrow(second)]
+        under = max(self.left + self.low - 32, 0)
+        return [down(first, under).astype("<u4"), narrow(first & mask(under))]
+
+    def unpacked(self, keys: np.ndarray, rests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys, rests = keys.astype(np.uint64), rests.astype(np.uint64)
+        if self.left + self.low > 64:
+            return keys, rests
+        return up(keys, max(self.left + self.low - 32, 0)) | rests, np.zeros_like(keys)
+
+
+def laid_out(length: int, width: int, bits: int) -> Layout:
+    """A layout of 2 ** bits parts, or of as many as there can be keys."""
+    return Layout(length, width, min(bits, width * min(length, 2)))
+
+
 @dataclass(frozen=True)
 class Shape:
     """What workers must know to find their way in the files."""
 
     folder: str
     order: int
-    word_bits: int  # the first bits of a hash that name its part
+    hashes: Layout  # of the vocabulary, whose words are told by their hashes
     starts: np.ndarray  # the number of each vocabulary part's first word, and at the end the number of words
-    bits: tuple[int, ...] = ()  # of each length's parts, from one word on
+    grams: tuple[Layout, ...] = ()  # of each length, from one word on
 
     @property
     def words(self) -> int:
         return int(self.starts[-1])
 
 
-def keyed(w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(key, rest) of n-grams of 1 to 4 words' numbers, first to last: the last two mixed, and those before."""
-    w = [x.astype(np.uint64) for x in w]
-    key = hashing.mix(w[-1] if len(w) == 1 else w[-2] << _SHIFT | w[-1])
-    return key, w[0] << _SHIFT | w[1] if len(w) == 4 else w[0] if len(w) == 3 else np.zeros(len(key), np.uint64)
-
-
-def worded(key: np.ndarray, rest: np.ndarray, length: int) -> list[np.ndarray]:
-    """What keyed() was made of."""
-    plain = unmix(key)
-    before = {3: [rest], 4: [rest >> _SHIFT, rest & _LOW]}.get(length, [])
-    return [*before, *([plain] if length == 1 else [plain >> _SHIFT, plain & _LOW])]
-
-
-def part_of(key: np.ndarray, rest: np.ndarray, bits: int) -> np.ndarray:
-    return ((key + rest * _DEAL) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-
-
-def sorting(key: np.ndarray, rest: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by part, key and rest; where new n-grams begin in it; where parts begin among these, and the end."""
-    if rest.any():
-        part = part_of(key, rest, bits)
-        order = np.lexsort((rest, key, part))
-        new = (key[order][1:] != key[order][:-1]) | (rest[order][1:] != rest[order][:-1])
-    else:  # a part is a range of keys
-        order = np.argsort(key, kind="stable")
-        new = key[order][1:] != key[order][:-1]
-    first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), new]))
-    parts = part_of(key[order[first]], rest[order[first]], bits)
-    return order, first, np.searchsorted(parts, np.arange((1 << bits) + 1))
+def ordered(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key and rest, and where new n-grams begin in it. Keys with several rests are few where keys have 64 bits."""
+    order = np.argsort(key)
+    k, r = key[order], rest[order]
+    if ((k[1:] == k[:-1]) & (r[1:] != r[:-1])).any():
+        order = np.lexsort((rest, key))
+        k, r = key[order], rest[order]
+    new = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    return order, np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), bool), new]))
 
 
 #: (keys, rests, counts: a row for each kind)
 Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def summed(tables: list[Table], bits: int) -> tuple[Table, np.ndarray]:
-    """The distinct n-grams of all tables with their sums, sorted by part, key and rest, and where the parts begin."""
+def counted(key: np.ndarray, rest: np.ndarray) -> Table:
+    """The distinct n-grams, sorted, and how often they stand there."""
+    order, first = ordered(key, rest)
+    return key[order[first]], rest[order[first]], np.diff(np.append(first, len(key)))[None]
+
+
+def summed(tables: list[Table]) -> Table:
+    """The distinct n-grams of all tables, sorted, with their sums."""
     key, rest, n = (np.concatenate(x, axis=-1) for x in zip(*tables, strict=True))
-    order, first, ends = sorting(key, rest, bits)
+    order, first = ordered(key, rest)
     if len(first) == len(key):
-        return (key[order], rest[order], n[:, order]), ends
-    return (key[order[first]], rest[order[first]], np.add.reduceat(n[:, order], first, axis=1)), ends
+        return key[order], rest[order], n[:, order]
+    return key[order[first]], rest[order[first]], np.add.reduceat(n[:, order], first, axis=1)
 
 
-def sent(tables: list[Table], bits: int) -> pd.DataFrame:
+def sent(tables: list[Table], layout: Layout) -> pd.DataFrame:
     """A row for each part: however often an n-gram stands in the tables, it is sent once."""
-    (key, rest, n), ends = summed(tables, bits)
+    key, rest, n = summed(tables)
+    ends = layout.ends(key)
     use = np.flatnonzero(np.diff(ends))
+    keys, rests = layout.packed(*layout.inner(key, rest))
     cut = [slice(int(ends[p]), int(ends[p + 1])) for p in use]
-    return pd.DataFrame({"part": use, "data": [pack([key[at].astype("<u8"), narrow(rest[at]), *(narrow(k[at]) for k in n)]) for at in cut]})
+    return pd.DataFrame({"part": use, "data": [pack([keys[at], rests[at], *(narrow(k[at]) for k in n)]) for at in cut]})
 
 
-def looked_up(key: np.ndarray, rest: np.ndarray, bits: int, files: dict[str, int]) -> np.ndarray:
+def looked_up(key: np.ndarray, rest: np.ndarray, layout: Layout, files: dict[str, int]) -> np.ndarray:
     """The counts of each n-gram in the files of some names, so many kinds each, 0 where they do not have it; in the last row its place in the last and one more."""
-    order, first, ends = sorting(key, rest, bits)
+    order, first = ordered(key, rest)
     own, of = key[order[first]], rest[order[first]]
+    ends = layout.ends(own)
+    own, of = layout.packed(*layout.inner(own, of))
     got = np.zeros((sum(files.values()) + 1, len(first)), np.int64)
     for p in np.flatnonzero(np.diff(ends)).tolist():
         at, row = np.arange(ends[p], ends[p + 1]), 0
@@ -200,8 +303,7 @@ def looked_up(key: np.ndarray, rest: np.ndarray, bits: int, files: dict[str, int
                     low[left[under]], high[left[~under]] = middle[under] + 1, middle[~under]
                 there = np.flatnonzero(low < end)
                 there = there[rests[low[there]] == of[at[there]]]
-                for k in range(kinds):
-                    got[row + k, at[there]] = counts_at(have[2 + 3 * k : 5 + 3 * k], low[there])
+                got[row : row + kinds, at[there]] = counts_at(have[2:6], low[there], kinds)
                 got[-1, at[there]] = low[there] + 1
             row += kinds
     back = np.empty(len(key), np.int64)
@@ -211,9 +313,8 @@ def looked_up(key: np.ndarray, rest: np.ndarray, bits: int, files: dict[str, int
 
 def numbers_of(hashes: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """The number of each word (-1: unknown) and its count."""
-    none = np.zeros(len(hashes), np.uint64)
-    count, place = looked_up(hashes, none, shape.word_bits, {f"{shape.folder}/words": 1})
-    return np.where(place > 0, shape.starts[part_of(hashes, none, shape.word_bits)] + place - 1, -1), count
+    count, place = looked_up(hashes, np.zeros_like(hashes), shape.hashes, {f"{shape.folder}/words": 1})
+    return np.where(place > 0, shape.starts[down(hashes, shape.hashes.left).astype(np.int64)] + place - 1, -1), count
 
 
 def tokens(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -231,65 +332,64 @@ def marked(number: np.ndarray, text: np.ndarray, texts: int, marks: int, begin:
     return out, place
 
 
-def count_grams(texts: DataFrame, grams_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+def count_grams(texts: DataFrame, grams_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], layout: Layout) -> DataFrame:
     """(part, data): sorted runs of the n-grams that grams_of finds in the texts, with their counts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[Table] = []
         for batch in batches:
             for _, part in slices(batch.iloc[:, 0], RUN_BYTES):
-                key, rest = grams_of(part)
-                held.append(summed([(key, rest, np.ones((1, len(key)), np.int64))], 0)[0])
+                held.append(counted(*grams_of(part)))
                 if sum(len(k) for k, *_ in held) > FLUSH_KEYS:
-                    held = [summed(held, 0)[0]]
+                    held = [summed(held)]
                     if len(held[0][0]) > FLUSH_KEYS / 2:
-                        yield sent(held, bits)
+                        yield sent(held, layout)
                         held = []
         mapped.cache_clear()
         if held:
-            yield sent(held, bits)
+            yield sent(held, layout)
 
     return texts.mapInPandas(run, "part int, data binary")
 
 
-def merged(runs: DataFrame, bits: int, name: str) -> np.ndarray:
+def merged(runs: DataFrame, layout: Layout, name: str) -> np.ndarray:
     """Writes each part's distinct n-grams and sums, a part by one task. A row for each part: its size, the first kind's sum, how many have 1, 2, 3, 4 and 3 or more of it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[Table]] = {}
         for batch in batches:
             for p, data in zip(batch.part, batch.data, strict=True):
-                key, rest, *n = unpack(np.frombuffer(data, np.uint8))
-                held.setdefault(int(p), []).append((key, rest.astype(np.uint64), np.stack(n).astype(np.int64)))
+                keys, rests, *n = unpack(np.frombuffer(data, np.uint8))
+                held.setdefault(int(p), []).append((*layout.unpacked(keys, rests), np.stack(n).astype(np.int64)))
         for p in list(held):
-            (key, rest, n), _ = summed(held.pop(p), 0)
-            store(f"{name}-{p}", [key.astype("<u8"), narrow(rest), *(x for k in n for x in small(k))])
-            yield pd.DataFrame([[p, len(key), int(n[0].sum()), *(int((n[0] == k).sum()) for k in (1, 2, 3, 4)), int((n[0] >= 3).sum())]])
+            first, second, n = summed(held.pop(p))
+            store(f"{name}-{p}", [*layout.packed(first, second), *small(n)])
+            yield pd.DataFrame([[p, len(first), int(n[0].sum()), *(int((n[0] == k).sum()) for k in (1, 2, 3, 4)), int((n[0] >= 3).sum())]])
 
-    rows = runs.repartitionById(1 << bits, F.col("part")).mapInPandas(run, "part long, size long, total long, n1 long, n2 long, n3 long, n4 long, more long").collect()
-    out = np.zeros((1 << bits, 7), np.int64)
+    rows = runs.repartitionById(1 << layout.bits, F.col("part")).mapInPandas(run, "part long, size long, total long, n1 long, n2 long, n3 long, n4 long, more long").collect()
+    out = np.zeros((1 << layout.bits, 7), np.int64)
     for r in rows:
         out[r["part"]] = r[1:]
     return out
 
 
-def shorter(spark: SparkSession, name: str, length: int, upper_bits: int, bits: int, contexts: bool) -> DataFrame:
-    """(part, data): from the files of n-grams of one word more than `length`, what follows the first words, or what stands before the last."""
+def shorter(spark: SparkSession, name: str, upper: Layout, layout: Layout, contexts: bool) -> DataFrame:
+    """(part, data): from the files of n-grams of one word more, what follows the first words, or what stands before the last."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p in batch.id:
                 if (have := mapped(f"{name}-{p}")) is None:
                     continue
-                n = counts_at(have[2:5], np.arange(len(have[0])))
-                w = worded(have[0], have[1].astype(np.uint64), length + 1)
+                w = upper.worded(*upper.outer(p, *upper.unpacked(*have[:2])))
                 if contexts:
-                    yield sent([(*keyed(w[:-1]), np.stack([n, n == 1, n == 2, n >= 3]).astype(np.int64))], bits)
+                    n = counts_at(have[2:6], np.arange(len(have[0])))[0]
+                    yield sent([(*layout.keyed(w[:-1]), np.stack([n, n == 1, n == 2, n >= 3]).astype(np.int64))], layout)
                 else:
-                    yield sent([(*keyed(w[1:]), np.ones((1, len(n)), np.int64))], bits)
+                    yield sent([counted(*layout.keyed(w[1:]))], layout)
         mapped.cache_clear()
 
-    return spark.range(0, 1 << upper_bits, 1, 1 << upper_bits).mapInPandas(run, "part int, data binary")
+    return spark.range(0, 1 << upper.bits, 1, 1 << upper.bits).mapInPandas(run, "part int, data binary")
 
 
 def fits(words: int) -> int:
@@ -344,27 +444,29 @@ def train(texts: DataFrame, folder: str, order: int) -> Model:
         raise ValueError(f"order {order}: 2 to 4 words go into a key")
     size = texts.agg(F.coalesce(F.sum(F.octet_length(F.col(texts.columns[0]))), F.lit(0))).first()[0]
     bits = bits_for(size / 24)  # a task's distinct words are about a quarter of its words or fewer
+    hashes = laid_out(1, 64, bits)
 
     def words_of(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, _ = tokens(run)
-        return h, np.zeros(len(h), np.uint64)
+        return h, np.zeros_like(h)
 
-    found = merged(count_grams(texts, words_of, bits), bits, f"{folder}/words")
+    found = merged(count_grams(texts, words_of, hashes), hashes, f"{folder}/words")
     starts = np.concatenate([[0], np.cumsum(found[:, 0])])
     words = fits(int(starts[-1]))
-    lengths = (bits_for(size / 24), *(bits_for(size / 7 * 0.7 * (0.5 + 0.25 * n)) for n in range(2, order + 1)))
-    shape = Shape(folder, order, bits, starts, lengths)
+    width = max(words.bit_length(), 1)  # the begin mark's number is the number of words
+    grams = tuple(laid_out(n, width, bits_for(size / 24 if n == 1 else size / 7 * 0.7 * (0.5 + 0.25 * n))) for n in range(1, order + 1))
+    shape = Shape(folder, order, hashes, starts, grams)
 
     def grams_of(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, text = tokens(run)
         number, place = marked(numbers_of(h, shape)[0], text, len(run), order - 1, words)
-        return keyed([number[place - k] for k in range(order - 1, -1, -1)])
+        return grams[-1].keyed([number[place - k] for k in range(order - 1, -1, -1)])
 
-    made = [merged(count_grams(texts, grams_of, lengths[-1]), lengths[-1], f"{folder}/grams{order}")]
+    made = [merged(count_grams(texts, grams_of, grams[-1]), grams[-1], f"{folder}/grams{order}")]
     for n in range(order - 1, 0, -1):
-        before, after = (shorter(texts.sparkSession, f"{folder}/grams{n + 1}", n, lengths[n], lengths[n - 1], contexts) for contexts in (False, True))
-        made.insert(0, merged(before, lengths[n - 1], f"{folder}/grams{n}"))
-        merged(after, lengths[n - 1], f"{folder}/contexts{n}")  # a job of its own, so that half as much is shuffled at a time
+        before, after = (shorter(texts.sparkSession, f"{folder}/grams{n + 1}", grams[n], grams[n - 1], contexts) for contexts in (False, True))
+        made.insert(0, merged(before, grams[n - 1], f"{folder}/grams{n}"))
+        merged(after, grams[n - 1], f"{folder}/contexts{n}")  # a job of its own, so that half as much is shuffled at a time
     _, follows, m1, m2, _, _, more = made[0].sum(axis=0).tolist()
     cuts = tuple(discounts(m[:, 2:6].sum(axis=0)) for m in made)
     rest = float(cuts[0][1] * m1 + cuts[0][2] * m2 + cuts[0][3] * more) / follows if follows else 1.0
@@ -387,7 +489,7 @@ def scored(run: list[bytes], m: Model) -> pd.DataFrame:
             w = [number[places - k] for k in range(n - 1, -1, -1)]
             known = np.flatnonzero(np.min(w, axis=0) >= 0)
             out = np.zeros((sum(files.values()), len(places)), np.int64)
-            out[:, known] = looked_up(*keyed([x[known] for x in w]), m.shape.bits[n - 1], files)[:-1]
+            out[:, known] = looked_up(*m.shape.grams[n - 1].keyed([x[known] for x in w]), m.shape.grams[n - 1], files)[:-1]
             return out
 
         got, cut = at(place), m.cuts[n - 1]
