@@ -150,7 +150,7 @@ def store(path: str, arrays: list[np.ndarray]) -> None:
 @functools.lru_cache(maxsize=256)
 def mapped(path: str) -> list[np.ndarray] | None:
     """The arrays of a stored file, mapped; none where a part has no n-grams."""
-    return unpack(np.memmap(path, np.uint8, "r")) if os.path.exists(path) else None
+    return unpack(np.asarray(np.memmap(path, np.uint8, "r"))) if os.path.exists(path) else None
 
 
 @dataclass(frozen=True)
@@ -295,14 +295,17 @@ def looked_up(key: np.ndarray, rest: np.ndarray, layout: Layout, files: dict[str
         for name, kinds in files.items():
             if (have := mapped(f"{name}-{p}")) is not None:
                 keys, rests = have[:2]
-                low, high = np.searchsorted(keys, own[at]), np.searchsorted(keys, own[at], "right")
-                end = high.copy()
-                while (left := np.flatnonzero(low < high)).size:  # rests are sorted where keys are the same
-                    middle = (low[left] + high[left]) // 2
-                    under = rests[middle] < of[at[left]]
-                    low[left[under]], high[left[~under]] = middle[under] + 1, middle[~under]
-                there = np.flatnonzero(low < end)
-                there = there[rests[low[there]] == of[at[there]]]
+                low = np.searchsorted(keys, own[at])
+                there = np.flatnonzero(low < len(keys))
+                there = there[keys[low[there]] == own[at[there]]]
+                more = there[rests[low[there]] != of[at[there]]]  # few: another n-gram has the same first bits
+                begin, end = low[more] + 1, np.searchsorted(keys, own[at[more]], "right")
+                while (left := np.flatnonzero(begin < end)).size:  # rests are sorted where keys are the same
+                    middle = (begin[left] + end[left]) // 2
+                    under = rests[middle] < of[at[more[left]]]
+                    begin[left[under]], end[left[~under]] = middle[under] + 1, middle[~under]
+                low[more] = np.minimum(begin, len(keys) - 1)
+                there = there[(keys[low[there]] == own[at[there]]) & (rests[low[there]] == of[at[there]])]
                 got[row : row + kinds, at[there]] = counts_at(have[2:6], low[there], kinds)
                 got[-1, at[there]] = low[there] + 1
             row += kinds
