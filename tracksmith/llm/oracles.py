@@ -125,6 +125,22 @@ SELECT d.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind =
 FROM documents d LEFT JOIN named USING (doc_id) GROUP BY d.doc_id
 """
 
+_OP11 = r"""
+WITH low AS (SELECT 'abcdefghijklmnopqrstuvwxyz' AS a, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS b),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, b, a), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents, low),
+has AS (SELECT row, doc_id, len(t) AS n, t FROM d WHERE len(t) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM has),
+item AS (SELECT item_id, unnest(regexp_extract_all(translate(text, b, a), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark), low),
+asked AS (SELECT item_id, term, count(*)::BIGINT AS times FROM item GROUP BY ALL),
+posted AS (SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM has) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posted, total GROUP BY term),
+scored AS (
+  SELECT item_id, row, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM posted JOIN weight USING (term) JOIN asked USING (term), total GROUP BY item_id, row),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
 
 ORACLES = {
     "op1_raked_mixture": _OP1,
@@ -133,4 +149,5 @@ ORACLES = {
     "op7_maximal_chats": _OP7,
     "op8_ball_tree_topk": _OP8,
     "op10_entropy_secrets": _op10(),
+    "op11_masked_search": _OP11,
 }
