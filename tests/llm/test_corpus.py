@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracksmith.llm import alignment, search
+from tracksmith.llm import alignment, search, suffixes
 
 
 def found_terms(text):
@@ -145,3 +145,87 @@ def test_a_perfect_hash_is_minimal_and_tells_strangers():
     assert sorted(hash_.number(known).tolist()) == list(range(len(known)))
     assert (hash_.number(strange) == -1).all()
     assert (alignment.Hash(made[:1], 3).number(known) >= 0).sum() == (alignment.part_of(known, 3) == 0).sum()
+
+
+def plain_spans(texts, length):
+    """(n_bytes, removed runs, what is left) of each text, from all strings of the length."""
+    data = [(t or "").encode() for t in texts]
+    seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for d in data:
+        runs = []
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                if runs and i <= runs[-1][1]:
+                    runs[-1][1] = i + length
+                else:
+                    runs.append([i, i + length])
+        left = b"".join(d[a:b] for a, b in zip([0, *(r[1] for r in runs)], [*(r[0] for r in runs), len(d)], strict=True))
+        out.append((len(d), runs, left))
+    return out
+
+
+def planted(seed, n, passage):
+    """Texts that share passages at all offsets, some of them within themselves, with a template that differs in its middle only."""
+    rng = random.Random(seed)
+    noise = lambda k: "".join(rng.choice("abcdefgh é") for _ in range(k))
+    shared = [noise(passage + rng.randint(-40, 400)) for _ in range(6)]
+    out = []
+    for i in range(n):
+        parts = [noise(rng.randint(0, 300))]
+        for _ in range(rng.randint(0, 3)):
+            s = rng.choice(shared)
+            a = rng.randint(0, 60)
+            parts += [s[a : len(s) - rng.randint(0, 60)], noise(rng.randint(0, 100))]
+        out.append("".join(parts))
+    head, tail = noise(90), noise(90)
+    out += [noise(rng.randint(0, 80)) + head + f"{i % 23:06d}" * 3 + tail + noise(30) for i in range(60)]
+    return [*out, "z" * 500, "z" * 170, "z" * 159, out[0], out[0], None, "", "ab" * 300]
+
+
+@pytest.mark.parametrize(("batch", "block", "length"), [(1 << 17, 1 << 20, 160), (300, 219, 160), (40, 146, 200)])
+def test_repeated_spans(spark, batch, block, length, monkeypatch):
+    for name, value in (("BATCH", batch), ("BLOCK", block), ("ROUNDS", 2), ("NAME_ROUNDS", 2)):
+        monkeypatch.setattr(suffixes, name, value)
+    texts = planted(batch, 60, length)
+    rows = [(i if i % 9 else None if i else 5, t, "x", 1, 2) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, digest string, part int, row int").repartition(3)
+    got = suffixes.repeated_spans(frame, length=length).collect()
+    want = plain_spans(texts, length)
+    assert any(w[1] for w in want)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, tuple(zip(r.starts, r.ends, strict=True)), r.kept_sha256) for r in got) == Counter(
+        (row[0], n, sum(b - a for a, b in runs), len(runs), tuple(map(tuple, runs)), hashlib.sha256(left).hexdigest()) for row, (n, runs, left) in zip(rows, want, strict=True)
+    )
+    if length == 200:
+        left = suffixes.remove_repeats(frame, length=length)
+        assert left.columns == [*frame.columns, "kept"]
+        assert Counter((r.doc_id, bytes(r.kept)) for r in left.collect()) == Counter((row[0], w[2]) for row, w in zip(rows, want, strict=True))
+
+
+def test_repeated_spans_of_odd_rows(spark, nasty, rows, none):
+    got = suffixes.repeated_spans(nasty).collect()
+    want = plain_spans([r.text for r in rows], 400)
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter((r.doc_id, n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest()) for r, (n, runs, left) in zip(rows, want, strict=True))
+    assert suffixes.repeated_spans(none).count() == 0
+
+
+@pytest.mark.parametrize("r", [1, 2])
+def test_a_cover_has_every_difference(r):
+    period, places = suffixes.cover(r)
+    assert len(places) == 6 * r + 4
+    assert {int(a - b) % period for a in places for b in places} == set(range(period))
+
+
+def test_ties_are_settled_by_names():
+    """Strings that agree outside and differ within: equal names at the shift of their places, and only they, tell them equal."""
+    rng = np.random.default_rng(2)
+    place, kind = rng.integers(0, suffixes.PERIOD, 60), rng.integers(0, 25, 60)
+    shifts = suffixes.SHIFTS[place]
+    names = (kind[:, None] * 1000 + shifts + 1).astype(np.uint64)  # a window's name is told by its text and where it begins in it
+    zero = np.zeros(60, np.uint64)
+    counts = Counter(kind.tolist())
+    want = [counts[k] > 1 for k in kind.tolist()]
+    assert suffixes.alike(place, names).tolist() == want
+    repeated, sent = suffixes.settled(zero, zero, place.astype(np.int64), names)
+    assert repeated.tolist() == want
+    assert {k for k, s in zip(kind.tolist(), sent, strict=True) if s} == set(counts)

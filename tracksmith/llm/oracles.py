@@ -141,6 +141,23 @@ ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT * FROM ranked WHERE rank <= 10
 """
 
+# Strings of 400 bytes are 800 hexadecimal digits; each document's bytes are numbered from 0.
+_OP13 = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT row, doc_id, h, len(h) // 2 AS size FROM d),
+w AS (SELECT row, i, md5(substr(h, 2 * i + 1, 800)) AS mark FROM (SELECT row, h, unnest(range(size - 399)) AS i FROM n WHERE size >= 400)),
+twice AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY mark) AS c FROM w) WHERE c > 1),
+runs AS (SELECT row, i, CASE WHEN i <= lag(i) OVER (PARTITION BY row ORDER BY i) + 400 THEN 0 ELSE 1 END AS begins FROM twice),
+spans AS (SELECT row, min(i) AS a, max(i) + 400 AS b FROM (SELECT row, i, sum(begins) OVER (PARTITION BY row ORDER BY i) AS k FROM runs) GROUP BY row, k),
+gaps AS (
+  SELECT row, coalesce(lag(b) OVER (PARTITION BY row ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL SELECT row, max(b), NULL FROM spans GROUP BY row),
+kept AS (SELECT row, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, size) - a)), '' ORDER BY a) AS left_ FROM gaps JOIN n USING (row) GROUP BY row),
+gone AS (SELECT row, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY row)
+SELECT doc_id, size::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(left_, h))) AS kept_sha256
+FROM n LEFT JOIN gone USING (row) LEFT JOIN kept USING (row)
+"""
+
 
 ORACLES = {
     "op1_raked_mixture": _OP1,
@@ -150,4 +167,5 @@ ORACLES = {
     "op8_ball_tree_topk": _OP8,
     "op10_entropy_secrets": _op10(),
     "op11_masked_search": _OP11,
+    "op13_cover_suffix_dedup": _OP13,
 }
