@@ -105,6 +105,52 @@ def test_merge_matches_a_plain_model(spark):
     assert {(r.stop_id, r.cluster) for r in merged(spark, places).collect()} == want
 
 
+def plain_members(places):
+    from tests.helpers import km
+
+    anchors, want = [], set()
+    for i, p in enumerate(places):
+        near_ = [k for k, a in enumerate(anchors) if km(a, p) <= 0.02]
+        if not near_:
+            anchors.append(p)
+            near_ = [len(anchors) - 1]
+        want |= {(k + 1, i + 1) for k in near_}
+    return want
+
+
+@pytest.mark.parametrize(("n", "side", "most"), [(60, 32, 200_000), (1000, 32, 200_000), (60, 4, 30)])
+def test_a_line_of_stops_takes_few_rounds(spark, monkeypatch, n, side, most):
+    monkeypatch.setattr(stops, "TILE", side)
+    monkeypatch.setattr(stops, "TILE_ROWS", most)
+    halves, inner = [], stops._anchors
+    monkeypatch.setattr(stops, "_anchors", lambda *a: halves.extend(inner(*a)) or halves)
+    places = [(-33.0 + i * 10 / 111_229, -70.6) for i in range(n)]
+    assert {(r.stop_id, r.cluster) for r in merged(spark, places).collect()} == plain_members(places)
+    assert n == 60 and side == 4 or len(halves) <= 2 * 5
+
+
+def test_a_crowd_of_stops_is_settled_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(stops, "TILE", 3)
+    rng = random.Random(8)
+    places = [(-33.0 + rng.uniform(0, 2e-3), -70.6 + rng.uniform(0, 2e-3)) for _ in range(600)]
+    assert {(r.stop_id, r.cluster) for r in merged(spark, places).collect()} == plain_members(places)
+
+
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_new_days_are_merged_into_stored_stops(spark, exclusive):
+    rng = random.Random(6)
+    columns = "dateNum int, truckId string, cluster int, lat double, lon double, radius double, start string, stop string, points long, minutes double"
+    found = [(d, f"T{t}", c, -33.0 + rng.uniform(0, 1e-3), -70.6 + rng.uniform(0, 1e-3), 0.0, "8:0", "8:10", 2, 10.0) for d in range(32, 38) for t in range(4) for c in range(1, 6)]
+    frame = lambda rows: spark.createDataFrame(rows, columns)
+    told = lambda df: sorted(map(tuple, df.collect()), key=str)
+    want = stops.merge_stops(frame(found), exclusive=exclusive)
+    for old, new in (([r for r in found if r[0] < 35], [r for r in found if r[0] >= 35]), ([r for r in found if (r[0], r[1]) != (34, "T2")], [r for r in found if (r[0], r[1]) == (34, "T2")]), ([], found)):
+        stored = stops.merge_stops(frame(old), exclusive=exclusive)
+        day, rows = stops.extend_stops(stored, frame(new), exclusive=exclusive)
+        assert told(stored.where(stored.dateNum < day).unionByName(rows)) == told(want)
+    assert stops.extend_stops(want, frame([]))[0] is None
+
+
 def test_merge_takes_only_the_nearest_if_asked(spark):
     found = [(32, "T1", i + 1, lat, 0.0, 0.0, "8:0", "8:10", 2, 10.0) for i, lat in enumerate((0.0, 0.00027, 0.00014))]
     frame = spark.createDataFrame(found, "dateNum int, truckId string, cluster int, lat double, lon double, radius double, start string, stop string, points long, minutes double")

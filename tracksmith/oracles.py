@@ -143,6 +143,7 @@ SELECT f."truckId", f."dateNum", f.cluster, round(max({_dist("a.lat", "a.lon", "
 JOIN walk a ON a."truckId" = f."truckId" AND a."dateNum" = f."dateNum" AND a.cluster = f.cluster
 JOIN walk b ON b."truckId" = f."truckId" AND b."dateNum" = f."dateNum" AND b.cluster = f.cluster GROUP BY ALL"""),
     "l02_stop_members": _merge(f"SELECT stop_id, {_KEY}, cluster FROM members"),
+    "l02_stops_extended": _merge(f"SELECT stop_id, {_KEY}, cluster FROM members"),
     "l03_stops": _merge("SELECT id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM stops"),
     "l03_stop_props": _merge(f'SELECT id, "stopPropId", {_KEY}, round(lat, 9) AS lat, round(lon, 9) AS lon, duration_min, time FROM props'),
     "l04_simple_stops": _walk(f"""

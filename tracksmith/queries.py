@@ -175,6 +175,17 @@ def l02_stop_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stops.merge_stops(stops.find_stops(gps(spark, sf_dir))).select("stop_id", "truckId", "dateNum", "cluster")
 
 
+@query
+def l02_stops_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last third of the days merged into the stops of the others."""
+    found = graph.saved(stops.find_stops(gps(spark, sf_dir)))
+    first = found.agg(F.percentile("dateNum", 2 / 3)).first()[0] or 0
+    stored = stops.merge_stops(found.where(F.col("dateNum") < first))
+    day, rows = stops.extend_stops(stored, found.where(F.col("dateNum") >= first))
+    kept = stored if day is None else stored.where(F.col("dateNum") < day).unionByName(rows)
+    return kept.select("stop_id", "truckId", "dateNum", "cluster")
+
+
 @query
 def l03_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_stop_tables(spark, sf_dir)[0], "lat", "lon", digits=9)
