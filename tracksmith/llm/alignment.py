@@ -45,6 +45,8 @@ from .lm import narrow
 
 #: Pairs of a part and of a broadcast; vectors that one task adds up; bytes of text aligned at once.
 PART, KEYS, FAN, RUN = 1 << 14, 1 << 22, 32, 1 << 20
+#: Units encoded as one text.
+TOGETHER = 2048
 #: Bytes of units and ids, Python's own included, that a worker remembers; links of a group beyond which its distinct ids are taken.
 MEMO_BYTES, LARGE = 96 << 20, 4096
 _LOOSE = re.compile(r"(?:\A|\s)(?= |\Z)")
@@ -119,13 +121,32 @@ class Tokenizers:
             out.append((np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if same else None)
         return out
 
+    def _together(self, new: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """As _told(), of units that do not end in white space: as one text, whose tokens are then dealt out."""
+        text = " ".join(new)
+        many, want = getattr(self.a, "encode_batch_fast", self.a.encode_batch), f" {text}".encode("utf-8", "surrogatepass")
+        ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) + 1 for u in new])
+        sides = []
+        for ids, sizes, names in ((many([f" {text}"], add_special_tokens=False)[0].ids, self.a_sizes, self.a_bytes), (self.b.encode(text), self.b_sizes, self.b_bytes)):
+            if b"".join([names[i] for i in ids]) != want:
+                return self._told(new)
+            at = 2 * (np.searchsorted(np.cumsum(sizes[ids]), ends) + 1)
+            data = np.array(ids, "<u2").tobytes()
+            sides.append([data[i:j] for i, j in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)])
+        return list(zip(*sides, strict=True))
+
     def encoded(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """As plain(), of each text, by units."""
         if self.size > MEMO_BYTES:
             self.known, self.size = {}, 0
         cut = [units(t) for t in texts]
         new = list({u for c in cut for u in c} - self.known.keys())
-        for u, ids in zip(new, self._told(new), strict=True):
+        loose = [u for u in new if not u or u[-1].isspace()]
+        firm = [u for u in new if u and not u[-1].isspace()]
+        found = [*zip(loose, self._told(loose), strict=True)]
+        for i in range(0, len(firm), TOGETHER):
+            found += zip(firm[i : i + TOGETHER], self._together(firm[i : i + TOGETHER]), strict=True)
+        for u, ids in found:
             self.known[u] = ids
             self.size += 300 + 4 * len(u)
         out = []
@@ -165,8 +186,8 @@ class Aligned:
     def in_b(self) -> np.ndarray:
         return np.bincount(self.group_b, minlength=len(self.doc))
 
-    def links(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, pair, times) of the linked pairs of ids, each pair once for each document; a pair is a's id times width plus b's."""
+    def linked(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, pair, times) of the links, those of a group of few tokens one by one; a pair is a's id times width plus b's."""
         n, m = self.in_a, self.in_b
         begin = np.cumsum(m) - m
         large = n * m > LARGE
@@ -179,7 +200,12 @@ class Aligned:
             y, q = np.unique(self.b[self.group_b == g], return_counts=True)
             at.append((np.full(len(x) * len(y), self.doc[g]), (x[:, None] * width + y).ravel(), (p[:, None] * q).ravel()))
         doc, pair, times = (np.concatenate(z) for z in zip(*at, strict=True))
-        order = np.lexsort((pair, doc))
+        return doc, pair, times
+
+    def links(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As linked(), each pair once for each document."""
+        doc, pair, times = self.linked(width)
+        order = np.argsort(doc * (1 << 33) + pair)  # ids have 16 bits, and a run's documents are below 1 << 30
         doc, pair, times = doc[order], pair[order], times[order]
         new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])])) if len(doc) else np.zeros(0, np.int64)
         return doc[new], pair[new], np.add.reduceat(times, new) if len(new) else times
@@ -204,12 +230,14 @@ class Aligned:
 
 def aligned(a: list[bytes], b: list[bytes], t: Tokenizers) -> Aligned:
     """Documents' ids in 16 bits, aligned; a document has none on either side, or the same bytes on both."""
-    ids_a, ids_b = (np.frombuffer(b"".join(x), "<u2").astype(np.int64) for x in (a, b))
+    ids_a, ids_b = (np.frombuffer(b"".join(x), "<u2") for x in (a, b))
     ends_a, ends_b = np.cumsum(t.a_sizes[ids_a]), np.cumsum(t.b_sizes[ids_b])
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    doc_a = np.repeat(np.arange(len(a)), [len(x) // 2 for x in a])
-    doc = doc_a[np.searchsorted(ends_a, both)]
-    return Aligned(len(a), ids_a, ids_b, np.searchsorted(both, ends_a), np.searchsorted(both, ends_b), doc)
+    at = np.zeros((ends_a[-1] if len(ends_a) else 0) + 1, np.uint8)
+    at[ends_a] = 1
+    at[ends_b] += 1
+    last_a, last_b = at[ends_a] == 2, at[ends_b] == 2  # the tokens that end a group
+    doc = np.repeat(np.arange(len(a)), [len(x) // 2 for x in a])[last_a]
+    return Aligned(len(a), ids_a.astype(np.int64), ids_b.astype(np.int64), np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b, doc)
 
 
 def runs(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -313,7 +341,7 @@ def _align(df: DataFrame, a_path: str, b_path: str, text: str, key: str, steps:
         own, found = tokenizers(a_path, b_path), np.zeros(0, np.int64)
         for batch in batches:
             for piece in runs(batch):
-                found = np.union1d(found, aligned(piece.a.tolist(), piece.b.tolist(), own).links(width)[1])
+                found = np.union1d(found, aligned(piece.a.tolist(), piece.b.tolist(), own).linked(width)[1])
                 if len(found) > KEYS:
                     yield pd.DataFrame({"pair": found})
                     found = found[:0]
@@ -396,8 +424,9 @@ def _align(df: DataFrame, a_path: str, b_path: str, text: str, key: str, steps:
             for batch in batches:
                 for piece in runs(batch):
                     x = aligned(piece.a.tolist(), piece.b.tolist(), own)
-                    doc, pair, times = x.links(width)
-                    at = hash_.number(pair)
+                    doc, pair, times = x.linked(width)
+                    kinds, back = np.unique(pair, return_inverse=True)
+                    at = hash_.number(kinds)[back]
                     doc, pair, times, at = doc[at >= 0], pair[at >= 0], times[at >= 0], at[at >= 0]
                     adds = {"count_sum": np.zeros(len(piece), np.int64), "n_best": np.zeros(len(piece), np.int64)}
                     np.add.at(adds["count_sum"], doc, times * counts[at])
