@@ -172,14 +172,51 @@ def plain_mix(x):
     return x ^ (x >> 31)
 
 
+def plain_word(word):
+    if len(word) > 256:
+        return xxhash.xxh3_64_intdigest(word)
+    h = plain_mix(len(word) * 0x9E3779B97F4A7C15 & MASK64)
+    for k in range(0, len(word), 8):
+        h = plain_mix(h * 0x9E3779B97F4A7C15 & MASK64 ^ int.from_bytes(word[k : k + 8], "little"))
+    return h
+
+
+def thue_morse(k):
+    """Two words of 2**k letters that no polynomial modulo 2**64 tells apart from k = 10 on."""
+    word = [0]
+    for _ in range(k):
+        word += [1 - b for b in word]
+    return "".join("ab"[b] for b in word), "".join("ba"[b] for b in word)
+
+
+@pytest.mark.parametrize("k", [3, 5, 7, 10, 12])
+def test_words_are_told_apart(k):
+    from tracksmith.llm import hashing
+
+    a, b = (w.encode() for w in thue_morse(k))
+    found = hashing.words([a + b" x", b, b"", a, b"y" * 256 + b" " + b"y" * 257 + b" yy"])
+    assert found.hash.tolist() == [plain_word(w) for w in (a, b"x", b, a, b"y" * 256, b"y" * 257, b"yy")]
+    assert len(set(found.hash.tolist())) == 6
+
+
+def test_the_model_knows_a_word_by_its_letters(spark):
+    a, b = thue_morse(10)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    asked = next(i for i in range(100) if held(i))
+    rest = [i for i in range(100) if not held(i)][:20]
+    frame = spark.createDataFrame([(asked, f"x {b}"), *[(i, f"x {a}") for i in rest]], "doc_id long, text string")
+    row = lm.held_out_scores(frame, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0).where(F.col("doc_id") == asked).first()
+    assert (row.n_tokens, row.n_known) == (3, 2)
+
+
 def plain_features(text, s):
     """Buckets of a text, one for each feature: loops over words, pairs and characters. The bytes' random values are parameters of the model."""
     from tracksmith.llm import hashing
 
-    value, base = [int(v) for v in hashing._VALUES], int(hashing._BASE)
+    value, base = [int(v) for v in hashing._VALUES], 0x9E3779B97F4A7C15
     out, before = [], None
     for m in re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
-        h = plain_mix(sum(value[b] * pow(base, k, 1 << 64) for k, b in enumerate(m[0])) & MASK64)
+        h = plain_word(m[0])
         out.append(h)
         if before is not None:
             out.append(0xE0A1 if before == h else plain_mix((before * 3 + h) & MASK64))

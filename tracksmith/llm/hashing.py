@@ -1,7 +1,9 @@
 """Hashes of all words and character n-grams of many texts at once, with numpy.
 
-A word's hash is a polynomial over random 64-bit values of its bytes, modulo 2**64, taken as a difference of
-running sums; a last mixing spreads it. Texts are joined with a space between, so that no word spans two texts.
+A word's hash takes in its length and then 8 bytes at a time, mixed after each, for all words together; words of
+more than LONG bytes are hashed one by one. Words of up to 8 bytes and of one length never collide; of n longer
+words, two have the same hash by chance, n**2 / 2**65 at most. A hash of n characters is a polynomial over random
+values of its bytes. Texts are joined with a space between, so that no word spans two texts.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Words of more bytes go through XXH3.
+LONG = 256
 _VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -19,18 +22,6 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), by doubling."""
-    out = np.ones(max(n, 1), np.uint64)
-    have = 1
-    while have < n:
-        step = np.uint64(pow(int(base), have, 1 << 64))
-        take = min(have, n - have)
-        out[have : have + take] = out[:take] * step
-        have += take
-    return out[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads them evenly."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -58,11 +49,25 @@ def words(texts: list[bytes], lower: bool = False) -> Words:
     inside = np.concatenate([[False], ~_SPACES[data]])
     change = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = change[::2], change[1::2]
-    up = powers(_BASE, len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up)])
-    down = powers(_INVERSE, len(data))
-    found = (sums[ends] - sums[starts]) * down[starts]
-    return Words(mix(found), np.searchsorted(offsets, starts, "right") - 1, starts, ends, data, offsets)
+    return Words(word_hashes(data, starts, ends), np.searchsorted(offsets, starts, "right") - 1, starts, ends, data, offsets)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = (ends - starts).astype(np.uint64)
+    out = mix(size * _BASE)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the 8 bytes that begin at each place
+    live = np.flatnonzero(size <= LONG)
+    for k in range(0, int(size[live].max(initial=0)), 8):
+        live = live[size[live] > k]
+        rest = np.minimum(size[live] - np.uint64(k), np.uint64(8))
+        block = eight[starts[live] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
+        out[live] = mix(out[live] * _BASE ^ block)
+    for i in np.flatnonzero(size > LONG).tolist():
+        import xxhash
+
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def grams(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
