@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import concurrent.futures
 import io
 import json
 import logging
@@ -194,34 +195,74 @@ def test_versions_of_a_table(spark, store):
     before = store.read("t")
     store.append("t", one)
     store.overwrite("t", one.limit(1))
-    assert (before.count(), store.read("t").count()) == (3, 1)  # what was read stays readable for two more writes
+    assert (before.count(), store.read("t").count()) == (3, 1)  # what was read stays readable for two more overwrites
     for _ in range(3):
         store.overwrite("t", one)
-    assert len([n for n in store._names(f"{store.root}/t") if n.startswith("v-")]) == 3
+    assert len(store._names(f"{store.root}/t")) == 3
     fs, path = store._fs()
-    fs.create(path(f"{store.root}/t/_log/{99:020d}.json"), False).close()  # a writer that died
+    fs.mkdirs(path(f"{store.root}/t/_staging/x/_part=all"))  # a writer that died
     assert store.read("t").count() == 3
     store.overwrite("t", one.limit(2))
     assert store.read("t").count() == 2
+    store.truncate("t")
+    assert store.read("t").count() == 0 and store.read("t").columns == ["id", "day"]
     store.save_blob("b", one)
     assert store.blob("b").count() == 3
-    many = Store(spark, store.root)
-    many.MOST_FOLDERS = 2
-    for _ in range(4):
-        many.append("u", one)
-    assert many.read("u").count() == 12
 
 
 def test_an_upsert_touches_its_days_only(spark, store):
     frame = lambda rows_: spark.createDataFrame(rows_, "_hash string, seq_no long, day string")
     store.upsert("p", frame([("a", 1, "2024-01-01"), ("b", 1, "2024-01-02"), ("c", 1, None)]), part=F.col("day"))
-    kept = store._state("p")["parts"]["2024-01-02"]
+    kept = store._batches("p")["_part=2024-01-02"]
     store.upsert("p", frame([("a", 2, "2024-01-01"), ("d", 1, "2024-01-03"), ("c", 5, None)]), part=F.col("day"))
-    assert store._state("p")["parts"]["2024-01-02"] == kept
-    assert sorted((r._hash, r.seq_no, r.day) for r in store.read("p").collect()) == [("a", 2, "2024-01-01"), ("b", 1, "2024-01-02"), ("c", 5, None), ("d", 1, "2024-01-03")]
+    assert store._batches("p")["_part=2024-01-02"] == kept
+    store.upsert("p", frame([("b", 9, "2024-01-02"), ("e", 2, "2024-01-02")]), part=F.col("day"), replace=False)
+    want = [("a", 2, "2024-01-01"), ("b", 1, "2024-01-02"), ("c", 5, None), ("d", 1, "2024-01-03"), ("e", 2, "2024-01-02")]
+    told = lambda: sorted((r._hash, r.seq_no, r.day) for r in store.read("p").collect())
+    assert told() == want
+    store.compact("p")
+    assert told() == want and all(len(x) == 1 for x in store._batches("p").values())
+    store.upsert("p", frame([("b", 9, "2024-01-02")]), part=F.col("day"), replace=False)
+    store.upsert("p", frame([("d", 7, "2024-01-03")]), part=F.col("day"))
+    assert told() == [w if w[0] != "d" else ("d", 7, "2024-01-03") for w in want]
     assert store.read("p").columns == ["_hash", "seq_no", "day"]
 
 
+def together(*work):
+    """Runs the functions in threads of their own, and raises what one of them raised."""
+    with concurrent.futures.ThreadPoolExecutor(len(work)) as pool:
+        for f in [pool.submit(w) for w in work]:
+            f.result()
+
+
+def test_many_writers_lose_nothing(spark, store, tmp_path):
+    other = Store(spark, store.root)
+    frame = lambda w, k: spark.createDataFrame([(f"{w}-{k}", k, "x"), ("same", k, f"{w}")], "_hash string, seq_no long, who string")
+    together(*[lambda w=w, s=s: [s.append("a", frame(w, k)) for k in range(3)] for w, s in enumerate((store, other, store, other))])
+    assert store.read("a").count() == 4 * 3 * 2
+    together(*[lambda w=w, s=s: [s.upsert("u", frame(w, k)) for k in range(3)] for w, s in enumerate((store, other, store, other))], lambda: [store.compact("u") for _ in range(2)])
+    assert sorted(r._hash for r in store.read("u").collect()) == sorted([*(f"{w}-{k}" for w in range(4) for k in range(3)), "same"])
+    together(*[lambda i=i: (store, other)[i % 2].job_event(f"j{i}", "s", "running") for i in range(8)])
+    assert sorted(r.ingest_id for r in store.jobs().collect()) == [f"j{i}" for i in range(8)]
+    store.compact("ingest_jobs")
+    assert store.jobs().count() == 8
+
+
+def test_a_result_notices_that_its_inputs_changed(spark, store):
+    asked, made = trucks.Computed(store), []
+    store.append("t", spark.range(3))
+    asked.add("n", lambda c: made.append("n") or c.store.read("t").groupBy().count(), ("t",))
+    asked.add("twice", lambda c: made.append("twice") or c.get("n").select((F.col("count") * 2).alias("count")), ("n",))
+    assert (asked.get("twice").first()[0], asked.get("n").first()[0], made) == (6, 3, ["twice", "n"])
+    assert trucks.Computed(store, asked.makers, asked.inputs).get("twice").first()[0] == 6 and len(made) == 2
+    store.append("t", spark.range(2))
+    assert (asked.get("twice").first()[0], made) == (10, ["twice", "n", "twice", "n"])
+    asked.delete("n")
+    assert asked.get("n").first()[0] == 5 and made[4:] == ["n"]
+    with pytest.raises(KeyError):
+        asked.get("x")
+
+
 def test_file_stream(spark, store, tmp_path):
     (tmp_path / "in").mkdir()
     line = {"device_id": "D", "timestamp": "2024-05-01T12:00:00Z", "lat": 1.0, "lon": 2.0}

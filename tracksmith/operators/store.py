@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
 import uuid
 from collections.abc import Mapping, Sequence
 from typing import Protocol
@@ -27,6 +29,14 @@ def upserted(stored: DataFrame, new: DataFrame, keys: Sequence[str] = ("_hash",)
     return stored.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
+#: Columns of stored rows: their part, when an upsert wrote them, and whether it only added absent keys.
+_PART, _AT, _ADDED = "_part", "_at", "_added"
+
+
+def _now() -> str:
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 class Tables(Protocol):
     """What ingest and plans ask of a storage: another one may take the Store's place."""
 
@@ -42,16 +52,16 @@ class Tables(Protocol):
 
 
 class Store:
-    """Named tables below one folder.
-
-    A table's log names the folders that make it up; each write adds a folder and then a log entry, and an entry that
-    another writer has taken raises. Readers take the last whole entry, so they see whole tables, and frames read
-    before a write stay readable for the next `keep` - 1 writes.
+    """Named tables below one folder, for any number of writers.
+
+    A table is made of batches, folders of parquet files that are written aside and then renamed into it, each under
+    a name of its own, so writers never meet: an append adds a batch. An upsert adds one as well, of rows that know
+    when they came; which row of a key holds is decided when the table is read, and only in parts (days) that more
+    than one batch has. compact() puts such parts together. An overwrite begins a new generation; those that it
+    replaces stay readable until `keep` have been written. Writers on several machines are put in order by their
+    clocks.
     """
 
-    #: Folders after which appends are put together.
-    MOST_FOLDERS = 64
-
     def __init__(self, spark: SparkSession, root: str, keep: int = 3) -> None:
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
 
@@ -60,94 +70,115 @@ class Store:
         return path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _names(self, folder: str) -> list[str]:
+        """What lies in a folder, but for hidden files."""
         fs, path = self._fs()
-        return sorted(f.getPath().getName() for f in fs.listStatus(path(folder))) if fs.exists(path(folder)) else []
-
-    def _entries(self, name: str) -> list[str]:
-        return [n for n in self._names(f"{self.root}/{name}/_log") if n.endswith(".json")]
+        found = fs.listStatus(path(folder)) if fs.exists(path(folder)) else []
+        return sorted(n for f in found if not (n := f.getPath().getName()).startswith(("_", ".")))
 
-    def _parsed(self, name: str, entry: str) -> dict | None:
-        lines = self.spark.read.text(f"{self.root}/{name}/_log/{entry}").collect()  # a file that this class wrote
-        return json.loads(lines[0].value) if lines else None  # an entry whose writer died is empty
-
-    def _state(self, name: str) -> dict | None:
-        """folders, and folders by part, of the table's last version."""
-        return next((s for e in reversed(self._entries(name)) if (s := self._parsed(name, e))), None)
+    def _delete(self, folder: str) -> None:
+        fs, path = self._fs()
+        fs.delete(path(folder), True)
 
-    def _commit(self, name: str, state: dict) -> None:
+    def _add(self, name: str, generation: str, df: DataFrame, keys: Sequence[str] = (), part: Column | None = None, at: str | None = None) -> None:
+        """Writes df aside and then renames it to a new batch of the generation."""
         fs, path = self._fs()
-        entries = self._entries(name)
-        out = fs.create(path(f"{self.root}/{name}/_log/{int(entries[-1][:-5]) + 1 if entries else 0:020d}.json"), False)
-        out.write(bytearray((json.dumps(state) + "\n").encode()))
-        out.close()
-        self._vacuum(name)
-
-    def _vacuum(self, name: str) -> None:
-        """Removes what none of the last `keep` versions names."""
+        aside, to = f"{self.root}/{name}/_staging/{uuid.uuid4().hex}", f"{self.root}/{name}/{generation}"
+        marked = df.withColumn(_PART, F.coalesce(F.regexp_replace(part.cast("string"), "[^A-Za-z0-9-]", "-"), F.lit("none"))) if part is not None else df
+        writer = marked.write.option("parquet.bloom.filter.enabled#_hash", "true")
+        if part is None:
+            writer.parquet(f"{aside}/{_PART}=all")
+        else:
+            writer.partitionBy(_PART).parquet(aside)
+        fs.mkdirs(path(to))
+        if not fs.rename(path(aside), path(f"{to}/{at or _now()}.{','.join(keys)}")):
+            raise OSError(f"{aside} could not be moved to {to}")
+
+    def _generation(self, name: str) -> str:
+        return next(reversed(self._names(f"{self.root}/{name}")), f"{0:020d}")
+
+    def _batches(self, name: str) -> dict[str, list[str]]:
+        """Paths of the batches by part; a batch's folder is its time, and the keys of an upsert."""
         fs, path = self._fs()
-        entries = self._entries(name)
-        if len(entries) <= self.keep:
-            return
-        known = [s for e in entries[-self.keep :] if (s := self._parsed(name, e))]
-        used = {f.split("/")[0] for s in known for f in [*s["folders"], *s["parts"].values()]}
-        for old in entries[: -self.keep]:
-            fs.delete(path(f"{self.root}/{name}/_log/{old}"), False)
-        for folder in self._names(f"{self.root}/{name}"):
-            if folder.startswith("v-") and folder not in used and fs.exists(path(f"{self.root}/{name}/{folder}/_SUCCESS")):
-                fs.delete(path(f"{self.root}/{name}/{folder}"), True)
-
-    def _folder(self) -> str:
-        return f"v-{uuid.uuid4().hex}"
-
-    def _of(self, name: str, folders: Sequence[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/{name}/{f}" for f in folders])
+        found: dict[str, list[str]] = {}
+        for p in sorted(str(f.getPath()) for f in fs.globStatus(path(f"{self.root}/{name}/{self._generation(name)}/*/{_PART}=*"))):
+            found.setdefault(p.rsplit("/", 1)[1], []).append(p)
+        return found
+
+    def _merged(self, paths: Sequence[str]) -> DataFrame:
+        """The rows of several batches; of each key the last one written, or else the first one added."""
+        keys = sorted({p.split("/")[-2].split(".", 1)[1] for p in paths} - {""})
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        if not keys:
+            return rows
+        if len(keys) > 1:
+            raise ValueError(f"a table has one key; found {keys}")
+        added = F.coalesce(F.col(_ADDED), F.lit(False))
+        return latest(rows, keys[0].split(","), added, F.when(added, F.col(_AT)), F.desc_nulls_last(_AT))
+
+    def _fitted(self, name: str, df: DataFrame) -> DataFrame:
+        """df with the types that the table's columns have already."""
+        kinds = {f.name: f.dataType for f in self.read(name).schema} if self.exists(name) else {}
+        return df.withColumns({c: F.col(f"`{c}`").cast(kinds[c]) for c in df.columns if kinds.get(c, df.schema[c].dataType) != df.schema[c].dataType})
 
     def exists(self, name: str) -> bool:
-        return self._state(name) is not None
+        return bool(self._batches(name))
+
+    def version(self, name: str) -> str:
+        """A name for the table's content as it is now; another write gives another."""
+        return hashlib.sha256(json.dumps(self._batches(name)).encode()).hexdigest()[:16]
 
     def read(self, name: str) -> DataFrame:
-        state = self._state(name)
-        if state is None:
+        parts = self._batches(name)
+        if not parts:
             raise ValueError(f"no table {name} in {self.root}")
-        return self._of(name, [*state["folders"], *state["parts"].values()])
+        alone = [p for paths in parts.values() if len(paths) == 1 for p in paths]
+        shared = [p for paths in parts.values() if len(paths) > 1 for p in paths]
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*alone) if alone else None
+        if shared:
+            merged = self._merged(shared)
+            rows = merged if rows is None else rows.unionByName(merged, allowMissingColumns=True)
+        return rows.drop(_AT, _ADDED)
 
     def overwrite(self, name: str, df: DataFrame) -> None:
-        folder = self._folder()
-        df.write.parquet(f"{self.root}/{name}/{folder}")
-        self._commit(name, {"folders": [folder], "parts": {}})
+        self._add(name, _now(), df)
+        for old in self._names(f"{self.root}/{name}")[: -self.keep]:
+            self._delete(f"{self.root}/{name}/{old}")
 
     def append(self, name: str, df: DataFrame) -> None:
-        state = self._state(name)
-        if state is None or len(state["folders"]) >= self.MOST_FOLDERS:
-            return self.overwrite(name, df if state is None else self.read(name).unionByName(df))
-        folder = self._folder()
-        df.write.parquet(f"{self.root}/{name}/{folder}")
-        self._commit(name, {**state, "folders": [*state["folders"], folder]})
+        self._add(name, self._generation(name), self._fitted(name, df))
 
     def save_items(self, name: str, df: DataFrame, delete: bool = False) -> None:
         (self.overwrite if delete else self.append)(name, df)
 
     def upsert(self, name: str, df: DataFrame, keys: Sequence[str] = ("_hash",), order: str = "seq_no", replace: bool = True, part: Column | None = None) -> None:
-        """Merges df in by key. part: what rows with the same key always share, such as their day; only the parts that df touches are then read and written again."""
-        merged = lambda old: latest(df, keys, F.desc_nulls_last(order)) if old is None else upserted(old, df, keys, order, replace)
-        state = self._state(name)
-        if part is None or (state and state["folders"]):
-            return self.overwrite(name, merged(self.read(name) if state else None))
-        said = F.coalesce(F.regexp_replace(part.cast("string"), "[^A-Za-z0-9-]", "-"), F.lit("none"))
-        touched = [r[0] for r in df.select(said).distinct().collect()]  # a batch's days
-        parts, folder = state["parts"] if state else {}, self._folder()
-        known = [parts[t] for t in touched if t in parts]
-        merged(self._of(name, known) if known else None).withColumn("_part", said).write.partitionBy("_part").parquet(f"{self.root}/{name}/{folder}")
-        self._commit(name, {"folders": [], "parts": {**parts, **{t: f"{folder}/_part={t}" for t in touched}}})
+        """Merges df in by key; without `replace`, only absent keys are added. part: what rows with the same key always share, such as their day."""
+        at = _now()
+        self._add(name, self._generation(name), latest(self._fitted(name, df), keys, F.desc_nulls_last(order)).withColumns({_AT: F.lit(at), _ADDED: F.lit(not replace)}), keys, part, at)
+
+    def compact(self, name: str) -> None:
+        """Puts parts that several batches have into one batch. Writers may go on; a frame read before may miss its files and is then to be read anew."""
+        now = self._generation(name)
+        for part, paths in self._batches(name).items():
+            keys = max(p.split("/")[-2].split(".", 1)[1] for p in paths)
+            if len(paths) > 1 and keys:  # until the old ones are gone, rows are there twice, which a key bears
+                self._add(name, now, self._merged(paths).withColumn(_PART, F.lit(part.split("=", 1)[1])), keys.split(","), F.col(_PART))
+                for p in paths:
+                    self._delete(p)
 
     def truncate(self, name: str) -> None:
         if self.exists(name):
             self.overwrite(name, self.read(name).limit(0))
 
+    def names(self) -> list[str]:
+        """The tables there are."""
+        return self._names(self.root)
+
+    def drop(self, name: str) -> None:
+        self._delete(f"{self.root}/{name}")
+
     def purge(self) -> None:
         """Drops every table."""
-        fs, path = self._fs()
-        fs.delete(path(self.root), True)
+        self._delete(self.root)
 
     def save_blob(self, name: str, value: DataFrame) -> None:
         self.overwrite(f"blob-{name}", value)
@@ -160,7 +191,7 @@ class Store:
     def job_event(self, ingest_id: str, source: str, status: str, params: Mapping[str, str] | None = None, stats: tuple[int, int, int] | None = None, errors: Mapping[int, str] | None = None) -> None:
         row = self.spark.createDataFrame([(ingest_id, source, dict(params or {}), status, None, None, stats, dict(errors or {}) or None)], INGEST_JOBS)
         now = F.current_timestamp()
-        self.append("ingest_jobs", row.withColumn("started_at", now).withColumn("finished_at", F.when(F.col("status") != "running", now)).withColumn("event", F.lit(uuid.uuid4().hex)))
+        self.upsert("ingest_jobs", row.withColumn("started_at", now).withColumn("finished_at", F.when(F.col("status") != "running", now)).withColumn("event", F.lit(uuid.uuid4().hex)), ("event",), "event")
 
     def jobs(self) -> DataFrame:
         events = self.read("ingest_jobs")

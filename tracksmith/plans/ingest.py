@@ -82,6 +82,7 @@ def ingest(store: Tables, df: DataFrame, plan: MappingPlan, source: str, ingest_
     """Normalizes df into the table track_points and records the job; returns its id."""
     job = ingest_id or str(uuid.uuid4())
     store.job_event(job, source, "running", params)
+    rows = None
     try:
         own = None if seq else "_seq_no"
         rows = normalized(df if seq else enumerated(df, own), plan, job, seq or own, as_of, own).persist()
@@ -91,11 +92,13 @@ def ingest(store: Tables, df: DataFrame, plan: MappingPlan, source: str, ingest_
             store.upsert("track_points", accepted, part=F.to_date("ts_utc"))  # a hash holds the time, so rows with the same one share their day
         status = "succeeded" if not found.rejected else "partial"
         store.job_event(job, source, status, None, (found.accepted + found.rejected, found.accepted, found.rejected), found.errors)
-        rows.unpersist()
         LOG.info("ingest %s", status, extra={"ingest_id": job, "source": source, "batch_size": found.accepted + found.rejected, "accepted": found.accepted, "rejected": found.rejected})
     except Exception as e:
         store.job_event(job, source, "failed", None, None, {0: str(e)[:500]})
         raise FileIngestionError(str(e)) from e
+    finally:
+        if rows is not None:
+            rows.unpersist()
     return job
 
 

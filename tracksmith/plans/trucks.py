@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -38,20 +40,34 @@ def run(store: Store, path: str | None = None, steps: tuple[str, ...] = ("comput
 
 @dataclass
 class Computed:
-    """Named results, made when first asked for and kept as tables; a result may ask for others."""
+    """Named results, made when first asked for and kept as tables; a result may ask for others.
+
+    A result is kept under the versions of the tables and results that it was made from, so a change of one of them
+    makes it again, and one that has not changed is read.
+    """
 
     store: Store
     makers: dict[str, Callable[[Computed], DataFrame]] = field(default_factory=dict)
+    inputs: dict[str, tuple[str, ...]] = field(default_factory=dict)
+
+    def add(self, name: str, maker: Callable[[Computed], DataFrame], inputs: tuple[str, ...] = ()) -> None:
+        """inputs: the tables and the other results that the maker reads."""
+        self.makers[name], self.inputs[name] = maker, inputs
 
-    def add(self, name: str, maker: Callable[[Computed], DataFrame]) -> None:
-        self.makers[name] = maker
+    def _table(self, name: str) -> str:
+        of = [f"{i}={self._table(i) if i in self.makers else self.store.version(i)}" for i in self.inputs.get(name, ())]
+        return f"computed-{name}-{hashlib.sha256(json.dumps(of).encode()).hexdigest()[:16]}"
 
     def get(self, name: str) -> DataFrame:
-        if not self.store.exists(f"computed-{name}"):
-            if name not in self.makers:
-                raise KeyError(name)
-            self.store.overwrite(f"computed-{name}", self.makers[name](self))
-        return self.store.read(f"computed-{name}")
+        if name not in self.makers:
+            raise KeyError(name)
+        table = self._table(name)
+        if not self.store.exists(table):
+            self.store.overwrite(table, self.makers[name](self))
+        return self.store.read(table)
 
     def delete(self, name: str) -> None:
-        self.store.truncate(f"computed-{name}")
+        """Drops what was kept of a result, of whatever versions."""
+        for table in self.store.names():
+            if table.rsplit("-", 1)[0] == f"computed-{name}":
+                self.store.drop(table)
