@@ -26,6 +26,7 @@ class Settings:
     kafka_topic: str = "gps"
     mqtt_topic: str = "devices/+/gps"
     trigger: str = "10 seconds"
-    #: How much runs at once: the streams' scheduler pool, and files that one batch takes.
+    #: How much runs at once: the streams' scheduler pool, files that one batch takes, and batches that a driver ingests.
     pool: str = "ingest"
     files_at_once: int = 1000
+    jobs_at_once: int = 4
