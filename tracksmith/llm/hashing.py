@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Masks for the first 0 to 8 bytes of a number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Words of more bytes go through XXH3.
 LONG = 256
 _VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,11 +59,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = mix(size * _BASE)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))  # the 8 bytes that begin at each place
-    live = np.flatnonzero(size <= LONG)
-    for k in range(0, int(size[live].max(initial=0)), 8):
+    out = mix(out * _BASE ^ (eight[starts] & _FIRST[np.minimum(size, np.uint64(8))]))
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, int(size[live].max(initial=0)), 8):
         live = live[size[live] > k]
-        rest = np.minimum(size[live] - np.uint64(k), np.uint64(8))
-        block = eight[starts[live] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - rest * np.uint64(8)))
+        block = eight[starts[live] + k] & _FIRST[np.minimum(size[live] - np.uint64(k), np.uint64(8))]
         out[live] = mix(out[live] * _BASE ^ block)
     for i in np.flatnonzero(size > LONG).tolist():
         import xxhash
