@@ -226,6 +226,8 @@ def test_ties_are_settled_by_names():
     counts = Counter(kind.tolist())
     want = [counts[k] > 1 for k in kind.tolist()]
     assert suffixes.alike(place, names).tolist() == want
-    repeated, sent = suffixes.settled(zero, zero, place.astype(np.int64), names)
+    repeated, sent = suffixes.settled(zero, zero, place, lambda rows, slots: names[rows, slots])
+    other, _ = suffixes.settled(zero, np.arange(60).astype(np.uint64), place, lambda rows, slots: names[rows, slots])
+    assert not other.any()  # the second half of the key tells them apart
     assert repeated.tolist() == want
     assert {k for k, s in zip(kind.tolist(), sent, strict=True) if s} == set(counts)

@@ -42,7 +42,7 @@ from .lm import CLEANUP
 #: Bytes that a repeated string has.
 LENGTH = 400
 #: Buckets of samples and of suffixes; suffixes that a task settles before it sends them on; bytes of a text looked at at once; bytes of text for each part of a bucket.
-NAME_ROUNDS, ROUNDS, BATCH, BLOCK, PART_BYTES = 4, 8, 1 << 17, 1 << 20, 64 << 20
+NAME_ROUNDS, ROUNDS, BATCH, BLOCK, PART_BYTES = 4, 6, 1 << 16, 1 << 20, 16 << 20
 
 
 def cover(r: int) -> tuple[int, np.ndarray]:
@@ -57,7 +57,11 @@ _ORDER = np.cumsum(_IN[:PERIOD]) - 1  # a sample's number within its period
 #: For each place, the shifts below PERIOD that lead to samples; for two places, which of the first one's shifts leads both to samples.
 SHIFTS = np.array([np.flatnonzero(_IN[a : a + PERIOD]) for a in range(PERIOD)])
 SLOTS = np.array([[int(np.flatnonzero(np.isin(SHIFTS[a], SHIFTS[b]))[0]) for b in range(PERIOD)] for a in range(PERIOD)])
+#: The number of a place's samples, by shift, counted from the first of its period; so names stand in one array, a text's samples in a row.
+NUMBERS = np.array([(a + SHIFTS[a]) // PERIOD * len(COVER) + _ORDER[(a + SHIFTS[a]) % PERIOD] for a in range(PERIOD)])
 _ROWS = "part int, known boolean, hi binary, lo binary, row binary, off binary, names binary"
+#: Sorted by, where, and whose: keys of 64 bits each, places in a text, where each place's names begin, and the names.
+Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 _FOUND = "part int, row binary, off binary, names binary"
 
 
@@ -77,28 +81,33 @@ def alike(place: np.ndarray, names: np.ndarray) -> np.ndarray:
     return out
 
 
-def settled(hi: np.ndarray, lo: np.ndarray, off: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, sent): which rows stand twice among these, and which must be held against others: of equal ones at least one."""
+def settled(hi: np.ndarray, lo: np.ndarray, place: np.ndarray, name: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, sent): which rows stand twice among these, and which must be held against others: of equal ones at least one.
+
+    place: modulo PERIOD; name(rows, slots): names of rows at those of their shifts, None where equal hi is enough.
+    """
     n = len(hi)
     repeated, sent = np.zeros(n, bool), np.ones(n, bool)
     if not n:
         return repeated, sent
-    order = np.lexsort((lo, hi))
-    new = np.concatenate([[True], (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])])
+    order = np.argsort(hi, kind="stable")
+    new = np.concatenate([[True], hi[order][1:] != hi[order][:-1]])
     first, group = np.flatnonzero(new), np.cumsum(new) - 1
     size = np.diff(np.append(first, n))
     same = np.ones(n, bool)
-    if names.shape[1]:
-        lead, place = order[first][group], off % PERIOD
-        a, b = place[lead], place[order]
-        mine = names[order, SLOTS[b, a]]
-        same = new | ((names[lead, SLOTS[a, b]] == mine) & (mine != 0))
+    if name is not None:
+        some = np.flatnonzero(~new)
+        lead, row = order[first][group[some]], order[some]
+        mine = name(row, SLOTS[place[row], place[lead]])
+        same[some] = (lo[lead] == lo[row]) & (name(lead, SLOTS[place[lead], place[row]]) == mine) & (mine != 0)
     mates = np.bincount(group[same], minlength=len(size))
     repeated[order] = same & (mates[group] > 1)
     sent[order] = ~same | new
     for g in np.flatnonzero(mates < size):
         own = order[first[g] : first[g] + size[g]]
-        repeated[own] |= alike(off[own] % PERIOD, names[own])
+        for low in np.unique(lo[own]):
+            tied = own[lo[own] == low]
+            repeated[tied] |= alike(place[tied], name(tied[:, None], np.arange(len(COVER))[None, :]))
     return repeated, sent
 
 
@@ -107,8 +116,8 @@ def heads(data: bytes) -> np.ndarray:
     return np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
 
 
-def samples(data: bytes, length: int, rounds: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hi, lo, off, names) of a text's sample windows in a bucket, block by block; names have no columns."""
+def samples(data: bytes, length: int, rounds: int, bucket: int) -> Iterator[Part]:
+    """(hi, lo, off, base, names) of a text's sample windows in a bucket, block by block; there are no names yet."""
     from xxhash import xxh3_64_digest
 
     size, head = length - PERIOD + 1, heads(data)
@@ -119,11 +128,11 @@ def samples(data: bytes, length: int, rounds: int, bucket: int) -> Iterator[tupl
         off = off[mix(head[off]) % np.uint64(rounds) == bucket]
         hi = np.frombuffer(b"".join([xxh3_64_digest(data[p : p + size]) for p in off.tolist()]), ">u8").astype(np.uint64)
         hi[hi == 0] = 1  # 0 is no name
-        yield hi, np.zeros(len(hi), np.uint64), off, np.zeros((len(hi), 0), np.uint64)
+        yield hi, np.zeros(len(hi), np.uint64), off, np.zeros(len(hi), np.int64), np.zeros(0, np.uint64)
 
 
-def suffixes(data: bytes, at: np.ndarray, called: np.ndarray, length: int, rounds: int, bucket: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hi, lo, off, names) of a text's suffixes in a bucket that a named sample follows within PERIOD; at, called: the named samples, in order."""
+def suffixes(data: bytes, at: np.ndarray, called: np.ndarray, length: int, rounds: int, bucket: int) -> Iterator[Part]:
+    """(hi, lo, off, base, names) of a text's suffixes in a bucket that a named sample follows within PERIOD; at, called: the named samples, in order; base: where in names those of the suffix's period begin."""
     from xxhash import xxh3_128_digest
 
     edge, head, width = PERIOD - 1, heads(data), len(COVER)
@@ -136,14 +145,10 @@ def suffixes(data: bytes, at: np.ndarray, called: np.ndarray, length: int, round
         step = np.bincount(np.clip(p - PERIOD + 1, s, e) - s, minlength=e - s + 1) - np.bincount(np.clip(p + 1, s, e) - s, minlength=e - s + 1)
         off = s + np.flatnonzero(np.cumsum(step)[:-1] > 0)
         off = off[mix(head[off]) % np.uint64(rounds) == bucket]
-        number = lambda x: (x // PERIOD - s // PERIOD) * width + _ORDER[x % PERIOD]  # noqa: E731, B023
         names = np.zeros(((e - s) // PERIOD + 4) * width, np.uint64)
-        names[number(p)] = called[lo:hi]
+        names[(p // PERIOD - s // PERIOD) * width + _ORDER[p % PERIOD]] = called[lo:hi]
         keys = np.frombuffer(b"".join([xxh3_128_digest(data[i : i + edge] + data[i + length - edge : i + length]) for i in off.tolist()]), ">u8").astype(np.uint64).reshape(-1, 2)
-        yield keys[:, 0], keys[:, 1], off, names[number(off[:, None] + SHIFTS[off % PERIOD])]
-
-
-Part = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+        yield keys[:, 0], keys[:, 1], off, (off // PERIOD - s // PERIOD) * width, names
 
 
 def _dealt(part: np.ndarray, columns: dict[str, np.ndarray], **same: object) -> pd.DataFrame:
@@ -176,18 +181,32 @@ def _joined(column: pd.Series, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), kind)
 
 
-def repeated(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[Part]], parts: int, wide: int, bare: bool) -> DataFrame:
-    """Which positions stand twice, as part, row, off and (bare: their own) names; found(*columns) gives a text's (hi, lo, off, names), with `wide` names each."""
+def thinned(row: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
+    """Which places are enough to tell the bytes that strings at all of them cover: the first and last in each half length of a text."""
+    order = np.lexsort((off, row))
+    half = off[order] // (length // 2)
+    new = np.append(True, (row[order][1:] != row[order][:-1]) | (half[1:] != half[:-1])) if len(row) else np.zeros(0, bool)
+    return order[new | np.append(new[1:], True)[: len(new)]]
+
+
+def repeated(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[Part]], parts: int, wide: int, bare: bool, length: int) -> DataFrame:
+    """Which positions stand twice, as part, row, off and (bare: their own) names, else only those that tell the bytes covered; found(*columns) gives a text's parts, with `wide` names for each place."""
 
     def sent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> Iterator[pd.DataFrame]:
-            hi, lo, off, names, row = (np.concatenate(x) for x in zip(*held, strict=True))
-            known, on = settled(hi, lo, off, names)
-            yield _dealt((hi[on] >> np.uint64(20)).astype(np.int64) % parts, {"hi": hi[on], "lo": lo[on][: 0 if bare else None], "row": row[on], "off": off[on].astype(np.int32), "names": names[on]}, known=False)
-            yield _dealt(_row_part(row[known], parts), {"hi": hi[known] if bare else hi[:0], "row": row[known], "off": off[known].astype(np.int32)}, known=True, lo=b"", names=b"")
+            hi, lo, off, base, names, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            before = np.cumsum([0, *(len(h[4]) for h in held[:-1])])
+            base = base + np.repeat(before, [len(h[0]) for h in held])
+            place = off % PERIOD
+            known, on = settled(hi, lo, place, None if bare else lambda rows, slots: names[base[rows] + NUMBERS[place[rows], slots]])
+            called = names[:0] if bare else names[base[on][:, None] + NUMBERS[place[on]]]
+            yield _dealt((hi[on] >> np.uint64(20)).astype(np.int64) % parts, {"hi": hi[on], "lo": lo[on][: 0 if bare else None], "row": row[on], "off": off[on].astype(np.int32), "names": called}, known=False)
+            told = np.flatnonzero(known)
+            told = told if bare else told[thinned(row[told], off[told], length)]
+            yield _dealt(_row_part(row[told], parts), {"hi": hi[told] if bare else hi[:0], "row": row[told], "off": off[told].astype(np.int32)}, known=True, lo=b"", names=b"")
 
         for batch in batches:
             for row, *values in zip(batch.row.tolist(), *(batch[c] for c in columns), strict=True):
@@ -206,12 +225,13 @@ def repeated(rows: DataFrame, columns: list[str], found: Callable[..., Iterator[
             told, group = group[group.known], group[~group.known]
             hi, row, off = _joined(group.hi, "<u8"), _joined(group.row, "<i8"), _joined(group.off, "<i4").astype(np.int64)
             lo = np.zeros(len(hi), np.uint64) if bare else _joined(group.lo, "<u8")
-            twice, _ = settled(hi, lo, off, _joined(group.names, "<u8").reshape(len(hi), wide))
+            names = _joined(group.names, "<u8").reshape(len(hi), wide)
+            twice, _ = settled(hi, lo, off % PERIOD, None if bare else lambda rows, slots: names[rows, slots])  # noqa: B023
             row, off = np.concatenate([row[twice], _joined(told.row, "<i8")]), np.concatenate([off[twice], _joined(told.off, "<i4")])
-            names = np.concatenate([hi[twice], _joined(told.hi, "<u8")]) if bare else np.zeros(0, np.uint64)
-            order = np.lexsort((off, row))
+            called = np.concatenate([hi[twice], _joined(told.hi, "<u8")]) if bare else np.zeros(0, np.uint64)
+            order = np.lexsort((off, row)) if bare else thinned(row, off, length)
             row, off = row[order], off[order].astype(np.int32)
-            yield _dealt(_row_part(row, parts), {"row": row, "off": off, **({"names": names[order]} if bare else {})}, **({} if bare else {"names": b""}))
+            yield _dealt(_row_part(row, parts), {"row": row, "off": off, **({"names": called[order]} if bare else {})}, **({} if bare else {"names": b""}))
 
     dealt = rows.select("row", *columns).mapInPandas(sent, _ROWS)
     return dealt.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(met, _FOUND)
@@ -261,14 +281,14 @@ def _texts(ids: DataFrame, df: DataFrame, text: str, length: int, steps: Rounds)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil((copies.agg(F.sum("n_bytes")).first()[0] or 0) / PART_BYTES))
     named_ = None
     for bucket in range(NAME_ROUNDS):
-        one = steps.keep(repeated(work, ["text"], lambda data, b=bucket: samples(data, length, NAME_ROUNDS, b), parts, 0, True))
+        one = steps.keep(repeated(work, ["text"], lambda data, b=bucket: samples(data, length, NAME_ROUNDS, b), parts, 0, True, length))
         named_ = one if named_ is None else named_.unionByName(one)
     called = by_text(named_, parts, lambda off, names: {"off": off.tobytes(), "names": names.tobytes()}, "off binary, names binary")
     near = steps.keep(work.join(called, "row"))
     found = None
     for bucket in range(ROUNDS):
         take = lambda data, off, names, b=bucket: suffixes(data, np.frombuffer(off, "<i4").astype(np.int64), np.frombuffer(names, "<u8"), length, ROUNDS, b)
-        one = steps.keep(repeated(near, ["text", "off", "names"], take, parts, len(COVER), False))
+        one = steps.keep(repeated(near, ["text", "off", "names"], take, parts, len(COVER), False, length))
         found = one if found is None else found.unionByName(one)
 
     def spans(off: np.ndarray, _: np.ndarray) -> dict[str, bytes]:
