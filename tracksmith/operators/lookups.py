@@ -56,6 +56,15 @@ def existing(candidates: DataFrame, stored: DataFrame, key: str = "_hash") -> Da
     return candidates.join(stored.select(key), key, "left_semi")
 
 
+def existing_few(candidates: DataFrame, stored: DataFrame, key: str = "_hash", most: int = 1000) -> DataFrame:
+    """As existing(). Up to `most` distinct keys are looked for in the stored table first, so that its scan can skip row groups by their bounds and Bloom filters; more are joined."""
+    asked = [r[0] for r in candidates.select(key).where(F.col(key).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(asked) > most:
+        return existing(candidates, stored, key)
+    found = stored.select(key).where(F.col(key).isin(asked))
+    return candidates.join(F.broadcast(found.distinct()), key, "left_semi")  # at most `most` rows
+
+
 def sampled(points: DataFrame, every: int = SAMPLE_EVERY, by: Sequence[str] = ("truckId", "dateNum")) -> DataFrame:
     """The first and then every n-th point of each group, in order of time."""
     order = Window.partitionBy(*by).orderBy("ts", "seq")

@@ -59,11 +59,12 @@ class Store:
     when they came; which row of a key holds is decided when the table is read, and only in parts (days) that more
     than one batch has. compact() puts such parts together. An overwrite begins a new generation; those that it
     replaces stay readable until `keep` have been written. Writers on several machines are put in order by their
-    clocks.
+    clocks. Columns named in `told` get Bloom filters, by which lookups of a few values skip row groups; `options`
+    go to the writer, such as parquet.block.size.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 3) -> None:
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+    def __init__(self, spark: SparkSession, root: str, keep: int = 3, told: Sequence[str] = ("_hash",), options: Mapping[str, str] | None = None) -> None:
+        self.spark, self.root, self.keep, self.told, self.options = spark, root.rstrip("/"), keep, tuple(told), dict(options or {})
 
     def _fs(self):  # noqa: ANN202
         path = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -84,7 +85,7 @@ class Store:
         fs, path = self._fs()
         aside, to = f"{self.root}/{name}/_staging/{uuid.uuid4().hex}", f"{self.root}/{name}/{generation}"
         marked = df.withColumn(_PART, F.coalesce(F.regexp_replace(part.cast("string"), "[^A-Za-z0-9-]", "-"), F.lit("none"))) if part is not None else df
-        writer = marked.write.option("parquet.bloom.filter.enabled#_hash", "true")
+        writer = marked.write.options(**{f"parquet.bloom.filter.enabled#{c}": "true" for c in self.told}, **self.options)
         if part is None:
             writer.parquet(f"{aside}/{_PART}=all")
         else:

@@ -72,7 +72,7 @@ _RAW = """raw AS (
     CASE WHEN event_id % 43 = 0 THEN 12::DOUBLE WHEN event_id % 47 = 0 THEN (-1)::DOUBLE ELSE (event_id % 5)::DOUBLE END AS hdop
   FROM events),
 norm AS (
-  SELECT seq AS seq_no, 'job-' || (seq % 3) AS ingest_id, device_id, lat, lon, CASE WHEN speed BETWEEN 0 AND 120 THEN speed END AS speed_mps, NOT speed BETWEEN 0 AND 120 AS spike,
+  SELECT seq AS seq_no, ts_utc, 'job-' || (seq % 3) AS ingest_id, device_id, lat, lon, CASE WHEN speed BETWEEN 0 AND 120 THEN speed END AS speed_mps, NOT speed BETWEEN 0 AND 120 AS spike,
     CASE WHEN heading >= 0 AND heading < 360 THEN heading END AS heading_deg, NOT (heading >= 0 AND heading < 360) AS turned,
     CASE WHEN hdop >= 0 THEN hdop END AS hdop, hdop < 0 OR hdop > 10 AS vague,
     CASE WHEN trim(device_id) = '' THEN 'device_id cannot be empty' WHEN lat > 90 THEN 'Latitude 91.0 out of range [-90, 90]' WHEN lon < -180 THEN 'Longitude -181.0 out of range [-180, 180]' END AS error,
@@ -153,6 +153,9 @@ GROUP BY "truckId", "dateNum", cluster HAVING count(*) * 0.5 >= 2"""),
     "e01_stops_for_truck_day": _merge(f'SELECT {_KEY}, "stopPropId" AS stop_id, min(id) AS id FROM props GROUP BY ALL'),
     "e02_parent_stop": _merge('SELECT p.id, s.id AS stop_id, round(s.lat, 9) AS stop_lat, round(s.lon, 9) AS stop_lon FROM props p JOIN stops s ON s.id = p."stopPropId"'),
     "e03_popular_stops": _merge('SELECT "stopPropId" AS stop_id, count(*) AS n, min(id) AS first_prop FROM props GROUP BY ALL HAVING count(*) >= 10'),
+    "e03_popular_stops_lists": _merge("""SELECT "stopPropId" AS stop_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS props FROM props GROUP BY ALL HAVING count(*) <= 1000"""),
+    "c06_props_of_stop": _merge('SELECT id, "truckId", "dateNum" FROM props WHERE "stopPropId" = 1'),
+    "c07_props_of_stop_truck_date": _merge(f"""SELECT id, time, duration_min FROM props WHERE "stopPropId" = 15 AND "truckId" = '{_TRUCK}' AND "dateNum" = {_DAY}"""),
     "e07_pair_distances": _merge(f"""
 SELECT a."truckId", a."stopPropId" AS a, b."stopPropId" AS b, round({_dist("s.lat", "s.lon", "t.lat", "t.lon")}, 5) AS km
 FROM (SELECT DISTINCT "truckId", "stopPropId" FROM props) a JOIN (SELECT DISTINCT "truckId", "stopPropId"
@@ -178,6 +181,13 @@ FROM props WHERE duration_min / 60::DOUBLE > 4) WHERE seen"""),
     "g04_addresses": _merge(f"SELECT p.id, arg_min('stop ' || s.id, {_dist('p.lat', 'p.lon', 's.lat', 's.lon')}) AS address FROM props p LEFT JOIN stops s ON {_dist('p.lat', 'p.lon', 's.lat', 's.lon')} <= 0.3::DOUBLE GROUP BY p.id"),
     "g03_geofence": _gps(f'SELECT "truckId", count(*) AS inside FROM gps WHERE {_dist("lat", "lon", *_FENCE)} < 3::DOUBLE GROUP BY ALL'),
     "e08_near": _gps(f'SELECT seq, "truckId", round({_dist("lat", "lon", *_FENCE, "6373000")}, 2) AS distance_m FROM gps WHERE {_dist("lat", "lon", *_FENCE, "6373000")} <= 1500'),
+    "b13_near_by_place": _gps(f'SELECT seq, "truckId", round({_dist("lat", "lon", *_FENCE, "6373000")}, 2) AS distance_m FROM gps WHERE {_dist("lat", "lon", *_FENCE, "6373000")} <= 1500'),
+    "g04_nearest_places": _gps(f"""
+, place AS (SELECT c_custkey AS place, (-33.9)::DOUBLE + (c_custkey * 7919 % 10007)::DOUBLE * 9.7e-5::DOUBLE + CASE WHEN c_custkey % 50 = 0 THEN 5 ELSE 0 END::DOUBLE AS lat,
+  (-71.1)::DOUBLE + (c_custkey * 104729 % 10009)::DOUBLE * 8.3e-5::DOUBLE AS lon FROM customer),
+spot AS (SELECT DISTINCT lat, lon FROM gps),
+ranked AS (SELECT s.lat, s.lon, p.place, {_dist("s.lat", "s.lon", "p.lat", "p.lon")} AS km, row_number() OVER (PARTITION BY s.lat, s.lon ORDER BY {_dist("s.lat", "s.lon", "p.lat", "p.lon")}, p.place) AS rank FROM spot s, place p QUALIFY rank <= 3)
+SELECT seq, rank::INTEGER AS rank, place, round(km, 2) AS km FROM gps JOIN ranked USING (lat, lon)"""),
     "e09_bbox": _gps('SELECT seq, "truckId" FROM gps WHERE lat BETWEEN -33.445 AND -33.415 AND lon BETWEEN -70.645 AND -70.60'),
     "h01_distances": _gps(f"""
 SELECT seq, round({_dist('lat', 'lon', *_FENCE)}, 5) AS km, round({_dist('lat', 'lon', *_FENCE, '3960')}, 5) AS mi, round({_dist('lat', 'lon', *_FENCE, '6373000')}, 2) AS m, round(lat * 100000, 2) AS m_lat, round(pow(lat - {_FENCE[0]}, 2) + pow(lon - {_FENCE[1]}, 2), 8) AS squared
@@ -195,6 +205,7 @@ FROM (SELECT seq, round(lat + 0.0000137::DOUBLE, 7) AS lat, round(lon + 0.000013
 SELECT event_id, round(value, 6) AS mps, round(value * (1::DOUBLE / 3.6::DOUBLE), 6) AS kph, round(value * 0.44704::DOUBLE, 6) AS mph, round(value * 0.514444::DOUBLE, 6) AS knots, round(value, 6) AS m, round(value * 0.3048::DOUBLE, 6) AS ft, round(value * 1000::DOUBLE, 6) AS km
 FROM events""",
     "h13_point_hash": _norm("SELECT seq_no, _hash FROM norm WHERE error IS NULL"),
+    "b13_existing_hashes": _norm("SELECT seq_no, _hash FROM norm WHERE error IS NULL AND date_trunc('hour', ts_utc) = TIMESTAMP '2024-01-05 06:00:00' AND _hash IN (SELECT _hash FROM norm WHERE error IS NULL AND seq_no % 2 = 0)"),
     "h15_validation": _norm("SELECT seq_no, error FROM norm"),
     "h21_quality_flags": _norm("SELECT seq_no, round(speed_mps, 6) AS speed_mps, heading_deg, hdop, spike AS flag_speed_spike, turned AS flag_bad_heading, vague AS flag_bad_hdop FROM norm WHERE error IS NULL"),
     "b11_dedup_upsert": _norm("""

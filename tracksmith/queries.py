@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import checks, clock, collections, units
 from .functions.geo import euclidean, geojson, inside, kilometres, metres, miles, near, point, to_degrees, to_metres, unpack, within_box
-from .operators import dwell, export, fleet, graph, lookups, metrics, stops, store
+from .operators import dwell, export, fleet, graph, lookups, metrics, places, stops, store
 from .oracles import ORACLES
 from .plans import ingest
 from .sources import readers
@@ -220,6 +220,23 @@ def e03_popular_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dwell.popular_stops(props, made, 10, lists=False).select("stop_id", "n", "first_prop")
 
 
+@query
+def e03_popular_stops_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the lists, of stops that few properties belong to."""
+    made, props = _stop_tables(spark, sf_dir)
+    return dwell.popular_stops(props, made).where("n <= 1000").select("stop_id", "n", F.array_join(F.col("props").cast("array<string>"), ",").alias("props"))
+
+
+@query
+def c06_props_of_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.given(_stop_tables(spark, sf_dir)[1], stopPropId=1).select("id", "truckId", "dateNum")
+
+
+@query
+def c07_props_of_stop_truck_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookups.given(_stop_tables(spark, sf_dir)[1], stopPropId=15, truckId=TRUCK, dateNum=DAY).select("id", "time", "duration_min")
+
+
 @query
 def e07_pair_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Between the merged stops, which are few for each truck: the stops that a truck visits."""
@@ -292,6 +309,36 @@ def e08_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near(gps(spark, sf_dir), *FENCE, 1500.0).select("seq", "truckId", F.round("distance_m", 2).alias("distance_m"))
 
 
+@query
+def b13_near_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """e08_near over a stored table in the order of place."""
+    kept = store.Store(spark, f"{graph.shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", options={"parquet.block.size": str(1 << 20)})
+    graph.remove_at_exit(spark, kept.root)
+    kept.overwrite("points", places.by_place(gps(spark, sf_dir), then=["ts", "seq"]))
+    return near(kept.read("points"), *FENCE, 1500.0).select("seq", "truckId", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query
+def b13_existing_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of an hour's points a stored table of every other point has, looked up by its Bloom filters if they are few."""
+    kept = store.Store(spark, f"{graph.shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+    graph.remove_at_exit(spark, kept.root)
+    points, _ = ingest.split(_normalized(spark, sf_dir))
+    kept.overwrite("track_points", points.where("seq_no % 2 = 0").select("_hash", "seq_no"))
+    asked = points.where(F.date_trunc("hour", "ts_utc") == F.lit("2024-01-05 06:00:00").cast("timestamp")).select("_hash", "seq_no")
+    return lookups.existing_few(asked, kept.read("track_points")).select("seq_no", "_hash")
+
+
+@query
+def g04_nearest_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's three nearest customers, near or far; customers get places from their numbers, every fiftieth one far off."""
+    n = F.col("c_custkey")
+    lat = F.lit(-33.9) + (n * 7919 % 10007).cast("double") * 9.7e-5 + F.when(n % 50 == 0, 5.0).otherwise(0.0)
+    known = table(spark, sf_dir, "customer").select(n.alias("place"), lat.alias("lat"), (F.lit(-71.1) + (n * 104729 % 10009).cast("double") * 8.3e-5).alias("lon"))
+    found = places.nearest(gps(spark, sf_dir).select("seq", "lat", "lon"), known, 3, "place")
+    return found.select("seq", F.posexplode("nearest").alias("i", "e")).select("seq", (F.col("i") + 1).alias("rank"), "e.place", F.round("e.km", 2).alias("km"))
+
+
 @query
 def e09_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps(spark, sf_dir).where(within_box(-33.445, -33.415, -70.645, -70.60)).select("seq", "truckId")
