@@ -231,3 +231,32 @@ def test_ties_are_settled_by_names():
     assert not other.any()  # the second half of the key tells them apart
     assert repeated.tolist() == want
     assert {k for k, s in zip(kind.tolist(), sent, strict=True) if s} == set(counts)
+
+
+def test_few_suffixes_of_long_repeats_take_part():
+    """Of long passages only suffixes near the ends are sorted; with the samples that stand twice they tell all bytes."""
+    rng, length = random.Random(5), 400
+    noise = lambda k: bytes(rng.choices(range(97, 123), k=k))
+    passages = [noise(20_000), noise(9_000), noise(430)]
+    texts = [noise(rng.randint(1, 300)).join([b"", *(p[rng.randint(0, 20) :] for p in passages), b""]) for _ in range(3)] + [noise(500)]
+    at = [np.array([p for p in range(len(t) - length + suffixes.PERIOD) if p % suffixes.PERIOD in suffixes.COVER]) for t in texts]
+    windows = Counter(t[p : p + length - suffixes.PERIOD + 1] for t, own in zip(texts, at, strict=True) for p in own)
+    strings = Counter(t[p : p + length] for t, own in zip(texts, at, strict=True) for p in own)
+    starts = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    numbers = {w: n + 1 for n, w in enumerate(windows)}
+    found, asked = [], set()
+    for t, own in zip(texts, at, strict=True):
+        own = np.array([p for p in own if windows[t[p : p + length - suffixes.PERIOD + 1]] > 1], np.int64)
+        called = np.array([numbers[t[p : p + length - suffixes.PERIOD + 1]] for p in own], np.uint64)
+        sure = np.array([p + length <= len(t) and strings[t[p : p + length]] > 1 for p in own], bool)
+        found.append((own, called, sure))
+        asked |= {(c, k) for c, steps in zip(called.tolist(), suffixes.open_steps(own, sure, len(t), length), strict=True) for k in np.flatnonzero(steps).tolist()}
+    part = []
+    for t, (own, called, sure) in zip(texts, found, strict=True):
+        steps = np.array([[(c, k) in asked for k in range(len(suffixes.STEPS) - 1)] for c in called.tolist()], bool).reshape(len(own), len(suffixes.STEPS) - 1)
+        off = np.concatenate([np.zeros(0, np.int64), *(p[2] for p in suffixes.suffixes(t, own, called, steps, length, 1, 0))])
+        part.append(len(off))
+        twice = [p for p in range(len(t) - length + 1) if starts[t[p : p + length]] > 1]
+        told = np.array([*own[sure].tolist(), *(p for p in off.tolist() if starts[t[p : p + length]] > 1)], np.int64)
+        assert [x.tolist() for x in suffixes.runs(told, length)] == [x.tolist() for x in suffixes.runs(np.array(twice, np.int64), length)]
+    assert 0 < 10 * sum(part) < sum(n for n in starts.values() if n > 1)
