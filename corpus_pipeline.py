@@ -47,8 +47,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every document left."""
-    return bpe.encode(docs, outputs=("ids",))
+    """doc_id, n_tokens, ids and decoded_sha256, of the text that the ids decode to, of every document left: encoded by chunks and decoded, as op3 has it."""
+    return bpe.encode(docs, outputs=("ids", "decoded_sha256"))
 
 
 STAGES = [

@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -87,3 +88,17 @@ def test_the_pipeline_is_its_plain_version(spark):
     want = plain_run()
     assert got == want
     assert len(got) > 50
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_last_stage_encodes_and_decodes(spark, nasty, rows):
+    """As the library does, whether a text shares chunks with others or not."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = [t.encode(r.text or "", add_special_tokens=False).ids for r in rows]
+    got = corpus_pipeline.token_ids(spark, nasty, SF)
+    assert got.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+    want = Counter((r.doc_id, len(i), tuple(i), hashlib.sha256(t.decode(i, skip_special_tokens=False).encode()).hexdigest()) for r, i in zip(rows, ids, strict=True))
+    assert Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in got.collect()) == want

@@ -33,8 +33,8 @@ from .common import power_of_two, saved, slices
 #: A chunk ends where MASK's bits of the rolling hash are zero (about every 2 KB), and is LEAST to MOST bytes long.
 MASK, LEAST, MOST = np.uint32(0x7FF << 13), 256, 1 << 16
 FILTER_BITS = 1 << 28
-#: Bytes of units and their ids, Python's own included, that one of a worker's two generations holds; units beside a join that must agree.
-MEMO_BYTES, GUARDS = 56 << 20, 3
+#: Bytes of units and their ids, Python's own included, that one of a worker's two generations holds; units beside a join that must agree; ids that are joined as texts at once.
+MEMO_BYTES, GUARDS, RUN = 28 << 20, 3, 1 << 16
 # Fixed value: the white space of Unicode.
 _SPACES = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+\\Z")
@@ -100,7 +100,7 @@ class Piece:
 
 
 class Names:
-    """Texts by number, joined with spaces, as bytes: one gather for all of a document."""
+    """Texts by number, joined with spaces, as bytes: one gather for each RUN of a document's numbers."""
 
     def __init__(self, texts: list[bytes]) -> None:
         self.blob = np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)
@@ -108,9 +108,12 @@ class Names:
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join([self._run(ids[i : i + RUN]) for i in range(0, len(ids), RUN)])[:-1]
+
+    def _run(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
-        return self.blob[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()[:-1] if len(ids) else b""
+        return self.blob[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
 
 
 class Encoder:
