@@ -34,7 +34,7 @@ from .common import power_of_two, saved, slices
 MASK, LEAST, MOST = np.uint32(0x7FF << 13), 256, 1 << 16
 FILTER_BITS = 1 << 28
 #: Bytes of units and their ids, Python's own included, that one of a worker's two generations holds; units beside a join that must agree; ids that are joined as texts at once.
-MEMO_BYTES, GUARDS, RUN = 28 << 20, 3, 1 << 16
+MEMO_BYTES, GUARDS, RUN = 56 << 20, 3, 1 << 16
 # Fixed value: the white space of Unicode.
 _SPACES = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+\\Z")
