@@ -302,6 +302,28 @@ def test_quality_takes_a_bounded_sample(spark):
     assert out.first().score == "mine"
 
 
+def results(spark):
+    """Bytes of the results of each stage that Spark remembers."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return {stages.apply(i).stageId(): stages.apply(i).resultSize() for i in range(stages.size())}
+
+
+def test_quality_sample_reaches_the_driver_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    found = [(i, " ".join(f"w{w}" for w in rng.integers(0, 100_000, 200)), i % 2) for i in range(200)]
+    frame = spark.createDataFrame(found, "doc_id long, text string, quality int").repartition(3)
+    models, largest = [], []
+    for size in (1 << 30, 1 << 15):
+        monkeypatch.setattr(quality, "SLICE_BYTES", size, raising=False)
+        before = set(results(spark))
+        models.append(quality.learn(frame, frame, s=quality.Settings(epochs=1, most_buckets=200_000)))
+        largest.append(max(n for stage, n in results(spark).items() if stage not in before))
+    assert largest[0] > 500_000
+    assert largest[1] < 150_000
+    assert models[0].bias == models[1].bias
+    assert np.array_equal(models[0].weights, models[1].weights)
+
+
 def test_quality_on_held_out_documents(spark):
     import random
 

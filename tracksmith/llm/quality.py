@@ -14,6 +14,7 @@ its own under the first free name like `name`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ from . import hashing
 from .common import fresh, saved, slices
 
 
-#: Bytes of text whose features are made at once: about 100 bytes of arrays for each.
-RUN_BYTES = 1 << 18
+#: Bytes of text whose features are made at once: about 100 bytes of arrays for each. Bytes of the sample that the driver's JVM gets at once.
+RUN_BYTES, SLICE_BYTES = 1 << 18, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -133,9 +134,11 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, s: S
     weights = made.select("label", order.alias("order"), "id", "at", "share", (F.octet_length("at") / 4).alias("n"))
     heavy = Window.partitionBy("label").orderBy("order", "id", "at").rowsBetween(Window.unboundedPreceding, -1)  # s.most rows at most
     light = weights.withColumn("before", F.coalesce(F.sum("n").over(heavy), F.lit(0.0))).where(F.col("before") < s.most_buckets / 2)
-    found = light.select("id", "label", "at", "share").toPandas().sort_values(["id", "label", "at"], ignore_index=True)
-    pairs = [(np.frombuffer(a, "<u4"), np.frombuffer(x, "<f4")) for a, x in zip(found["at"], found["share"], strict=True)]
-    y = found["label"].to_numpy(np.int64)
+    # The driver's JVM gets a slice of the sample at a time; a bucket takes 8 bytes.
+    sliced = light.select("id", "label", "at", "share").repartition(max(1, math.ceil(8 * s.most_buckets / SLICE_BYTES)))
+    found = sorted((r.id, r.label, bytes(r["at"]), bytes(r.share)) for r in sliced.toLocalIterator())
+    pairs = [(np.frombuffer(a, "<u4"), np.frombuffer(x, "<f4")) for _, _, a, x in found]
+    y = np.array([label for _, label, _, _ in found], np.int64)
     took = np.maximum(np.bincount(y, minlength=2), 1) if len(y) else np.ones(2)
     stands = np.array([sizes.get(0, 0), sizes.get(1, 0)]) / took
     return train(pairs, y, stands[y] if len(y) else np.zeros(0), s)
